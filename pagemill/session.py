@@ -73,3 +73,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def reliable_checkpoint(df):
+    """Cut lineage by writing ``df`` under the shared checkpoint folder.
+
+    Unlike a local checkpoint this survives executor loss: the data lives in
+    the shared folder, not on the executors' disks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
