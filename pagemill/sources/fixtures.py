@@ -106,3 +106,82 @@ def gallery_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k % 6 == 4, F.lit("text/html")).otherwise(F.lit("")))
     size = F.when(k % 7 != 0, k * 100000)
     return first.select("url", ctype.alias("content_type"), size.cast("bigint").alias("content_length"))
+
+
+# ---------------------------------------------------------------- articles
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated responses for gallery pages: none when page_id % 4 = 0, an
+    error when = 1, else a short article with one image mark."""
+    pages = gallery_pages(spark, sf_dir).select("page_id")
+    pid = F.col("page_id")
+    resp = F.concat(F.lit("<h2>Title "), _s(pid), F.lit("</h2><p>Body text for page "), _s(pid),
+                    F.lit(".</p><div>IMAGE_PLACEHOLDER</div><p>short</p>"))
+    return (pages.filter(pid % 4 != 0)
+            .select("page_id", F.when(pid % 4 == 1, F.lit(None)).otherwise(resp).cast("string").alias("response"),
+                    (pid % 4 == 1).alias("error")))
+
+
+def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests: every even page's url, plus one unknown url per ten pages."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    known = p.filter(F.col("page_id") % 2 == 0).select("url")
+    unknown = p.filter(F.col("page_id") % 10 == 0).select(
+        F.concat(F.lit("https://unknown.example.com/missing/"), _s(F.col("page_id"))).alias("url"))
+    return known.unionByName(unknown).withColumn("format_type", F.lit("popup"))
+
+
+def list_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with lists and inline tags, one per supplier (for D11)."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    k = _s(F.col("s_suppkey"))
+    html = F.concat(
+        F.lit("<h2>Goods of "), F.col("s_name"), F.lit("</h2><ul><li>Item "), k, F.lit("-1</li><li> </li><li>Item "), k,
+        F.lit("-2</li></ul><ol><li>Step one</li></ol><p>Contact "), F.col("s_name"),
+        F.lit(" for details.</p><span>abc</span><em>Limited edition</em>"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit("<li>Loose item</li>")).otherwise(F.lit("")))
+    return s.select(F.col("s_suppkey").alias("page_id"), html.alias("content"))
+
+
+def info_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier a page with an exact-class info table and a wider one to ignore."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    k = F.col("s_suppkey")
+
+    def row(th, td):
+        return F.concat(F.lit("<tr><th>"), th, F.lit("</th><td>"), td, F.lit("</td></tr>"))
+
+    table = F.concat(
+        F.lit('<table class="event-info-table">'),
+        row(F.lit("公式サイト"), F.concat(F.lit("https://s"), _s(k), F.lit(".example.com"))),
+        row(F.lit("開催場所"), F.col("s_name")),
+        row(F.lit("開催期間"), F.lit("2025")),
+        F.when(k % 3 == 0, F.lit("<tr><th>アクセス</th></tr>")).otherwise(F.lit("")),
+        F.lit("</table>"))
+    wide = F.concat(F.lit('<table class="event-info-table wide">'), row(F.lit("お問い合わせ"), F.col("s_name")),
+                    F.lit("</table>"))
+    html = F.concat(F.lit("<h2>Event "), _s(k), F.lit("</h2><p>Intro text.</p>"), table, F.lit("<p>Outro.</p>"), wide)
+    return s.select(k.alias("page_id"), html.alias("content"))
+
+
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured event facts per supplier."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    k = F.col("s_suppkey")
+    maker = F.when(k % 5 == 0, F.lit("株式会社A3")).when(k % 5 == 1, F.lit("TSUTAYA")).otherwise(F.col("s_name"))
+    start = F.date_add(F.to_date(F.lit("2025-01-01")), (k % 300).cast("int"))
+    return s.select(
+        k.alias("event_id"),
+        F.concat(F.lit("作者"), _s(k)).alias("author"),
+        F.concat(F.lit("作品"), _s(k)).alias("work"),
+        maker.alias("maker"),
+        F.concat(F.lit("店舗"), _s(k % 17)).alias("venue"),
+        start.alias("start_date"),
+        F.date_add(start, 14).alias("end_date"),
+        ((k % 4 + 1) * 1100).cast("int").alias("price"),
+        F.concat(F.lit("特典カード"), _s(k % 9)).alias("novelty"),
+        (k % 6 + 2).cast("int").alias("kinds"),
+        (k % 2 == 0).alias("has_illustration"),
+        F.concat(F.lit("キャラA"), _s(k), F.lit("・キャラB"), _s(k), F.lit("・キャラC"), _s(k)).alias("characters"),
+        F.concat(F.lit("https://s"), _s(k), F.lit(".example.com/event")).alias("official_url"),
+    )
