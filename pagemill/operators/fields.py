@@ -65,6 +65,44 @@ def cut_text(page_text: Column, lo: Column, hi: Column, removed: Column) -> Colu
     return F.concat(acc["out"], page_text.substr(acc["pos"] + 1, rest))
 
 
+def first_ids(nodes: Column, preds: dict) -> Column:
+    """N2 for many lookups in one pass: ``struct(name -> node_id of the first
+    node matching preds[name])``. One ``aggregate`` over the node array instead
+    of one ``filter`` (and one array copy) per lookup."""
+    names = list(preds)
+    init = F.struct(*[F.lit(None).cast("int").alias(k) for k in names])
+
+    def step(acc, n):
+        return F.struct(*[F.coalesce(acc[k], F.when(preds[k](n), n["node_id"])).alias(k) for k in names])
+
+    return F.aggregate(nodes, init, step)
+
+
+def subtree(nodes: Column, area: Column) -> Column:
+    """The proper descendants of ``area``: a contiguous slice in pre-order."""
+    return F.slice(nodes, area["node_id"] + 2, F.greatest(area["last_id"] - area["node_id"], F.lit(0)))
+
+
+def _lookups() -> dict:
+    pat = "(?i)" + W.TEXT_AREA_PATTERN
+
+    def meta(key, value):
+        return lambda n: (n["tag"] == "meta") & F.coalesce(n["attrs"][key] == F.lit(value), F.lit(False))
+
+    return {
+        "h1": lambda n: n["tag"] == "h1",
+        "title": lambda n: n["tag"] == "title",
+        "og_title": meta("property", "og:title"),
+        "og_desc": meta("property", "og:description"),
+        "meta_desc": meta("name", "description"),
+        "p": lambda n: n["tag"] == "p",
+        "main": lambda n: n["tag"] == "main",
+        "article": lambda n: n["tag"] == "article",
+        "div_cls": lambda n: (n["tag"] == "div") & F.exists(n["classes"], lambda c: c.rlike(pat)),
+        "div_id": lambda n: (n["tag"] == "div") & F.coalesce(n["attrs"]["id"].rlike(pat), F.lit(False)),
+    }
+
+
 def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All scalar page fields, one row per page.
 
@@ -76,51 +114,55 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
     nodes, text = F.col("nodes"), F.col("page_text")
     ok = nodes.isNotNull()
 
-    # N2 lookups, done before the main-text step changes the tree.
-    h1 = first_node(nodes, lambda n: n["tag"] == "h1")
-    title_tag = first_node(nodes, lambda n: n["tag"] == "title")
-    og_title = _meta(nodes, "property", "og:title")
-    og_desc = _meta(nodes, "property", "og:description")
-    meta_desc = _meta(nodes, "name", "description")
-    first_p = first_node(nodes, lambda n: n["tag"] == "p")
-
-    stage1 = dom.select(
-        *keep, "page_text", "nodes",
-        text_area(nodes).alias("_area"),
-        F.when(h1.isNotNull(), py_strip(node_text(text, h1)))
-         .when(title_tag.isNotNull(), py_strip(node_text(text, title_tag)))
-         .when(og_title.isNotNull(), py_strip(F.coalesce(og_title["attrs"]["content"], F.lit(""))))
-         .alias("_title"),
-        F.when(og_desc.isNotNull(), py_strip(F.coalesce(og_desc["attrs"]["content"], F.lit(""))))
-         .when(meta_desc.isNotNull(), py_strip(F.coalesce(meta_desc["attrs"]["content"], F.lit(""))))
-         .when(first_p.isNotNull(), F.concat(left(py_strip(node_text(text, first_p)), W.DESCRIPTION_CHARS),
-                                             F.lit(W.DESCRIPTION_SUFFIX)))
-         .alias("_desc"),
-        py_strip(node_text(text, h1)).alias("h1_text"),
-        py_strip(node_text(text, first_p)).alias("first_p_text"),
-    )
-
-    area = F.col("_area")
-    stage2 = stage1.withColumn("_removed", F.when(area.isNotNull(), removed_nodes(nodes, area)))
+    # pass 1: first-match ids of every lookup, one aggregate over the nodes
+    s1 = dom.select(*keep, "page_text", "nodes", first_ids(nodes, _lookups()).alias("_i"))
+    i = F.col("_i")
+
+    def at(k):
+        return F.get(nodes, i[k])
+
+    # pass 2: the looked-up nodes, the text area (N4) and the removed elements
+    area = F.get(nodes, F.coalesce(i["main"], i["article"], i["div_cls"], i["div_id"]))
+    s2 = s1.select(*keep, "page_text", "nodes", at("h1").alias("_h1"), at("title").alias("_tt"),
+                   at("og_title").alias("_ogt"), at("og_desc").alias("_ogd"), at("meta_desc").alias("_md"),
+                   at("p").alias("_p"), area.alias("_area"))
+    a = F.col("_area")
+    s3 = s2.withColumn("_removed", F.when(a.isNotNull(), F.filter(
+        subtree(nodes, a), lambda n: n["tag"].isin(*W.REMOVED_TEXT_TAGS))))
     removed = F.col("_removed")
     alive = alive_pred(removed)
-    title_alive = first_node(nodes, lambda n: (n["tag"] == "title") & alive(n))
-    meta_alive = _meta(nodes, "name", "description", alive)
-    full_raw = cut_text(text, F.lit(0), F.length(text), removed)
-
-    stage3 = stage2.select(
-        *keep, "_title", "_desc", "h1_text", "first_p_text",
-        area["tag"].alias("text_area_tag"),
-        F.when(area.isNotNull(), py_strip(cut_text(text, area["txt_start"], area["txt_end"], removed)))
-         .alias("main_text"),
-        F.when(ok, py_strip(squeeze_ws(full_raw))).alias("full_text"),
-        F.when(title_alive.isNotNull(), py_strip(node_text(text, title_alive))).alias("page_title"),
-        F.when(meta_alive.isNotNull(), py_strip(F.coalesce(meta_alive["attrs"]["content"], F.lit(""))))
-         .alias("meta_description"),
-        F.when(ok, F.lit(True)).alias("_ok"),
+
+    h1, tt, ogt, ogd, md, fp = (F.col(c) for c in ("_h1", "_tt", "_ogt", "_ogd", "_md", "_p"))
+    # the first title / meta description that survived the removal (usually the first one)
+    tt_alive = F.when(tt.isNull() | alive(tt), tt).otherwise(
+        first_node(nodes, lambda n: (n["tag"] == "title") & alive(n)))
+    md_alive = F.when(md.isNull() | alive(md), md).otherwise(
+        first_node(nodes, lambda n: (n["tag"] == "meta") & F.coalesce(n["attrs"]["name"] == "description",
+                                                                      F.lit(False)) & alive(n)))
+
+    def content_attr(n):
+        return py_strip(F.coalesce(n["attrs"]["content"], F.lit("")))
+
+    s4 = s3.select(
+        *keep,
+        F.when(h1.isNotNull(), py_strip(node_text(text, h1)))
+         .when(tt.isNotNull(), py_strip(node_text(text, tt)))
+         .when(ogt.isNotNull(), content_attr(ogt)).alias("_title"),
+        F.when(ogd.isNotNull(), content_attr(ogd))
+         .when(md.isNotNull(), content_attr(md))
+         .when(fp.isNotNull(), F.concat(left(py_strip(node_text(text, fp)), W.DESCRIPTION_CHARS),
+                                        F.lit(W.DESCRIPTION_SUFFIX))).alias("_desc"),
+        py_strip(node_text(text, h1)).alias("h1_text"),
+        py_strip(node_text(text, fp)).alias("first_p_text"),
+        a["tag"].alias("text_area_tag"),
+        F.when(a.isNotNull(), py_strip(cut_text(text, a["txt_start"], a["txt_end"], removed))).alias("main_text"),
+        F.when(ok, py_strip(squeeze_ws(cut_text(text, F.lit(0), F.length(text), removed)))).alias("full_text"),
+        F.when(tt_alive.isNotNull(), py_strip(node_text(text, tt_alive))).alias("page_title"),
+        F.when(md_alive.isNotNull(), content_attr(md_alive)).alias("meta_description"),
+        ok.alias("_ok"),
     )
     url = F.col("url") if "url" in keep else F.lit(None).cast("string")
-    out = stage3.select(
+    out = s4.select(
         *keep,
         F.when(F.col("_ok"), F.coalesce(nullif_empty(F.col("_title")), F.col("page_title"), F.lit("")))
          .alias("title"),
@@ -132,7 +174,7 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "page_title", "meta_description", "text_area_tag", "h1_text", "first_p_text",
         F.when(F.col("_ok"), base_url(url)).alias("base_url"),
     )
-    return out.withColumn("content_type", content_type(F.col("text_content")))
+    return add_content_type(out, "text_content")
 
 
 def base_url(url: Column) -> Column:
@@ -141,9 +183,18 @@ def base_url(url: Column) -> Column:
                     F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")))
 
 
-def content_type(text: Column) -> Column:
+def add_content_type(df: DataFrame, text_col: str, out_col: str = "content_type") -> DataFrame:
+    """C1 as a DataFrame step: the text is lower-cased once into its own column
+    (kept as a separate projection because it is used by every keyword test),
+    then the keyword classes are tested on it."""
+    lt = "_lower_text"
+    return (df.withColumn(lt, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+            .withColumn(out_col, content_type(F.col(lt), lowered=True)).drop(lt))
+
+
+def content_type(text: Column, lowered: bool = False) -> Column:
     """First keyword class that occurs in the lower-cased text wins."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = text if lowered else F.lower(F.coalesce(text, F.lit("")))
     expr = None
     for name, kws in W.CONTENT_TYPES:
         cond = None
