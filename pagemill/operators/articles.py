@@ -14,13 +14,23 @@ from ..functions import templates as TPL
 from ..functions import words as W
 from ..functions.markup import article_key
 from .fields import source_url
+from .joins import hot_keys, salted_left_join
 
+HOT_THRESHOLD = 16
 
-def request_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """R2: every request row, joined to its page when there is one (left join on url)."""
+
+def request_pages(requests: DataFrame, pages: DataFrame, hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+    """R2: every request row, joined to its page when there is one (left join on url).
+
+    Many requests can name one url; the most requested urls are salted so one
+    url cannot pile its requests into one task.
+    """
     p = pages.select("url", "page_id")
     r = requests.withColumn("category", F.lit(W.DEFAULT_CATEGORY))
-    return r.join(p, "url", "left").withColumn("has_page", F.col("page_id").isNotNull())
+    hot = hot_keys(requests.select("url"), "url", hot_threshold)
+    r = r.withColumn("_rid", F.monotonically_increasing_id())
+    return (salted_left_join(r, p, "url", ["_rid", "url"], hot).drop("_rid")
+            .withColumn("has_page", F.col("page_id").isNotNull()))
 
 
 def _fill(template: str, value: Column) -> Column:

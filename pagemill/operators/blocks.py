@@ -25,6 +25,7 @@ from ..functions import words as W
 from ..functions.images import asset_checks
 from ..functions.text import contains_any, py_strip
 from .dom import inside, node_text
+from .joins import salted_left_join
 
 HEADINGS = [f"h{i}" for i in range(1, 7)]
 
@@ -66,17 +67,22 @@ def article_elements(art_dom: DataFrame) -> DataFrame:
     return rows.select("page_id", "seq", "tag", "text", "is_mark", "mark_no", img.alias("image_url"))
 
 
-def element_blocks(elements: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+def element_blocks(elements: DataFrame, assets: DataFrame | None = None,
+                   hot_urls: DataFrame | None = None) -> DataFrame:
     """Marks with an image become image blocks (or the fallback text when
     the asset is not admitted), headings always, p/div only when long enough.
 
+    ``assets(url, content_type, content_length)`` has one row per url. The
+    lookup is a salted left join: text rows (no url) spread evenly and shared
+    image urls (``hot_urls``) are split over salts instead of landing in one task.
+
     Output ``blocks(page_id, seq, kind, tag, style, text, image_url)``.
     """
     e = elements.filter(~F.col("is_mark") | F.col("image_url").isNotNull())
     if assets is not None:
         ok, _, _ = asset_checks(F.col("content_type"), F.col("content_length"))
         adm = assets.select(F.col("url").alias("image_url"), ok.alias("admitted"))
-        e = e.join(adm, "image_url", "left")
+        e = salted_left_join(e, adm, "image_url", ["page_id", "seq"], hot_urls)
         admitted = F.coalesce(F.col("admitted"), F.lit(True))
     else:
         admitted = F.lit(True)

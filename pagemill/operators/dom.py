@@ -197,55 +197,70 @@ def parse_document(html: str):
     return text, b
 
 
+# Output Arrow batches are cut at this many characters of html, so a batch of
+# very large pages never builds one huge (2 GB-limited) string column.
+OUT_BATCH_CHARS = 64 * 1024 * 1024
+
+
+def _to_batch(ids, id_names, texts, parsed):
+    node_offsets = [0]
+    f_id, f_par, f_last, f_tag, f_s, f_e = [], [], [], [], [], []
+    a_off, a_k, a_v = [0], [], []
+    c_off, c_v = [0], []
+    for b in parsed:
+        if b is None:
+            node_offsets.append(node_offsets[-1])
+            continue
+        n = len(b.tags)
+        f_id.extend(range(n))
+        f_par.extend(b.parent)
+        f_last.extend(b.last)
+        f_tag.extend(b.tags)
+        f_s.extend(b.starts)
+        f_e.extend(b.ends)
+        for amap in b.attrs:
+            a_k.extend(amap.keys())
+            a_v.extend(amap.values())
+            a_off.append(len(a_k))
+            cls = amap.get("class")
+            if cls:
+                c_v.extend(_NON_WS.findall(cls))
+            c_off.append(len(c_v))
+        node_offsets.append(node_offsets[-1] + n)
+    attrs = pa.MapArray.from_arrays(pa.array(a_off, pa.int32()), pa.array(a_k, pa.string()),
+                                    pa.array(a_v, pa.string()))
+    classes = pa.ListArray.from_arrays(pa.array(c_off, pa.int32()), pa.array(c_v, pa.string()))
+    structs = pa.StructArray.from_arrays(
+        [pa.array(f_id, pa.int32()), pa.array(f_par, pa.int32()), pa.array(f_last, pa.int32()),
+         pa.array(f_tag, pa.string()), attrs, classes,
+         pa.array(f_s, pa.int32()), pa.array(f_e, pa.int32())],
+        fields=list(_ARROW_NODE))
+    mask = pa.array([b is None for b in parsed], pa.bool_())
+    nodes = pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), structs, mask=mask)
+    return pa.RecordBatch.from_arrays(ids + [pa.array(texts, pa.string()), nodes],
+                                      names=list(id_names) + ["page_text", "nodes"])
+
+
 def _parse_batches(id_names, html_name):
     def run(batches):
         for batch in batches:
-            cols = batch.to_pydict()
-            htmls = cols[html_name]
-            texts = []
-            node_offsets = [0]
-            f_id, f_par, f_last, f_tag, f_s, f_e = [], [], [], [], [], []
-            a_off, a_k, a_v = [0], [], []
-            c_off, c_v = [0], []
-            valid = []
-            for h in htmls:
+            htmls = batch.column(batch.schema.get_field_index(html_name)).to_pylist()
+            id_cols = [batch.column(batch.schema.get_field_index(c)) for c in id_names]
+            start, size, texts, parsed = 0, 0, [], []
+            for i, h in enumerate(htmls):
                 if h is None:
                     texts.append(None)
-                    valid.append(False)
-                    node_offsets.append(node_offsets[-1])
-                    continue
-                text, b = parse_document(h)
-                texts.append(text)
-                valid.append(True)
-                n = len(b.tags)
-                f_id.extend(range(n))
-                f_par.extend(b.parent)
-                f_last.extend(b.last)
-                f_tag.extend(b.tags)
-                f_s.extend(b.starts)
-                f_e.extend(b.ends)
-                for amap in b.attrs:
-                    a_k.extend(amap.keys())
-                    a_v.extend(amap.values())
-                    a_off.append(len(a_k))
-                    cls = amap.get("class")
-                    if cls:
-                        c_v.extend(_NON_WS.findall(cls))
-                    c_off.append(len(c_v))
-                node_offsets.append(node_offsets[-1] + n)
-            attrs = pa.MapArray.from_arrays(pa.array(a_off, pa.int32()), pa.array(a_k, pa.string()),
-                                            pa.array(a_v, pa.string()))
-            classes = pa.ListArray.from_arrays(pa.array(c_off, pa.int32()), pa.array(c_v, pa.string()))
-            structs = pa.StructArray.from_arrays(
-                [pa.array(f_id, pa.int32()), pa.array(f_par, pa.int32()), pa.array(f_last, pa.int32()),
-                 pa.array(f_tag, pa.string()), attrs, classes,
-                 pa.array(f_s, pa.int32()), pa.array(f_e, pa.int32())],
-                fields=list(_ARROW_NODE))
-            mask = pa.array([not v for v in valid], pa.bool_())
-            nodes = pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), structs, mask=mask)
-            out = [batch.column(batch.schema.get_field_index(c)) for c in id_names]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.string()), nodes],
-                                             names=list(id_names) + ["page_text", "nodes"])
+                    parsed.append(None)
+                else:
+                    text, b = parse_document(h)
+                    texts.append(text)
+                    parsed.append(b)
+                    size += len(h)
+                if size >= OUT_BATCH_CHARS:
+                    yield _to_batch([c.slice(start, i + 1 - start) for c in id_cols], id_names, texts, parsed)
+                    start, size, texts, parsed = i + 1, 0, [], []
+            if parsed:
+                yield _to_batch([c.slice(start) for c in id_cols], id_names, texts, parsed)
     return run
 
 

@@ -1,0 +1,58 @@
+"""Skew-safe equi-join for keys that can be hot (shared image URLs, repeated requests).
+
+Two failure modes of a plain shuffle join on such keys:
+
+* NULL keys (rows with nothing to look up) all hash to one partition;
+* one key holding a large share of the rows lands in one task.
+
+``salted_left_join`` spreads NULL-key rows by a hash of other columns (they
+never match anyway), and splits rows of *hot* keys over ``buckets`` salts,
+replicating only the matching right-side rows to every salt. The hot-key list
+is a bounded top-k (``max_hot`` rows), so broadcasting it is safe; keys past
+that bound take the ordinary path, where AQE's skew-join split still applies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+NULL_SPREAD = 1 << 16
+
+
+def hot_keys(keys: DataFrame, key: str, threshold: int, max_hot: int = 10000) -> DataFrame:
+    """Keys occurring at least ``threshold`` times, the ``max_hot`` most frequent.
+
+    ``keys`` holds one row per occurrence; the count is a partial (map-side)
+    aggregate, so even a very hot key costs one small row per task before the
+    shuffle.
+    """
+    counts = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") >= threshold).orderBy(F.col("_n").desc()).limit(max_hot).select(key)
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt_cols: list[str],
+                     hot: DataFrame | None = None, buckets: int = 32) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` without NULL-key or hot-key skew.
+
+    ``right`` must have at most one row per key (pre-aggregate it). ``salt_cols``
+    are left columns whose hash spreads rows deterministically (stable under
+    task retries, unlike ``rand()``).
+    """
+    k = F.col(key)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(NULL_SPREAD))
+    if hot is not None:
+        hot_b = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+        left = left.join(hot_b, key, "left")
+        right = right.join(hot_b, key, "left")
+        is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+        salt = F.when(k.isNull(), spread).when(is_hot, F.pmod(spread, F.lit(buckets))).otherwise(F.lit(0))
+        rsalt = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    else:
+        salt = F.when(k.isNull(), spread).otherwise(F.lit(0))
+        rsalt = F.array(F.lit(0))
+    left = left.withColumn("_salt", salt.cast("long"))
+    right = right.withColumn("_salt", F.explode(F.transform(rsalt, lambda x: x.cast("long"))))
+    if hot is not None:
+        left, right = left.drop("_hot"), right.drop("_hot")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -17,6 +17,8 @@ from ..functions import words as W
 from ..operators import articles as AR
 from ..operators import blocks as BL
 from ..operators.dom import parse_html
+from ..operators.joins import hot_keys
+from ..operators.articles import HOT_THRESHOLD
 from ..session import reliable_checkpoint
 from ..sources.fixtures import gallery_assets, gallery_pages, generations, list_articles, requests_table
 from ..sources.tables import read_table
@@ -31,8 +33,8 @@ def articles(spark, sf_dir):
     return AR.merge_generations(recs, generations(spark, sf_dir))
 
 
-def article_dom(spark, sf_dir):
-    a = reliable_checkpoint(articles(spark, sf_dir))
+def article_dom(spark, sf_dir, arts=None):
+    a = arts if arts is not None else reliable_checkpoint(articles(spark, sf_dir))
     return parse_html(a.select("page_id", "images", "content"), html_col="content")
 
 
@@ -41,8 +43,11 @@ def _ord(df):
 
 
 def _blocks(spark, sf_dir):
-    el = BL.article_elements(article_dom(spark, sf_dir))
-    return BL.element_blocks(el, gallery_assets(spark, sf_dir))
+    arts = reliable_checkpoint(articles(spark, sf_dir))
+    el = BL.article_elements(article_dom(spark, sf_dir, arts))
+    # image urls shared by many articles, counted on the (written) article table
+    hot = hot_keys(arts.select(F.explode("images").alias("image_url")), "image_url", HOT_THRESHOLD)
+    return BL.element_blocks(el, gallery_assets(spark, sf_dir), hot)
 
 
 def q_request_pages(spark, sf_dir):

@@ -67,3 +67,17 @@ def test_each_image_used_once_per_article(spark):
     a = BQ.q_assign_images(spark, SMALL)
     dup = a.groupBy("page_id", "image_url").count().filter("count > 1").count()
     assert dup == 0
+
+
+def test_salted_join_equals_plain_join(spark):
+    from pagemill.operators.joins import hot_keys, salted_left_join
+    left = spark.createDataFrame(
+        [(i, "hot" if i % 3 else None if i % 7 == 0 else f"k{i % 5}") for i in range(300)] +
+        [(1000 + i, f"k{i}") for i in range(10)], "id long, key string")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("k2", 4)], "key string, v int")
+    hot = hot_keys(left.select("key"), "key", threshold=50)
+    assert [r["key"] for r in hot.collect()] == ["hot"]
+    got = sorted(tuple(r) for r in salted_left_join(left, right, "key", ["id"], hot, buckets=8)
+                 .select("id", "key", "v").collect())
+    want = sorted(tuple(r) for r in left.join(right, "key", "left").select("id", "key", "v").collect())
+    assert got == want
