@@ -52,11 +52,13 @@ def merge_generations(records: DataFrame, gens: DataFrame) -> DataFrame:
     """A3-A5: records left-join generations; no row or no response gives the
     fallback article, an error row gives the error article.
 
-    ``records`` needs ``page_id, url, images`` (and optionally ``metadata``).
+    ``records`` needs ``page_id, url`` and optionally ``images`` (NULL or
+    missing: no images) and ``metadata``.
     Output ``articles(page_id, title, content, images, source_url, generated_at, error)``.
     """
     meta = F.col("metadata") if "metadata" in records.columns else None
-    r = records.select("page_id", source_url(F.col("url"), meta).alias("source_url"), "images")
+    imgs = F.col("images") if "images" in records.columns else F.lit(None).cast("array<string>")
+    r = records.select("page_id", source_url(F.col("url"), meta).alias("source_url"), imgs.alias("images"))
     j = r.join(gens.select("page_id", "response", "error"), "page_id", "left")
     is_err = F.coalesce(F.col("error"), F.lit(False))
     content = F.when(is_err, error_article_html(F.col("source_url"))).otherwise(

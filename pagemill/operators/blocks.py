@@ -117,7 +117,7 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
     return out.withColumn("end_index", end.cast("int"))
 
 
-def document_edits(offsets: DataFrame) -> DataFrame:
+def document_edits(offsets: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The ordered edit list ``(page_id, seq, op_no, op, start_index, end_index, text, style)``."""
     s = F.col("start_index")
 
@@ -133,7 +133,7 @@ def document_edits(offsets: DataFrame) -> DataFrame:
                          F.lit(f"{W.IMAGE_WIDTH_PT}x{W.IMAGE_HEIGHT_PT}pt")),
                       op(1, "insertText", s + 1, none, F.lit("\n"), none))
     ops = F.when(F.col("kind") == "image", img_ops).otherwise(text_ops)
-    return offsets.select("page_id", "seq", F.inline(ops))
+    return offsets.select("page_id", "seq", *(carry or []), F.inline(ops))
 
 
 def article_stats(articles: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions import templates as TPL
 from ..functions import words as W
 from ..operators import articles as AR
 from ..operators import blocks as BL
+from ..operators import images as IM
 from ..operators.dom import parse_html
 from ..operators.joins import hot_keys
 from ..operators.articles import HOT_THRESHOLD
@@ -23,13 +24,17 @@ from ..session import reliable_checkpoint
 from ..sources.fixtures import gallery_assets, gallery_pages, generations, list_articles, requests_table
 from ..sources.tables import read_table
 from . import sqltext as S
-from .image_queries import gallery_cte, page_records
+from .image_queries import gallery_cte
 
 STAMP = "2025-01-01 00:00:00"
 
 
 def articles(spark, sf_dir):
-    recs = page_records(spark, sf_dir, gallery_pages(spark, sf_dir))
+    """Articles of the gallery pages: url and ranked images (no other record
+    fields are needed) merged with the generations."""
+    pages = gallery_pages(spark, sf_dir)
+    imgs = IM.image_lists(IM.page_images(parse_html(pages)))
+    recs = pages.select("page_id", "url").join(imgs, "page_id", "left")
     return AR.merge_generations(recs, generations(spark, sf_dir))
 
 
@@ -114,10 +119,8 @@ def q_block_offsets(spark, sf_dir):
 
 def q_document_edits(spark, sf_dir):
     o = _ord(BL.block_offsets(_blocks(spark, sf_dir)))
-    e = BL.document_edits(o)
-    ords = o.select("page_id", "seq", "ord")
-    return e.join(ords, ["page_id", "seq"]).select("page_id", "ord", "op_no", "op", "start_index", "end_index",
-                                                   "text", "style")
+    return BL.document_edits(o, carry=["ord"]).select("page_id", "ord", "op_no", "op", "start_index", "end_index",
+                                                      "text", "style")
 
 
 def q_article_stats(spark, sf_dir):
@@ -262,7 +265,7 @@ SELECT page_id, ord, 1, 'insertText', start_index + 1, NULL, chr(10), NULL FROM
 
 def _requests_sql() -> str:
     return f"""WITH req AS (
-  SELECT url FROM pages WHERE page_id % 2 = 0
+  SELECT url FROM pages
   UNION ALL
   SELECT 'https://unknown.example.com/missing/' || CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 10 = 0)
 SELECT r.url, 'popup' AS format_type, {S.q(W.DEFAULT_CATEGORY)} AS category, p.page_id, p.page_id IS NOT NULL AS has_page

@@ -123,9 +123,9 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests: every even page's url, plus one unknown url per ten pages."""
+    """Requests: every page's url, plus one unknown url per ten pages (no page)."""
     p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
-    known = p.filter(F.col("page_id") % 2 == 0).select("url")
+    known = p.select("url")
     unknown = p.filter(F.col("page_id") % 10 == 0).select(
         F.concat(F.lit("https://unknown.example.com/missing/"), _s(F.col("page_id"))).alias("url"))
     return known.unionByName(unknown).withColumn("format_type", F.lit("popup"))
