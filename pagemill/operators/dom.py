@@ -267,9 +267,11 @@ def _parse_batches(id_names, html_name):
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a CPU-bound Python step at least one task per core.
 
-    Only when the input has fewer partitions than the cluster's parallelism (a
-    small file with one row group) is it spread round-robin; on large inputs,
-    whose splits far outnumber the cores, the html is never shuffled.
+    For a plain file scan (call it on the reader's output, before any shuffle:
+    counting partitions then only lists files). Only when the input has fewer
+    splits than the cluster's parallelism (a small file with one row group) is
+    it spread round-robin; large inputs, whose splits far outnumber the cores,
+    never shuffle their html.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
@@ -285,7 +287,7 @@ def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
     so nothing is pushed through it.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != html_col]
-    src = spread(df.select(*keep, html_col))
+    src = df.select(*keep, html_col)
     fields = [src.schema[c] for c in keep]
     out_schema = T.StructType(fields + [
         T.StructField("page_text", T.StringType()),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqlexpr as X
 from ..functions import words as W
 from ..functions.text import left, nullif_empty, py_strip, squeeze_ws
 from .dom import first_node, inside, node_text
@@ -188,8 +189,10 @@ def add_content_type(df: DataFrame, text_col: str, out_col: str = "content_type"
     (kept as a separate projection because it is used by every keyword test),
     then the keyword classes are tested on it."""
     lt = "_lower_text"
+    parts = " ".join(f"WHEN {X.contains_any(lt, kws)} THEN {X.lit(name)}" for name, kws in W.CONTENT_TYPES)
+    expr = F.expr(f"CASE {parts} ELSE {X.lit(W.DEFAULT_CONTENT_TYPE)} END")
     return (df.withColumn(lt, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-            .withColumn(out_col, content_type(F.col(lt), lowered=True)).drop(lt))
+            .withColumn(out_col, expr).drop(lt))
 
 
 def content_type(text: Column, lowered: bool = False) -> Column:

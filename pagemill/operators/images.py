@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sqlexpr as X
 from ..functions import words as W
 from ..functions.images import (background_urls, chosen_src, image_importance, image_quality,
-                                resolve_url, valid_image_url)
-from .dom import has_class, inside
+                                resolve_url, size_int, valid_image_url)
+from .dom import inside
 
 # A descendant selector "A B" can never win: its last part B is tried on its
 # own earlier in the list and matches the same element first.
@@ -32,102 +33,105 @@ for _i, _s in enumerate(W.MAIN_AREA_SELECTORS):
         assert _LAST_PARTS[_i] in W.MAIN_AREA_SELECTORS[:_i], _s
 
 
-def _simple_selector(n: Column, sel: str) -> Column:
+def _selector_sql(n: str, sel: str) -> str:
     if sel.startswith("."):
-        return has_class(n, sel[1:])
+        return f"array_contains({n}.classes, {X.lit(sel[1:])})"
     if sel.startswith("#"):
-        return F.coalesce(n["attrs"]["id"] == F.lit(sel[1:]), F.lit(False))
-    return n["tag"] == F.lit(sel)
+        return f"coalesce({n}.attrs['id'] = {X.lit(sel[1:])}, false)"
+    return f"{n}.tag = {X.lit(sel)}"
 
 
-def _first_rank(n: Column, preds) -> Column:
-    expr = None
-    for i, p in enumerate(preds):
-        expr = F.when(p, F.lit(i)) if expr is None else expr.when(p, F.lit(i))
-    return expr
+def _rank_sql(conds) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(conds)) + " END"
 
 
-def main_area_rank(n: Column) -> Column:
+def main_area_rank_sql(n: str = "n") -> str:
     """Index of the first main-area selector that matches node ``n``."""
-    preds = [_simple_selector(n, s) for s in W.MAIN_AREA_SELECTORS if " " not in s]
-    return _first_rank(n, preds)
+    return _rank_sql([_selector_sql(n, s) for s in W.MAIN_AREA_SELECTORS if " " not in s])
 
 
-def main_area(nodes: Column) -> Column:
+def main_area(nodes: str = "nodes") -> Column:
     """The first node of the first selector that has a hit, as (rank, node_id, last_id)."""
-    ranked = F.transform(nodes, lambda n: F.struct(main_area_rank(n).alias("rank"), n["node_id"].alias("node_id"),
-                                                   n["last_id"].alias("last_id")))
-    return F.array_min(F.filter(ranked, lambda x: x["rank"].isNotNull()))
+    return F.expr(
+        f"array_min(filter(transform({nodes}, n -> named_struct('rank', {main_area_rank_sql('n')}, "
+        f"'node_id', n.node_id, 'last_id', n.last_id)), x -> x.rank IS NOT NULL))")
 
 
-def article_areas(nodes: Column) -> Column:
+def article_areas(nodes: str = "nodes") -> Column:
     """I7 areas: nodes carrying one of the article classes, with the best selector rank."""
-    ranked = F.transform(nodes, lambda n: F.struct(
-        _first_rank(n, [has_class(n, c) for c in W.ARTICLE_AREA_CLASSES]).alias("rank"),
-        n["node_id"].alias("node_id"), n["last_id"].alias("last_id")))
-    return F.filter(ranked, lambda x: x["rank"].isNotNull())
+    rank = _rank_sql([f"array_contains(n.classes, {X.lit(c)})" for c in W.ARTICLE_AREA_CLASSES])
+    return F.expr(
+        f"filter(transform({nodes}, n -> named_struct('rank', {rank}, 'node_id', n.node_id, "
+        f"'last_id', n.last_id)), x -> x.rank IS NOT NULL)")
 
 
-_CAND = ("kind string, node_id int, idx int, raw string, alt string, cls string, w string, h string, "
-         "p_cls string, p_id string, in_main boolean, a_rank int, a_node int")
-
-
-def _cand(kind, node_id, idx, raw, alt=None, cls=None, w=None, h=None, p_cls=None, p_id=None,
+def _cand(kind, node_id, idx, raw=None, attrs=None, cls=None, p_cls=None, p_id=None,
           in_main=None, a_rank=None, a_node=None) -> Column:
+    """One candidate struct; every kind has the same fields so they concatenate."""
     def v(x, t):
         return (F.lit(None) if x is None else x).cast(t)
     return F.struct(
         F.lit(kind).alias("kind"), v(node_id, "int").alias("node_id"), v(idx, "int").alias("idx"),
-        v(raw, "string").alias("raw"), v(alt, "string").alias("alt"), v(cls, "string").alias("cls"),
-        v(w, "string").alias("w"), v(h, "string").alias("h"), v(p_cls, "string").alias("p_cls"),
-        v(p_id, "string").alias("p_id"), v(in_main, "boolean").alias("in_main"),
-        v(a_rank, "int").alias("a_rank"), v(a_node, "int").alias("a_node"))
+        v(raw, "string").alias("raw"), v(attrs, "map<string,string>").alias("attrs"),
+        v(cls, "string").alias("cls"), v(p_cls, "string").alias("p_cls"), v(p_id, "string").alias("p_id"),
+        v(in_main, "boolean").alias("in_main"), v(a_rank, "int").alias("a_rank"), v(a_node, "int").alias("a_node"))
 
 
 def page_candidates(dom: DataFrame) -> DataFrame:
     """All image candidates of every page, one row each (before zones).
 
-    Output: page_id, page_url, kind ('img' | 'meta' | 'bg'), node_id, idx,
-    url (resolved for img), valid, in_main, a_rank, a_node, importance, main_rank.
+    In-row (inside the array lambdas) only the structural facts are taken:
+    node, parent class/id, main-area membership, best article area. Source
+    choice, URL join, validity and importance run after the explode as plain
+    column expressions.
+
+    Output: page_id, page_url, main_rank, kind ('img' | 'meta' | 'bg'),
+    node_id, idx, raw, url, valid, in_main, a_rank, a_node, importance.
     """
     nodes = F.col("nodes")
     staged = dom.select("page_id", F.col("url").alias("page_url"), "nodes",
-                        main_area(nodes).alias("_main"), article_areas(nodes).alias("_areas"))
+                        main_area().alias("_main"), article_areas().alias("_areas"))
     main, areas = F.col("_main"), F.col("_areas")
 
     def img_cand(n):
         parent = F.get(nodes, n["parent_id"])
         akey = F.array_min(F.transform(F.filter(areas, lambda a: inside(n, a)),
                                        lambda a: F.struct(a["rank"].alias("r"), a["node_id"].alias("id"))))
-        return _cand("img", n["node_id"], F.lit(0), chosen_src(n["attrs"]), n["attrs"]["alt"],
-                     F.array_join(n["classes"], " "), n["attrs"]["width"], n["attrs"]["height"],
-                     F.array_join(parent["classes"], " "), parent["attrs"]["id"],
-                     F.coalesce(main.isNotNull() & inside(n, main), F.lit(False)), akey["r"], akey["id"])
+        return _cand("img", n["node_id"], F.lit(0), attrs=n["attrs"], cls=F.array_join(n["classes"], " "),
+                     p_cls=F.array_join(parent["classes"], " "), p_id=parent["attrs"]["id"],
+                     in_main=F.coalesce(main.isNotNull() & inside(n, main), F.lit(False)),
+                     a_rank=akey["r"], a_node=akey["id"])
 
     imgs = F.transform(F.filter(nodes, lambda n: n["tag"] == "img"), img_cand)
 
-    metas = []
-    for i, (key, value) in enumerate(W.META_IMAGE_TAGS):
-        m = F.get(F.filter(nodes, lambda n: (n["tag"] == "meta") & (n["attrs"][key] == F.lit(value))), 0)
-        metas.append(F.when(m.isNotNull(), _cand("meta", m["node_id"], F.lit(i),
-                                                 F.coalesce(m["attrs"]["content"], F.lit("")))))
-    metas = F.filter(F.array(*metas), lambda x: x.isNotNull())
+    preds = {f"m{i}": (lambda key, value: lambda n: (n["tag"] == "meta") & F.coalesce(
+        n["attrs"][key] == F.lit(value), F.lit(False)))(key, value)
+        for i, (key, value) in enumerate(W.META_IMAGE_TAGS)}
+    from .fields import first_ids
+    meta_ids = first_ids(nodes, preds)
+    metas = F.filter(F.array(*[
+        F.when(meta_ids[f"m{i}"].isNotNull(), _cand(
+            "meta", meta_ids[f"m{i}"], F.lit(i),
+            raw=F.coalesce(F.get(nodes, meta_ids[f"m{i}"])["attrs"]["content"], F.lit(""))))
+        for i in range(len(W.META_IMAGE_TAGS))]), lambda x: x.isNotNull())
 
     styled = F.filter(nodes, lambda n: n["attrs"]["style"].isNotNull())
     bgs = F.flatten(F.transform(styled, lambda n: F.transform(
         F.coalesce(background_urls(n["attrs"]["style"]), F.array().cast("array<string>")),
-        lambda u, i: _cand("bg", n["node_id"], i, u))))
+        lambda u, i: _cand("bg", n["node_id"], i, raw=u))))
 
     exploded = staged.select("page_id", "page_url", main["rank"].alias("main_rank"),
                              F.explode(F.concat(imgs, metas, bgs)).alias("c")).select(
         "page_id", "page_url", "main_rank", "c.*")
-    url = F.when(F.col("kind") == "img", resolve_url(F.col("page_url"), F.col("raw"))).otherwise(F.col("raw"))
-    out = exploded.withColumn("url", url)
+    is_img = F.col("kind") == "img"
+    with_raw = exploded.withColumn("raw", F.when(is_img, chosen_src("attrs")).otherwise(F.col("raw")))
+    url = F.when(is_img, resolve_url(F.col("page_url"), F.col("raw"))).otherwise(F.col("raw"))
+    out = (with_raw.withColumn("url", url)
+           .withColumn("_w", size_int("attrs['width']")).withColumn("_h", size_int("attrs['height']")))
     return out.select(
         "page_id", "page_url", "main_rank", "kind", "node_id", "idx", "raw", "url",
-        valid_image_url(F.col("url")).alias("valid"), "in_main", "a_rank", "a_node",
-        F.when(F.col("kind") == "img", image_importance(F.col("alt"), F.col("cls"), F.col("p_cls"), F.col("p_id"),
-                                                        F.col("w"), F.col("h"))).alias("importance"))
+        valid_image_url("url").alias("valid"), "in_main", "a_rank", "a_node",
+        F.when(is_img, image_importance("attrs['alt']", "cls", "p_cls", "p_id", "_w", "_h")).alias("importance"))
 
 
 def zone_candidates(cands: DataFrame) -> DataFrame:
@@ -199,7 +203,7 @@ def rank_images(merged: DataFrame) -> DataFrame:
 
     Output ``page_images(page_id, pos, url, quality)``.
     """
-    scored = merged.withColumn("quality", image_quality(F.col("url")))
+    scored = merged.withColumn("quality", image_quality("url"))
     w = Window.partitionBy("page_id").orderBy(F.col("quality").desc(), F.col("list_pos"))
     return (scored.withColumn("pos", F.row_number().over(w))
             .filter(F.col("pos") <= W.FINAL_IMAGE_CAP)

@@ -40,7 +40,7 @@ def _seq(df, order):
 
 def q_main_area(spark, sf_dir):
     d = IM.page_candidates(gallery_dom(spark, sf_dir))
-    names = [s for s in W.MAIN_AREA_SELECTORS if " " not in s]
+    names = [s for s in W.MAIN_AREA_SELECTORS if " " not in s]  # descendant selectors never win
     sel = None
     for i, name in enumerate(names):
         c = F.col("main_rank") == i
@@ -81,7 +81,7 @@ def q_image_importance(spark, sf_dir):
 
 def q_image_quality(spark, sf_dir):
     c = _cands(spark, sf_dir).filter((F.col("kind") == "img") & F.col("valid"))
-    return c.select("page_id", "url", image_quality(F.col("url")).alias("quality"))
+    return c.select("page_id", "url", image_quality("url").alias("quality"))
 
 
 def _zone_seq(spark, sf_dir, zone, order):

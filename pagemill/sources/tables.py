@@ -29,6 +29,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
-def read_pages(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """R1 ``page_source``: the page bodies as a table ``(page_id, url, html)``."""
-    return read_table(spark, sf_dir, "pages", ["page_id", "url", "html"], where)
+def read_pages(spark: SparkSession, sf_dir: str, where: Column | None = None,
+               spread_small: bool = True) -> DataFrame:
+    """R1 ``page_source``: the page bodies as a table ``(page_id, url, html)``.
+
+    ``spread_small`` spreads an input with fewer splits than cores (the parse
+    that follows is CPU-bound); large inputs are left as they are.
+    """
+    df = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"], where)
+    if spread_small:
+        from ..operators.dom import spread
+        df = spread(df)
+    return df

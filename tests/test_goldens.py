@@ -26,7 +26,7 @@ def one(spark, expr, **cols):
     ("https://a.example/page.html", False),
 ])
 def test_valid_image_url(spark, url, ok):
-    assert one(spark, valid_image_url(F.col("u")), u=url) is ok
+    assert one(spark, valid_image_url("u"), u=url) is ok
 
 
 @pytest.mark.parametrize("url,score", [
@@ -37,11 +37,12 @@ def test_valid_image_url(spark, url, ok):
     ("https://domain.example/News/x.png", 16),
 ])
 def test_image_quality(spark, url, score):
-    assert one(spark, image_quality(F.col("u")), u=url) == score
+    assert one(spark, image_quality("u"), u=url) == score
 
 
 def test_image_importance(spark):
-    e = image_importance(F.col("alt"), F.col("cls"), F.col("pc"), F.col("pid"), F.col("w"), F.col("h"))
+    from pagemill.functions import sqlexpr as X
+    e = image_importance("alt", "cls", "pc", "pid", X.py_int("w"), X.py_int("h"))
     assert one(spark, e, alt="New goods", cls="hero featured", pc="", pid="", w="400", h="100") == 9
     assert one(spark, e, alt="", cls="header-logo", pc="", pid="", w=None, h=None) == -9
     assert one(spark, e, alt="", cls="", pc="", pid="", w="100%", h="50") == 0
@@ -53,7 +54,7 @@ def test_image_src_choice_and_resolution(spark):
         [({"src": "", "data-src": "/a,b.jpg"},), ({"srcset": "/a.jpg 2x"},),
          ({"src": "data:image/png;base64,AAAA", "data-src": "https://x/y.jpg"},), ({"src": "//img.e.org/t.gif"},)],
         "attrs map<string,string>")
-    out = df.select(chosen_src(F.col("attrs")).alias("raw")).select(
+    out = df.select(chosen_src("attrs").alias("raw")).select(
         "raw", resolve_url(F.lit("https://a.example/x/index.html"), F.col("raw")).alias("url")).collect()
     assert [r["raw"] for r in out] == ["/a", "/a.jpg 2x", "data:image/png;base64", "//img.e.org/t.gif"]
     assert [r["url"] for r in out] == ["https://a.example/a", "https://a.example/a.jpg 2x",
