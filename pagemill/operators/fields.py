@@ -209,16 +209,20 @@ def content_type(text: Column, lowered: bool = False) -> Column:
 
 
 def page_metadata(fields: DataFrame) -> Column:
-    """The metadata map; a key is absent when its source is absent."""
+    """The metadata map; a key is absent when its source is absent, and a
+    page whose fetch failed (no html) has an empty map. ``full_content`` is the
+    whole-page text, which is also the record text."""
+    full = F.col("full_text") if "full_text" in fields.columns else F.col("text_content")
     m = F.create_map(
         F.lit("source_url"), F.col("url"),
         F.lit("page_title"), F.col("page_title"),
         F.lit("meta_description"), F.col("meta_description"),
-        F.lit("full_content"), F.col("full_text"),
+        F.lit("full_content"), full,
         F.lit("base_url"), F.col("base_url"),
         F.lit("content_type"), F.col("content_type"),
     )
-    return F.map_filter(m, lambda k, v: v.isNotNull())
+    return F.when(full.isNotNull(), F.map_filter(m, lambda k, v: v.isNotNull())).otherwise(
+        F.create_map().cast("map<string,string>"))
 
 
 def source_url(url: Column, metadata: Column | None = None) -> Column:

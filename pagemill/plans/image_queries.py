@@ -153,10 +153,16 @@ def q_rendered_merge(spark, sf_dir):
 
 
 def page_records(spark, sf_dir, pages=None):
-    """Assembled records; images from the image stage (empty when none)."""
+    """Assembled records; images from the image stage (empty when none).
+
+    The parse is written once (both the fields and the image stage read it).
+    Only one copy of the text crosses the join shuffle: the metadata map, whose
+    ``full_content`` equals the record text, is built after the join.
+    """
     pages = pages if pages is not None else read_pages(spark, sf_dir)
     dom = reliable_checkpoint(parse_html(pages))
-    fields = page_fields(dom)
+    fields = page_fields(dom).select("page_id", "url", "title", "description", "text_content", "page_title",
+                                     "meta_description", "base_url", "content_type")
     imgs = IM.image_lists(IM.page_images(dom))
     r = fields.join(imgs, "page_id", "left")
     r = r.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))

@@ -81,3 +81,25 @@ def test_salted_join_equals_plain_join(spark):
                  .select("id", "key", "v").collect())
     want = sorted(tuple(r) for r in left.join(right, "key", "left").select("id", "key", "v").collect())
     assert got == want
+
+
+def test_stream_equals_batch(spark):
+    from pagemill.plans import sink_queries as SQ
+    cols = ["page_id", "url", "title", "description", "text_content", "n_images", "content_type"]
+    stream = sorted(tuple(r) for r in SQ.q_page_stream(spark, SMALL).select(*cols).collect())
+    batch = sorted(tuple(r) for r in IQ.q_page_records(spark, SMALL).select(*cols).collect())
+    assert stream == batch and len(batch) > 0
+
+
+def test_metadata_map_keys(spark):
+    df = spark.createDataFrame(
+        [(1, "https://a.example/x", '<title> T </title><meta name="description" content=" D "><p>text</p>'),
+         (2, "https://a.example/y", "<p>no title here</p>"),
+         (3, "https://a.example/z", None)], "page_id long, url string, html string")
+    r = {x["page_id"]: x for x in IQ.page_records(spark, SMALL, df).collect()}
+    m1 = r[1]["metadata"]
+    assert m1["page_title"] == "T" and m1["meta_description"] == "D" and m1["base_url"] == "https://a.example"
+    assert set(m1) == {"source_url", "page_title", "meta_description", "full_content", "base_url", "content_type"}
+    assert r[1]["description"] == "D"
+    assert set(r[2]["metadata"]) == {"source_url", "full_content", "base_url", "content_type"}
+    assert r[3]["metadata"] == {} and r[3]["title"] is None and r[3]["images"] == []
