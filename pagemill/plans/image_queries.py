@@ -267,8 +267,8 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
   WHERE rn = 1),
 {p}capped AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY page_id, zone
-                                 ORDER BY CASE WHEN zone = 3 THEN -importance ELSE 0 END, k1, k3) AS zone_rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY page_id, zone
+                                 ORDER BY CASE WHEN zone = 3 THEN -importance ELSE 0 END, k1, k3) AS INTEGER) AS zone_rank
     FROM {p}seen)
   WHERE zone_rank <= CASE zone WHEN 1 THEN {W.ZONE_CAPS[1]} WHEN 2 THEN {W.ZONE_CAPS[2]} WHEN 3 THEN {W.ZONE_CAPS[3]}
                                WHEN 4 THEN {W.ZONE_CAPS[4]} ELSE {W.ZONE_CAPS[5]} END),
@@ -277,7 +277,7 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
             sum(CASE WHEN zone = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id) AS n4
   FROM {p}capped),
 {p}merged AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY zone, zone_rank) AS list_pos
+  SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY zone, zone_rank) AS INTEGER) AS list_pos
   FROM {p}counted
   WHERE zone <= 3
      OR (zone = 4 AND n123 < {W.META_FALLBACK_BELOW})
@@ -285,7 +285,7 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
 {p}ranked AS (
   SELECT * FROM (
     SELECT page_id, url, quality,
-           row_number() OVER (PARTITION BY page_id ORDER BY quality DESC, list_pos) AS pos
+           CAST(row_number() OVER (PARTITION BY page_id ORDER BY quality DESC, list_pos) AS INTEGER) AS pos
     FROM (SELECT *, {S.quality('url')} AS quality FROM {p}merged))
   WHERE pos <= {W.FINAL_IMAGE_CAP})"""
 
@@ -340,11 +340,11 @@ ORACLE = {
     "valid_image_url": _g("SELECT page_id, url, valid FROM v"),
     "image_importance": _g("SELECT page_id, url, importance FROM v"),
     "image_quality": _g(f"SELECT page_id, url, {S.quality('url')} AS quality FROM v WHERE valid"),
-    "main_images": _g("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k1, k3) AS seq, url "
+    "main_images": _g("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k1, k3) AS INTEGER) AS seq, url "
                       "FROM zones WHERE zone = 1"),
-    "article_images": _g("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k1, k3) AS seq, url "
+    "article_images": _g("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k1, k3) AS INTEGER) AS seq, url "
                          "FROM zones WHERE zone = 2"),
-    "general_images": _g("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k3) AS seq, url, "
+    "general_images": _g("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k3) AS INTEGER) AS seq, url, "
                          "importance FROM zones WHERE zone = 3"),
     "meta_images": _g("SELECT page_id, k1 AS meta_idx, url FROM zones WHERE zone = 4"),
     "background_images": _g("SELECT page_id, url FROM zones WHERE zone = 5"),
