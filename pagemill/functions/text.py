@@ -43,21 +43,6 @@ def contains_any(c: Column, words) -> Column:
     return out
 
 
-def count_hits(c: Column, words, points) -> Column:
-    """Sum of ``points`` for every word found as a substring (each counted once)."""
-    total = F.lit(0)
-    for w in words:
-        total = total + F.when(c.contains(w), F.lit(points)).otherwise(F.lit(0))
-    return total
-
-
-def weighted_hits(c: Column, pairs) -> Column:
-    total = F.lit(0)
-    for w, p in pairs:
-        total = total + F.when(c.contains(w), F.lit(p)).otherwise(F.lit(0))
-    return total
-
-
 def py_int(c: Column) -> Column:
     """``int(s)`` for decimal strings with optional sign and surrounding spaces, else NULL."""
     return F.when(c.rlike(r"^" + WS_CLASS + r"*[+-]?[0-9]+" + WS_CLASS + r"*$"),

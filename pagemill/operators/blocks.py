@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions import words as W
 from ..functions.images import asset_checks
 from ..functions.text import contains_any, py_strip
-from .dom import inside, node_text
+from .dom import node_text, subtree
 from .joins import salted_left_join
 
 HEADINGS = [f"h{i}" for i in range(1, 7)]
@@ -156,7 +156,7 @@ def list_blocks(art_dom: DataFrame) -> DataFrame:
 
     def lines(e):
         t = py_strip(node_text(text, e))
-        lis = F.filter(nodes, lambda n: (n["tag"] == "li") & inside(n, e))
+        lis = F.filter(subtree(nodes, e), lambda n: n["tag"] == "li")
         li_lines = F.transform(F.filter(F.transform(lis, lambda n: py_strip(node_text(text, n))), lambda s: s != ""),
                                lambda s: line(F.concat(F.lit(W.LIST_BULLET), s, F.lit("\n")), F.lit("NORMAL_TEXT")))
         return (F.when(F.length(t) < W.LIST_MIN_CHARS, F.array().cast("array<struct<text:string,style:string>>"))

@@ -315,12 +315,10 @@ def inside(node: Column, area: Column) -> Column:
     return (node["node_id"] > area["node_id"]) & (node["node_id"] <= area["last_id"])
 
 
-def has_class(node: Column, name: str) -> Column:
-    return F.array_contains(node["classes"], F.lit(name))
-
-
-def attr(node: Column, name: str) -> Column:
-    return node["attrs"][name]
+def subtree(nodes: Column, area: Column) -> Column:
+    """The proper descendants of ``area``: a contiguous slice in pre-order, so
+    scanning them costs the subtree's size, not the page's."""
+    return F.slice(nodes, area["node_id"] + 2, F.greatest(area["last_id"] - area["node_id"], F.lit(0)))
 
 
 def nodes_table(dom: DataFrame, *carry: str) -> DataFrame:

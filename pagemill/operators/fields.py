@@ -14,30 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import sqlexpr as X
 from ..functions import words as W
 from ..functions.text import left, nullif_empty, py_strip, squeeze_ws
-from .dom import first_node, inside, node_text
-
-
-def _meta(nodes: Column, key: str, value: str, alive=None) -> Column:
-    def pred(n):
-        p = (n["tag"] == "meta") & (n["attrs"][key] == F.lit(value))
-        return p if alive is None else p & alive(n)
-    return first_node(nodes, pred)
-
-
-def text_area(nodes: Column) -> Column:
-    """Main, else article, else div by class pattern, else div by id pattern."""
-    pat = "(?i)" + W.TEXT_AREA_PATTERN
-    return F.coalesce(
-        first_node(nodes, lambda n: n["tag"] == "main"),
-        first_node(nodes, lambda n: n["tag"] == "article"),
-        first_node(nodes, lambda n: (n["tag"] == "div") & F.exists(n["classes"], lambda c: c.rlike(pat))),
-        first_node(nodes, lambda n: (n["tag"] == "div") & F.coalesce(n["attrs"]["id"].rlike(pat), F.lit(False))),
-    )
-
-
-def removed_nodes(nodes: Column, area: Column) -> Column:
-    """Elements dropped from the tree by the main-text step (inside the text area)."""
-    return F.filter(nodes, lambda n: inside(n, area) & n["tag"].isin(*W.REMOVED_TEXT_TAGS))
+from .dom import first_node, node_text, subtree
 
 
 def alive_pred(removed: Column):
@@ -79,11 +56,6 @@ def first_ids(nodes: Column, preds: dict) -> Column:
     return F.aggregate(nodes, init, step)
 
 
-def subtree(nodes: Column, area: Column) -> Column:
-    """The proper descendants of ``area``: a contiguous slice in pre-order."""
-    return F.slice(nodes, area["node_id"] + 2, F.greatest(area["last_id"] - area["node_id"], F.lit(0)))
-
-
 def _lookups() -> dict:
     pat = "(?i)" + W.TEXT_AREA_PATTERN
 

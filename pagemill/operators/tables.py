@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.text import py_strip
-from .dom import first_node, inside, node_text, parse_html
+from .dom import first_node, node_text, parse_html, subtree
 
 TABLE_PATTERN = r'(?s)<table[^>]*class="' + W.INFO_TABLE_CLASS + r'"[^>]*>.*?</table>'
 
@@ -31,10 +31,10 @@ def info_table_rows(docs: DataFrame, html_col: str = "content") -> DataFrame:
     table = first_node(nodes, lambda n: n["tag"] == "table")
 
     def cell(tr, tag):
-        return F.get(F.filter(nodes, lambda n: (n["tag"] == tag) & inside(n, tr)), 0)
+        return F.get(F.filter(subtree(nodes, tr), lambda n: n["tag"] == tag), 0)
 
     rows = F.transform(
-        F.filter(nodes, lambda n: (n["tag"] == "tr") & inside(n, table)),
+        F.filter(subtree(nodes, table), lambda n: n["tag"] == "tr"),
         lambda tr: F.struct(tr["node_id"].alias("tr_id"),
                             py_strip(node_text(text, cell(tr, "th"))).alias("key"),
                             py_strip(node_text(text, cell(tr, "td"))).alias("value")))
@@ -55,15 +55,23 @@ def table_texts(rows: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def info_table_text(docs: DataFrame, html_col: str = "content") -> DataFrame:
-    """H3: the document text with every info table replaced by its text, tables in order."""
-    snippets = table_snippets(docs, html_col)
-    rows = info_table_rows(docs, html_col)
+    """H3: the document text with every info table replaced by its text, tables in order.
+
+    Only documents that contain an info table take part in the join (and its
+    shuffle); all others pass through unchanged.
+    """
+    has = F.coalesce(F.col(html_col).rlike(TABLE_PATTERN), F.lit(False))
+    with_tables = docs.filter(has)
+    snippets = table_snippets(with_tables, html_col)
+    rows = info_table_rows(with_tables, html_col)
+    # one row per page; its tables are bounded by that page's own markup
     texts = table_texts(rows, snippets).groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.struct("t_idx", "snippet", "table_text"))).alias("tables"))
-    joined = docs.select("page_id", F.col(html_col).alias("_c")).join(texts, "page_id", "left")
+    joined = with_tables.select("page_id", F.col(html_col).alias("_c")).join(texts, "page_id", "left")
     folded = F.aggregate(F.coalesce(F.col("tables"), F.array()), F.col("_c"),
                          lambda acc, t: F.replace(acc, t["snippet"], t["table_text"]))
-    return joined.select("page_id", folded.alias("text"))
+    rest = docs.filter(~has).select("page_id", F.col(html_col).alias("text"))
+    return joined.select("page_id", folded.alias("text")).unionByName(rest)
 
 
 def info_summary(rows: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ PAGE_SCHEMA = T.StructType([
 
 
 def run_page_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                    batch_fn, file_glob: str = "*.parquet", max_files_per_trigger: int = 1) -> None:
+                    batch_fn, file_glob: str = "*.parquet", max_files_per_trigger: int = 256) -> None:
     """Process every page file under ``source_dir`` not seen before, then stop.
 
     ``batch_fn(pages_df) -> DataFrame`` is the batch job (e.g. page records).
+    ``max_files_per_trigger`` bounds one micro-batch, so a backlog of files is
+    worked off in several bounded batches instead of one unbounded one.
     """
     stream = (spark.readStream.schema(PAGE_SCHEMA)
               .option("pathGlobFilter", file_glob)
