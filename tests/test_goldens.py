@@ -115,3 +115,21 @@ def test_fill_marks_udf(spark):
 
 def test_clean_html(spark):
     assert one(spark, clean_html(F.col("h")), h='<h2 id="x">A</h2><p>B</p>') == "【A】\nB"
+
+
+def test_info_tables_mixed_documents(spark):
+    from pagemill.operators import tables as TB
+    t = ('<table class="event-info-table"><tr><th>開催場所</th><td> 店 </td></tr>'
+         '<tr><th>アクセス</th></tr><tr><td>x</td><th>公式サイト</th></tr></table>')
+    df = spark.createDataFrame(
+        [(1, f"<p>a</p>{t}<p>b</p>{t}"), (2, "<p>no table</p>"), (3, None),
+         (4, '<table class="event-info-table wide"><tr><th>k</th><td>v</td></tr></table>')],
+        "page_id long, content string")
+    got = {r["page_id"]: r["text"] for r in TB.info_table_text(df).collect()}
+    block = "\n【開催情報】\n■ 開催場所: 店\n■ 公式サイト: x\n\n"
+    assert got == {1: f"<p>a</p>{block}<p>b</p>{block}", 2: "<p>no table</p>", 3: None,
+                   4: df.filter("page_id = 4").first()["content"]}
+    rows = TB.info_table_rows(df).filter("page_id = 1 AND t_idx = 0").orderBy("row_no").collect()
+    assert [(r["key"], r["value"]) for r in rows] == [("開催場所", "店"), ("公式サイト", "x")]
+    summ = TB.info_summary(TB.info_table_rows(df)).collect()
+    assert len(summ) == 1 and summ[0]["summary"] == "【開催情報】\n■ 公式サイト: x\n■ 開催場所: 店\n"
