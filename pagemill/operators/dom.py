@@ -41,7 +41,8 @@ VOID_TAGS = frozenset([
 HIDDEN_STRING_TAGS = frozenset(["script", "style", "template", "rt", "rp"])
 PRESERVE_WS_TAGS = frozenset(["pre", "textarea"])
 ROOT_TAG = "[document]"
-_ASCII_SPACES = str.maketrans("", "", "\x20\x0a\x09\x0c\x0d")
+_ASCII_SPACES = " \n\t\x0c\r"
+_NOT_ASCII_SPACE = re.compile(r"[^ \n\t\x0c\r]")
 _NON_WS = re.compile(r"\S+")
 
 NODE_TYPE = T.StructType([
@@ -87,9 +88,10 @@ class _TreeBuilder(HTMLParser):
     def _flush(self, visible: bool = True):
         if not self.pending:
             return
-        s = "".join(self.pending)
+        s = self.pending[0] if len(self.pending) == 1 else "".join(self.pending)
         self.pending = []
-        if s.translate(_ASCII_SPACES) == "" and not self.preserve_open:
+        # whitespace-only strings collapse; the first character settles most cases
+        if not self.preserve_open and (not s or (s[0] in _ASCII_SPACES and _NOT_ASCII_SPACE.search(s) is None)):
             s = "\n" if "\n" in s else " "
         if visible and not self.hidden_open:
             self.text.append(s)
@@ -124,9 +126,9 @@ class _TreeBuilder(HTMLParser):
     # -- tags --------------------------------------------------------------
     def _push(self, tag, attrs):
         self._flush()
-        amap = {}
-        for k, v in attrs:
-            amap[k] = "" if v is None else v
+        amap = dict(attrs)  # a repeated attribute keeps its last value
+        if None in amap.values():
+            amap = {k: ("" if v is None else v) for k, v in amap.items()}
         nid = len(self.tags)
         self.parent.append(self.stack[-1])
         self.last.append(nid)
