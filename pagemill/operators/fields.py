@@ -29,18 +29,23 @@ def cut_text(page_text: Column, lo: Column, hi: Column, removed: Column) -> Colu
     """Text of ``[lo, hi)`` with the text intervals of ``removed`` cut out.
 
     ``removed`` is in document order; nested intervals are skipped because the
-    running position has already passed them.
+    running position has already passed them. The fold collects only the kept
+    ``(start, length)`` ranges; the substrings are joined once at the end, so
+    the cost is linear in the text however many elements are removed.
     """
-    init = F.struct(lo.alias("pos"), F.lit("").alias("out"))
+    gap_t = "array<struct<s:int,l:int>>"
+    init = F.struct(lo.cast("int").alias("pos"), F.array().cast(gap_t).alias("gaps"))
 
     def step(acc, r):
-        take = F.greatest(F.least(r["txt_start"], hi) - acc["pos"], F.lit(0))
-        return F.struct(F.greatest(acc["pos"], r["txt_end"]).alias("pos"),
-                        F.concat(acc["out"], page_text.substr(acc["pos"] + 1, take)).alias("out"))
+        gap = F.struct(acc["pos"].alias("s"),
+                       F.greatest(F.least(r["txt_start"], hi) - acc["pos"], F.lit(0)).cast("int").alias("l"))
+        return F.struct(F.greatest(acc["pos"], r["txt_end"]).cast("int").alias("pos"),
+                        F.array_append(acc["gaps"], gap).alias("gaps"))
 
     acc = F.aggregate(F.coalesce(removed, F.array()), init, step)
+    kept = F.array_join(F.transform(acc["gaps"], lambda g: page_text.substr(g["s"] + 1, g["l"])), "")
     rest = F.greatest(hi - acc["pos"], F.lit(0))
-    return F.concat(acc["out"], page_text.substr(acc["pos"] + 1, rest))
+    return F.concat(kept, page_text.substr(acc["pos"] + 1, rest))
 
 
 def first_ids(nodes: Column, preds: dict) -> Column:

@@ -133,3 +133,12 @@ def test_info_tables_mixed_documents(spark):
     assert [(r["key"], r["value"]) for r in rows] == [("開催場所", "店"), ("公式サイト", "x")]
     summ = TB.info_summary(TB.info_table_rows(df)).collect()
     assert len(summ) == 1 and summ[0]["summary"] == "【開催情報】\n■ 公式サイト: x\n■ 開催場所: 店\n"
+
+
+def test_main_text_removal_nested_and_outside(spark):
+    html = ('<article>a<nav>N<nav>M</nav>n</nav>b<script>x</script>c<footer>F</footer>d</article>'
+            '<nav>out</nav>e')
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    r = page_fields(parse_html(df)).first()
+    assert r["main_text"] == "abcd"
+    assert r["full_text"] == "abcdoute"   # nav outside the text area stays
