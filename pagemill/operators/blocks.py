@@ -28,6 +28,7 @@ from .dom import node_text, subtree
 from .joins import salted_left_join
 
 HEADINGS = [f"h{i}" for i in range(1, 7)]
+_FAILED_HEAD, _FAILED_TAIL = W.IMAGE_FAILED_TEXT.split("{url}")
 
 
 def _is_mark(text: Column) -> Column:
@@ -98,7 +99,7 @@ def element_blocks(elements: DataFrame, assets: DataFrame | None = None,
               .when(heading, F.concat(F.lit("HEADING_"), F.substring("tag", 2, 1)))
               .otherwise(F.lit("NORMAL_TEXT")))
     txt = (F.when(is_img, F.lit(None).cast("string"))
-            .when(failed, F.concat(F.lit("[画像: "), F.col("image_url"), F.lit("]\n")))
+            .when(failed, F.concat(F.lit(_FAILED_HEAD), F.col("image_url"), F.lit(_FAILED_TAIL)))
             .otherwise(F.col("text")))
     out = e.select("page_id", "seq", kind.alias("kind"), "tag", style.alias("style"), txt.alias("text"),
                    F.when(F.col("is_mark"), F.col("image_url")).alias("image_url"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.images import asset_checks, image_importance, image_quality
+from ..functions.images import asset_checks, image_quality
 from ..operators import images as IM
 from ..operators.dom import parse_html
 from ..operators.fields import page_fields, page_metadata
