@@ -77,20 +77,16 @@ def _cand(kind, node_id, idx, raw=None, attrs=None, cls=None, p_cls=None, p_id=N
         v(in_main, "boolean").alias("in_main"), v(a_rank, "int").alias("a_rank"), v(a_node, "int").alias("a_node"))
 
 
-def page_candidates(dom: DataFrame) -> DataFrame:
-    """All image candidates of every page, one row each (before zones).
+def with_candidates(dom: DataFrame) -> DataFrame:
+    """Add ``main_rank`` and ``cands`` (the page's candidate structs) to dom rows.
 
     In-row (inside the array lambdas) only the structural facts are taken:
-    node, parent class/id, main-area membership, best article area. Source
-    choice, URL join, validity and importance run after the explode as plain
-    column expressions.
-
-    Output: page_id, page_url, main_rank, kind ('img' | 'meta' | 'bg'),
-    node_id, idx, raw, url, valid, in_main, a_rank, a_node, importance.
+    node, parent class/id, main-area membership (N3, N5, N6), best article area
+    (I7), the meta tags (I9) and inline backgrounds (I10). Other columns pass
+    through, so page fields can be computed in the same pass.
     """
     nodes = F.col("nodes")
-    staged = dom.select("page_id", F.col("url").alias("page_url"), "nodes",
-                        main_area().alias("_main"), article_areas().alias("_areas"))
+    staged = dom.withColumn("_main", main_area()).withColumn("_areas", article_areas())
     main, areas = F.col("_main"), F.col("_areas")
 
     def img_cand(n):
@@ -120,8 +116,20 @@ def page_candidates(dom: DataFrame) -> DataFrame:
         F.coalesce(background_urls(n["attrs"]["style"]), F.array().cast("array<string>")),
         lambda u, i: _cand("bg", n["node_id"], i, raw=u))))
 
-    exploded = staged.select("page_id", "page_url", main["rank"].alias("main_rank"),
-                             F.explode(F.concat(imgs, metas, bgs)).alias("c")).select(
+    return (staged.withColumn("main_rank", main["rank"])
+            .withColumn("cands", F.concat(imgs, metas, bgs)).drop("_main", "_areas"))
+
+
+def explode_candidates(df: DataFrame) -> DataFrame:
+    """``(page_id, url, main_rank, cands)`` to one row per candidate: source choice
+    (I1), URL join (I2, vectorised UDF), validity (I3) and importance (I4) as
+    plain column expressions.
+
+    Output: page_id, page_url, main_rank, kind ('img' | 'meta' | 'bg'),
+    node_id, idx, raw, url, valid, in_main, a_rank, a_node, importance.
+    """
+    exploded = df.select("page_id", F.col("url").alias("page_url"), "main_rank",
+                         F.explode(F.coalesce(F.col("cands"), F.array())).alias("c")).select(
         "page_id", "page_url", "main_rank", "c.*")
     is_img = F.col("kind") == "img"
     with_raw = exploded.withColumn("raw", F.when(is_img, chosen_src("attrs")).otherwise(F.col("raw")))
@@ -134,6 +142,16 @@ def page_candidates(dom: DataFrame) -> DataFrame:
         F.when(is_img, image_importance("attrs['alt']", "cls", "p_cls", "p_id", "_w", "_h")).alias("importance"))
 
 
+def page_candidates(dom: DataFrame) -> DataFrame:
+    """All image candidates of every page, one row each (before zones)."""
+    return explode_candidates(with_candidates(dom.select("page_id", "url", "nodes")))
+
+
+def ranked_from_candidates(cands: DataFrame) -> DataFrame:
+    """Candidate rows to the ranked list."""
+    return rank_images(fallback_zones(cap_per_zone(dedup_seen(zone_candidates(cands)))))
+
+
 def zone_candidates(cands: DataFrame) -> DataFrame:
     """Candidate rows per zone with their scan-order key (k1, k2, k3).
 
@@ -212,7 +230,7 @@ def rank_images(merged: DataFrame) -> DataFrame:
 
 def page_images(dom: DataFrame) -> DataFrame:
     """The whole image stage: dom rows to the ranked image list per page."""
-    return rank_images(fallback_zones(cap_per_zone(dedup_seen(zone_candidates(page_candidates(dom))))))
+    return ranked_from_candidates(page_candidates(dom))
 
 
 def image_lists(images: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.images import asset_checks, image_quality
 from ..operators import images as IM
+from ..operators import records as RC
 from ..operators.dom import parse_html
-from ..operators.fields import page_fields, page_metadata
 from ..sources.fixtures import gallery_assets, gallery_pages
 from ..session import reliable_checkpoint
 from ..sources.tables import read_pages
@@ -153,20 +153,9 @@ def q_rendered_merge(spark, sf_dir):
 
 
 def page_records(spark, sf_dir, pages=None):
-    """Assembled records; images from the image stage (empty when none).
-
-    The parse is written once (both the fields and the image stage read it).
-    Only one copy of the text crosses the join shuffle: the metadata map, whose
-    ``full_content`` equals the record text, is built after the join.
-    """
+    """P8 over the driver's pages (or the given pages)."""
     pages = pages if pages is not None else read_pages(spark, sf_dir)
-    dom = reliable_checkpoint(parse_html(pages))
-    fields = page_fields(dom).select("page_id", "url", "title", "description", "text_content", "page_title",
-                                     "meta_description", "base_url", "content_type")
-    imgs = IM.image_lists(IM.page_images(dom))
-    r = fields.join(imgs, "page_id", "left")
-    r = r.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))
-    return r.withColumn("metadata", page_metadata(r))
+    return RC.page_records(pages)
 
 
 def q_page_records(spark, sf_dir):

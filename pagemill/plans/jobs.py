@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ..operators import articles as AR
 from ..operators import blocks as BL
-from ..operators import images as IM
 from ..operators.dom import parse_html, spread
-from ..operators.fields import page_fields, page_metadata, source_url
+from ..operators.fields import source_url
+from ..operators.records import page_records
 from ..operators.joins import hot_keys
 from ..session import reliable_checkpoint
 from ..sources.sinks import write_articles, write_records
@@ -37,23 +37,7 @@ def scrape(pages: DataFrame, rendered: DataFrame | None = None) -> dict[str, Dat
     ``rendered`` (same shape) holds rendered snapshots; they are parsed only for
     pages with fewer than three static images (R4).
     """
-    dom = reliable_checkpoint(parse_html(pages))
-    static = IM.page_images(dom)
-    if rendered is not None:
-        static = reliable_checkpoint(static)
-
-        def rendered_for(ids):
-            return parse_html(rendered.join(ids, "page_id", "left_semi"))
-
-        ranked = IM.rendered_merge(static, pages.select("page_id"), rendered_for)
-    else:
-        ranked = static
-    fields = page_fields(dom).select("page_id", "url", "title", "description", "text_content", "page_title",
-                                     "meta_description", "base_url", "content_type")
-    recs = fields.join(IM.image_lists(ranked), "page_id", "left")
-    recs = recs.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))
-    recs = recs.withColumn("metadata", page_metadata(recs))
-    recs = reliable_checkpoint(recs)
+    recs = reliable_checkpoint(page_records(pages, rendered))
     prompts = build_prompts(recs.select("page_id", source_url(F.col("url"), F.col("metadata")).alias("source_url"),
                                         "text_content"))
     return {"records": recs, "prompts": prompts}
