@@ -25,7 +25,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["page_id", "url", "title", "description", "text_content", "content_type"]
+    assert df.columns == ["page_id", "url", "title", "description", "text_content", "content_type", "n_images"]
 
 
 def test_every_query_has_sql_or_is_listed():
