@@ -275,10 +275,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     it spread round-robin; large inputs, whose splits far outnumber the cores,
     never shuffle their html.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -56,22 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
     store); it is used as is. Local runs without it (tests) get a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's own setting applies
+        return d
+    d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
         return d
-    app = spark.sparkContext.applicationId
+    app = sc.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="pagemill-ckpt-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[app])
+        sc.setCheckpointDir(_LOCAL_DIRS[app])
     return _LOCAL_DIRS[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, "tables", name)
 
 
