@@ -203,17 +203,28 @@ def cap_per_zone(seen: DataFrame) -> DataFrame:
 
 def fallback_zones(capped: DataFrame) -> DataFrame:
     """Meta images only when fewer than 3 so far; one background only when
-    fewer than 2 after that. Adds ``list_pos``, the position in the merged list."""
+    fewer than 2 after that. Adds ``list_pos``, the position in the merged list.
+
+    ``list_pos`` is the rank within the zone plus the kept rows of the earlier
+    zones: per-page sums over the same ``page_id`` partitioning, so no extra
+    sort is needed for it.
+    """
     page = Window.partitionBy("page_id")
     z = F.col("zone")
-    n123 = F.sum(F.when(z <= 3, 1).otherwise(0)).over(page)
-    n4 = F.sum(F.when(z == 4, 1).otherwise(0)).over(page)
-    with_counts = capped.withColumn("_n123", n123).withColumn("_n4", n4)
-    meta_in = F.col("_n123") < W.META_FALLBACK_BELOW
-    bg_in = (F.col("_n123") + F.when(meta_in, F.col("_n4")).otherwise(0)) < W.BACKGROUND_FALLBACK_BELOW
-    kept = with_counts.filter((z <= 3) | ((z == 4) & meta_in) | ((z == 5) & bg_in))
-    order = Window.partitionBy("page_id").orderBy("zone", "zone_rank")
-    return kept.withColumn("list_pos", F.row_number().over(order)).drop("_n123", "_n4")
+
+    def n(zone):
+        return F.sum(F.when(z == zone, 1).otherwise(0)).over(page)
+
+    counted = capped.select("*", *[n(i).alias(f"_n{i}") for i in (1, 2, 3, 4)])
+    n123 = F.col("_n1") + F.col("_n2") + F.col("_n3")
+    meta_in = n123 < W.META_FALLBACK_BELOW
+    n4 = F.when(meta_in, F.col("_n4")).otherwise(0)
+    bg_in = (n123 + n4) < W.BACKGROUND_FALLBACK_BELOW
+    kept = counted.filter((z <= 3) | ((z == 4) & meta_in) | ((z == 5) & bg_in))
+    before = (F.when(z > 1, F.col("_n1")).otherwise(0) + F.when(z > 2, F.col("_n2")).otherwise(0)
+              + F.when(z > 3, F.col("_n3")).otherwise(0) + F.when(z > 4, n4).otherwise(0))
+    return (kept.withColumn("list_pos", (F.col("zone_rank") + before).cast("int"))
+            .drop("_n1", "_n2", "_n3", "_n4"))
 
 
 def rank_images(merged: DataFrame) -> DataFrame:
