@@ -8,8 +8,11 @@ Two failure modes of a plain shuffle join on such keys:
 ``salted_left_join`` spreads NULL-key rows by a hash of other columns (they
 never match anyway), and splits rows of *hot* keys over ``buckets`` salts,
 replicating only the matching right-side rows to every salt. The hot-key list
-is a bounded top-k (``max_hot`` rows), so broadcasting it is safe; keys past
-that bound take the ordinary path, where AQE's skew-join split still applies.
+is a bounded top-k (``max_hot`` rows) and only 64-bit hashes of the keys are
+broadcast, so its size is bounded in bytes (8 x ``max_hot``) whatever the key
+length. A hash collision merely salts one more key, which changes placement,
+never the result. Keys past the bound take the ordinary path, where AQE's
+skew-join split still applies.
 """
 
 from __future__ import annotations
@@ -35,17 +38,20 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt_cols: lis
                      hot: DataFrame | None = None, buckets: int = 32) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` without NULL-key or hot-key skew.
 
-    ``right`` must have at most one row per key (pre-aggregate it). ``salt_cols``
+    ``right`` may hold several rows per key: right rows of a hot key are copied
+    to every salt and each left row sits in exactly one salt, so each left row
+    meets each of its key's right rows once, as in a plain join. ``salt_cols``
     are left columns whose hash spreads rows deterministically (stable under
     task retries, unlike ``rand()``).
     """
     k = F.col(key)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(NULL_SPREAD))
     if hot is not None:
-        hot_b = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-        left = left.join(hot_b, key, "left")
-        right = right.join(hot_b, key, "left")
-        is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+        hot_b = F.broadcast(hot.select(F.xxhash64(F.col(key)).alias("_hk")).distinct()
+                            .withColumn("_hot", F.lit(True)))
+        left = left.withColumn("_hk", F.xxhash64(k)).join(hot_b, "_hk", "left").drop("_hk")
+        right = right.withColumn("_hk", F.xxhash64(k)).join(hot_b, "_hk", "left").drop("_hk")
+        is_hot = F.coalesce(F.col("_hot"), F.lit(False)) & k.isNotNull()
         salt = F.when(k.isNull(), spread).when(is_hot, F.pmod(spread, F.lit(buckets))).otherwise(F.lit(0))
         rsalt = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
     else:
