@@ -1,10 +1,10 @@
 """P8 page records: fields and ranked images of every page, with the R4 fallback.
 
-One pass over the parse computes the page fields *and* each page's array of
-image candidates; only that narrow result (one copy of the text, small
-structs) is written as the lineage cut, not the node table. The image stage
-then explodes the candidates (one Exchange, windows) and the ranked lists are
-joined back on ``page_id``.
+One narrow pass: the parse, then a projection that computes the page fields
+and each page's array of image candidates, then the in-row ranking of that
+array (``rank_inrow``). No join, no shuffle, and the parse output has a single
+consumer, so nothing needs to be written in between. Only with rendered
+snapshots do the pages under three images (few) join their rendered lists.
 """
 
 from __future__ import annotations
@@ -12,34 +12,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import words as W
 from ..session import reliable_checkpoint
 from . import images as IM
 from .dom import parse_html
 from .fields import page_fields, page_metadata
+from .rank_inrow import with_ranked_images
 
 RECORD_FIELDS = ["page_id", "url", "title", "description", "text_content", "page_title", "meta_description",
                  "base_url", "content_type"]
 
 
+def _ranked(pages: DataFrame, with_fields: bool) -> DataFrame:
+    dom = IM.with_candidates(parse_html(pages))
+    if with_fields:
+        base = page_fields(dom, keep=["page_id", "url", "cands"]).select(*RECORD_FIELDS, "cands")
+    else:
+        base = dom.select("page_id", "url", "cands")
+    out = with_ranked_images(base).drop("cands")
+    return out.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))
+
+
 def page_records(pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
     """Pages ``(page_id, url, html)`` to records ``(page_id, url, title,
     description, text_content, page_title, meta_description, base_url,
     content_type, images, metadata)``.
 
     ``rendered`` (same shape) holds rendered snapshots; they are parsed only for
-    pages with fewer than three static images (R4).
+    pages with fewer than three static images, whose lists then get the rendered
+    images appended, duplicates removed (R4).
     """
-    dom = IM.with_candidates(parse_html(pages))
-    stage = reliable_checkpoint(page_fields(dom, keep=["page_id", "url", "main_rank", "cands"])
-                                .select(*RECORD_FIELDS, "main_rank", "cands"))
-    ranked = IM.ranked_from_candidates(IM.explode_candidates(stage.select("page_id", "url", "main_rank", "cands")))
+    recs = _ranked(pages, with_fields=True)
     if rendered is not None:
-        ranked = reliable_checkpoint(ranked)
-
-        def rendered_for(ids):
-            return parse_html(rendered.join(ids, "page_id", "left_semi"))
-
-        ranked = IM.rendered_merge(ranked, stage.select("page_id"), rendered_for)
-    recs = stage.select(*RECORD_FIELDS).join(IM.image_lists(ranked), "page_id", "left")
-    recs = recs.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))
+        recs = reliable_checkpoint(recs)
+        few = F.size("images") < W.RENDER_BELOW
+        needy = recs.filter(few)
+        extra = _ranked(rendered.join(needy.select("page_id"), "page_id", "left_semi"), with_fields=False)
+        merged = needy.join(extra.select("page_id", F.col("images").alias("_r")), "page_id", "left").withColumn(
+            "images", F.when(F.size(F.coalesce(F.col("_r"), F.array())) > 0,
+                             F.array_distinct(F.concat("images", "_r"))).otherwise(F.col("images"))).drop("_r")
+        recs = recs.filter(~few).unionByName(merged)
     return recs.withColumn("metadata", page_metadata(recs))

@@ -103,3 +103,29 @@ def test_metadata_map_keys(spark):
     assert r[1]["description"] == "D"
     assert set(r[2]["metadata"]) == {"source_url", "full_content", "base_url", "content_type"}
     assert r[3]["metadata"] == {} and r[3]["title"] is None and r[3]["images"] == []
+
+
+def test_in_row_ranking_equals_window_ranking(spark):
+    from pagemill.operators.rank_inrow import with_ranked_images
+    from pagemill.sources.fixtures import gallery_pages
+    main = "".join(f'<img src="/m/{i}.jpg">' for i in range(6))
+    goods = "".join(f'<img src="/g/{i}.jpg">' for i in range(3))
+    other = "".join(f'<img src="/o/{i}.jpg" class="hero">' for i in range(4))
+    extra = spark.createDataFrame(
+        [(900001, "https://a.example/p/x.html", f'<main>{main}</main><div class="goods">{goods}</div><div>{other}</div>'),
+         (900002, "https://a.example/p/y.html", '<div style="background-image:url(a.jpg); b:url(c.jpg)"></div>'
+          '<meta property="og:image" content="https://x.example/og.png">'
+          '<img src="//i.example.org/pic.png" alt="event" width="500" height="10">')],
+        "page_id long, url string, html string")
+    dom = parse_html(gallery_pages(spark, SMALL).unionByName(extra))
+    windows = {r["page_id"]: list(r["images"]) for r in IM.image_lists(IM.page_images(dom)).collect()}
+    in_row = {r["page_id"]: list(r["images"]) for r in with_ranked_images(
+        IM.with_candidates(dom.select("page_id", "url", "nodes"))).select("page_id", "images").collect()
+        if r["images"]}
+    assert windows == in_row and len(windows[900001]) == 10
+
+
+def test_page_records_has_no_shuffle(spark):
+    from pagemill.operators.records import page_records
+    plan = plan_of(page_records(read_pages(spark, SMALL, spread_small=False)))
+    assert "Exchange" not in plan, plan
