@@ -23,7 +23,8 @@ RECORD_FIELDS = ["page_id", "url", "title", "description", "text_content", "page
                  "base_url", "content_type"]
 
 
-def _ranked(pages: DataFrame, with_fields: bool) -> DataFrame:
+def ranked_pages(pages: DataFrame, with_fields: bool = False) -> DataFrame:
+    """``(page_id, url, images)`` (plus the record fields when asked), one narrow pass."""
     dom = IM.with_candidates(parse_html(pages))
     if with_fields:
         base = page_fields(dom, keep=["page_id", "url", "cands"]).select(*RECORD_FIELDS, "cands")
@@ -42,12 +43,12 @@ def page_records(pages: DataFrame, rendered: DataFrame | None = None) -> DataFra
     pages with fewer than three static images, whose lists then get the rendered
     images appended, duplicates removed (R4).
     """
-    recs = _ranked(pages, with_fields=True)
+    recs = ranked_pages(pages, with_fields=True)
     if rendered is not None:
         recs = reliable_checkpoint(recs)
         few = F.size("images") < W.RENDER_BELOW
         needy = recs.filter(few)
-        extra = _ranked(rendered.join(needy.select("page_id"), "page_id", "left_semi"), with_fields=False)
+        extra = ranked_pages(rendered.join(needy.select("page_id"), "page_id", "left_semi"))
         merged = needy.join(extra.select("page_id", F.col("images").alias("_r")), "page_id", "left").withColumn(
             "images", F.when(F.size(F.coalesce(F.col("_r"), F.array())) > 0,
                              F.array_distinct(F.concat("images", "_r"))).otherwise(F.col("images"))).drop("_r")

@@ -16,7 +16,7 @@ from ..functions import templates as TPL
 from ..functions import words as W
 from ..operators import articles as AR
 from ..operators import blocks as BL
-from ..operators import images as IM
+from ..operators.records import ranked_pages
 from ..operators.dom import parse_html
 from ..operators.joins import hot_keys
 from ..operators.articles import HOT_THRESHOLD
@@ -32,9 +32,7 @@ STAMP = "2025-01-01 00:00:00"
 def articles(spark, sf_dir):
     """Articles of the gallery pages: url and ranked images (no other record
     fields are needed) merged with the generations."""
-    pages = gallery_pages(spark, sf_dir)
-    imgs = IM.image_lists(IM.page_images(parse_html(pages)))
-    recs = pages.select("page_id", "url").join(imgs, "page_id", "left")
+    recs = ranked_pages(gallery_pages(spark, sf_dir))
     return AR.merge_generations(recs, generations(spark, sf_dir))
 
 
