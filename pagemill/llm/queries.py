@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from pagemill.llm.bpe import op9_byte_bpe
+from pagemill.llm.decontam import OP10_SQL, op10_benchmark_decontamination
 from pagemill.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from pagemill.llm.langid import op6_language_id
 from pagemill.llm.simhash import op3_simhash_near_dedup
+from pagemill.llm.toxicity import op8_toxicity
+from pagemill.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE = {
+    "op4_warc": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }
