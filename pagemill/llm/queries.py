@@ -6,15 +6,21 @@ from pagemill.llm.bpe import op9_byte_bpe
 from pagemill.llm.decontam import OP10_SQL, op10_benchmark_decontamination
 from pagemill.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pagemill.llm.langid import op6_language_id
+from pagemill.llm.licenses import op7_license_scan
+from pagemill.llm.pii import op2_pii
 from pagemill.llm.simhash import op3_simhash_near_dedup
+from pagemill.llm.token_counts import op1_token_counts
 from pagemill.llm.toxicity import op8_toxicity
 from pagemill.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
