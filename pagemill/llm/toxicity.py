@@ -112,24 +112,20 @@ def fit_texts(texts: list[str], labels: list[int], share: float, significance: f
     sides = Counter(labels)
     if not sides[0] or not sides[1]:
         return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    sets = [features(t) for t in texts]
-    has: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for found, label in zip(sets, labels):
-        has[label].update(found)
-    ratio: dict[str, float] = {}
-    for g in has[0].keys() | has[1].keys():
-        p, q = has[1][g] + 0.5, has[0][g] + 0.5
-        r = np.log(p / (sides[1] + 1)) - np.log(q / (sides[0] + 1))
-        if p + q > least and abs(r) >= significance * np.sqrt(1 / p + 1 / q):
-            ratio[g] = float(r)
-    names = sorted(ratio)
-    ids = {g: i for i, g in enumerate(names)}
-    scale = np.array([ratio[g] for g in names])
-    rows = [np.array(sorted(ids[g] for g in found if g in ids), int) for found in sets]
+    numbers: dict[str, int] = {}  # a text is kept as the numbers of its n-grams, 4 bytes each
+    rows = [np.array([numbers.setdefault(g, len(numbers)) for g in sorted(features(t))], np.int32) for t in texts]
+    p, q = (0.5 + sum((np.bincount(r, minlength=len(numbers)) for r, label in zip(rows, labels) if label == side),
+                      np.zeros(len(numbers))) for side in (1, 0))
+    ratio = np.log(p / (sides[1] + 1)) - np.log(q / (sides[0] + 1))
+    used = (p + q > least) & (np.abs(ratio) >= significance * np.sqrt(1 / p + 1 / q))
+    place = np.cumsum(used) - 1
+    scale = ratio[used]
+    rows = [np.sort(place[r[used[r]]]) for r in rows]
     w, b = _logistic(rows, scale, y, penalty, rounds)
     # the sample holds the classes in another proportion than the table does
     b += np.log(share / (1 - share)) - np.log(sides[1] / sides[0])
-    return Model({g: float(v) for g, v in zip(names, w * scale)}, float(b))
+    weights = w * scale
+    return Model({g: float(weights[place[i]]) for g, i in numbers.items() if used[i]}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 10_000) -> Model:
