@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import read_table, text_or_empty
 
 #: Pieces, and pairs of tokens, that a worker remembers, and the longest piece remembered in characters.
-MEMO, MEMO_LENGTH = 500_000, 48
+MEMO, MEMO_LENGTH = 250_000, 48
 NEVER = 1 << 60
 
 
