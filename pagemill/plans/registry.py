@@ -9,20 +9,13 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["page_queries", "image_queries", "article_queries", "block_queries", "table_queries",
-            "sink_queries"]
+_MODULES = ["page_queries", "image_queries", "block_queries", "table_queries", "sink_queries"]
 
 
 def _load(attr):
     out = {}
     for m in _MODULES:
-        try:
-            mod = importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name and e.name.endswith(m):
-                continue
-            raise
-        out.update(getattr(mod, attr, {}))
+        out.update(getattr(importlib.import_module(f"{__package__}.{m}"), attr))
     return out
 
 

@@ -2,8 +2,8 @@
 
 The library never hard-codes cluster paths. Anything that must outlive a task
 (checkpoints, written tables) goes under ``spark.checkpoint.dir`` as set by the
-cluster; only when that setting is absent (local tests) do we pick a scratch
-folder ourselves.
+cluster; only in a local session without that setting (tests) do we pick a
+scratch folder ourselves.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 # Settings that matter for this workload: rows are whole documents, so Arrow
 # batches must stay small; AQE coalesces the small post-shuffle partitions and
-# splits skewed ones.
+# splits skewed ones. They apply only where the session does not say otherwise.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,25 +23,27 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.session.timeZone": "UTC",
-    # Parsing is CPU-bound Python; smaller input splits give more tasks.
-    "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
 }
+#: Caller's setting: read the page table in this many partitions (a shuffle of the html). Unset: as the files are.
+INPUT_PARTITIONS = "pagemill.inputPartitions"
 
 
 def get_session(master: str | None = None, app: str = "pagemill",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with the library's defaults; ``extra`` and the cluster's own settings win over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.ui.enabled", "false")
-    conf.setdefault("spark.driver.memory", "16g")
-    conf.update(extra or {})
+        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()} | set(conf)
+    for k, v in DEFAULT_CONF.items():
+        if k not in given:
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -51,32 +53,28 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a local one only if unset.
+    """The shared checkpoint folder, from ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store); it is used as is. Local runs without it (tests) get a scratch folder.
+    On a cluster it must be set: a folder of one machine would not do, so its
+    absence is an error. Local sessions without it (tests) get a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server's own setting applies
-        return d
-    d = d or sc.getConf().get("spark.checkpoint.dir", None)
-    if d:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(d)
-        return d
-    app = sc.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="pagemill-ckpt-")
-        sc.setCheckpointDir(_LOCAL_DIRS[app])
-    return _LOCAL_DIRS[app]
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = sc.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="pagemill-ckpt-")
+        d = _LOCAL_DIRS[app]
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(base, "tables", name)
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
 
 
 def reliable_checkpoint(df):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import words as W
 from .tables import read_table
 
 
@@ -20,6 +21,12 @@ def _s(c) -> Column:
 
 # ---------------------------------------------------------------- gallery
 
+#: Opening tag of the main box by page_id % 12, one for each selector that can win; the other pages have none.
+MAIN_BOXES = ["<main>", "<article>", '<div class="content">', '<div class="main-content">', '<div class="article-content">',
+              '<div class="post-content">', '<div class="entry-content">', '<div id="content">', '<div id="main">',
+              '<div id="article">']
+
+
 def gallery_rows(spark: SparkSession, sf_dir: str, rendered: bool = False) -> DataFrame:
     """One row per image: page_id, pos, k, zone of its container, markup."""
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
@@ -29,24 +36,27 @@ def gallery_rows(spark: SparkSession, sf_dir: str, rendered: bool = False) -> Da
                   F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("slug"))
     if rendered:
         df = df.filter(F.col("page_id") % 5 == 4)
-    else:
-        df = df.filter((F.col("page_id") % 5 != 4) | (F.col("pos") >= 15))
     k, pid, slug = F.col("k"), F.col("page_id"), F.col("slug")
-    zone = (F.when((F.col("pos") <= 10) & (pid % 3 != 0), F.lit(1))
+    rich = pid % 6 == 1  # pages with many good images, where the final cap bites
+    v = F.when(rich, F.lit(0)).otherwise(k % 8)
+    # pages that come out thin before they are rendered: these images are placeholders that I3 rejects
+    thin = F.lit(False) if rendered else (pid % 5 == 4) & (F.col("pos") < 15)
+    zone = (F.when((F.col("pos") <= 10) & (pid % 12 < len(MAIN_BOXES)), F.lit(1))
              .when(F.col("pos").between(11, 14), F.lit(2))
              .when(F.col("pos") <= 10, F.lit(3))
              .otherwise(F.lit(4)))  # 3: plain div before goods, 4: plain div after goods
-    src = (F.when(k % 8 == 0, F.concat(F.lit('src="https://cdn.example.net/large/'), slug, F.lit("-"), _s(k), F.lit('.jpg"')))
-            .when(k % 8 == 1, F.concat(F.lit('src="/media/'), slug, F.lit("_"), _s(k), F.lit('_800x600.png"')))
-            .when(k % 8 == 2, F.concat(F.lit('src="photo/'), slug, F.lit('.webp"')))
-            .when(k % 8 == 3, F.concat(F.lit('src="//img.example.org/thumb/'), _s(k), F.lit('.gif"')))
-            .when(k % 8 == 4, F.concat(F.lit('src="data:image/png;base64,AAAA" data-src="https://cdn.example.net/full/'),
+    src = (F.when(thin, F.concat(F.lit('src="/wait/spinner-'), _s(k), F.lit('.gif"')))
+            .when(v == 0, F.concat(F.lit('src="https://cdn.example.net/large/'), slug, F.lit("-"), _s(k), F.lit('.jpg"')))
+            .when(v == 1, F.concat(F.lit('src="/media/'), slug, F.lit("_"), _s(k), F.lit('_800x600.png"')))
+            .when(v == 2, F.concat(F.lit('src="photo/'), slug, F.lit('.webp"')))
+            .when(v == 3, F.concat(F.lit('src="//img.example.org/thumb/'), _s(k), F.lit('.gif"')))
+            .when(v == 4, F.concat(F.lit('src="data:image/png;base64,AAAA" data-src="https://cdn.example.net/full/'),
                                        _s(k), F.lit('.jpg"')))
-            .when(k % 8 == 5, F.concat(F.lit('src="/icons/logo-'), _s(k), F.lit('.svg"')))
-            .when(k % 8 == 6, F.concat(F.lit('srcset="/gallery/'), _s(k), F.lit("-400.jpg 400w, /gallery/"), _s(k),
+            .when(v == 5, F.concat(F.lit('src="/icons/logo-'), _s(k), F.lit('.svg"')))
+            .when(v == 6, F.concat(F.lit('srcset="/gallery/'), _s(k), F.lit("-400.jpg 400w, /gallery/"), _s(k),
                                        F.lit('-800.jpg 800w"')))
             .otherwise(F.lit('src="https://cdn.example.net/banner/new.jpg"')))
-    alt = F.when(k % 3 == 0, F.lit(' alt="New goods"')).otherwise(F.lit(' alt=""'))
+    alt = F.when(rich | (k % 3 == 0), F.lit(' alt="New goods"')).otherwise(F.lit(' alt=""'))
     cls = (F.when(k % 4 == 0, F.lit(' class="hero"')).when(k % 4 == 1, F.lit(' class="thumb"'))
             .when(k % 4 == 2, F.lit(' class="header-logo"')).otherwise(F.lit("")))
     size = (F.when(k % 5 == 0, F.lit(' width="600" height="400"')).when(k % 5 == 1, F.lit(' width="250" height="100"'))
@@ -54,13 +64,14 @@ def gallery_rows(spark: SparkSession, sf_dir: str, rendered: bool = False) -> Da
              .otherwise(F.lit("")))
     markup = F.concat(F.lit("<img "), src, alt, cls, size, F.lit(">"))
     host = F.concat(F.lit("https://shop"), _s(pid % 7), F.lit(".example.com"))
-    expected = (F.when(k % 8 == 0, F.concat(F.lit("https://cdn.example.net/large/"), slug, F.lit("-"), _s(k), F.lit(".jpg")))
-                 .when(k % 8 == 1, F.concat(host, F.lit("/media/"), slug, F.lit("_"), _s(k), F.lit("_800x600.png")))
-                 .when(k % 8 == 2, F.concat(host, F.lit("/goods/"), _s(pid), F.lit("/photo/"), slug, F.lit(".webp")))
-                 .when(k % 8 == 3, F.concat(F.lit("https://img.example.org/thumb/"), _s(k), F.lit(".gif")))
-                 .when(k % 8 == 4, F.lit("data:image/png;base64"))
-                 .when(k % 8 == 5, F.concat(host, F.lit("/icons/logo-"), _s(k), F.lit(".svg")))
-                 .when(k % 8 == 6, F.concat(host, F.lit("/gallery/"), _s(k), F.lit("-400.jpg")))
+    expected = (F.when(thin, F.concat(host, F.lit("/wait/spinner-"), _s(k), F.lit(".gif")))
+                 .when(v == 0, F.concat(F.lit("https://cdn.example.net/large/"), slug, F.lit("-"), _s(k), F.lit(".jpg")))
+                 .when(v == 1, F.concat(host, F.lit("/media/"), slug, F.lit("_"), _s(k), F.lit("_800x600.png")))
+                 .when(v == 2, F.concat(host, F.lit("/goods/"), _s(pid), F.lit("/photo/"), slug, F.lit(".webp")))
+                 .when(v == 3, F.concat(F.lit("https://img.example.org/thumb/"), _s(k), F.lit(".gif")))
+                 .when(v == 4, F.lit("data:image/png;base64"))
+                 .when(v == 5, F.concat(host, F.lit("/icons/logo-"), _s(k), F.lit(".svg")))
+                 .when(v == 6, F.concat(host, F.lit("/gallery/"), _s(k), F.lit("-400.jpg")))
                  .otherwise(F.lit("https://cdn.example.net/banner/new.jpg")))
     return df.select("page_id", "pos", "k", zone.alias("box"), markup.alias("markup"),
                      expected.alias("expected_src"))
@@ -84,12 +95,18 @@ def gallery_pages(spark: SparkSession, sf_dir: str, rendered: bool = False) -> D
                                        _s(pid), F.lit('.jpg">'))).otherwise(F.lit(""))
     tw = F.when(pid % 4 == 0, F.concat(F.lit('<meta name="twitter:image" content="https://cdn.example.net/image/tw-'),
                                        _s(pid), F.lit('.png">'))).otherwise(F.lit(""))
-    main = F.when(pid % 3 != 0, F.concat(F.lit("<main>"), box(1), F.lit("</main>"))).otherwise(
-        F.concat(F.lit("<div>"), box(3), F.lit("</div>")))
+    tags = F.array(*[F.lit(t) for t in MAIN_BOXES])
+    tag = F.get(tags, (pid % 12).cast("int"))
+    main = F.when(tag.isNotNull(), F.concat(tag, box(1), F.lit("</"), F.regexp_extract(tag, "^<([a-z]+)", 1), F.lit(">"))
+                  ).otherwise(F.concat(F.lit("<div>"), box(3), F.lit("</div>")))
+    # every article class has its turn; on odd pages the box stands in another area
+    goods = F.concat(F.lit('<div class="'), F.get(F.array(*map(F.lit, W.ARTICLE_AREA_CLASSES)), (pid % 18).cast("int")),
+                     F.lit('">'), box(2), F.lit("</div>"))
+    goods = F.when(pid % 2 == 1, F.concat(F.lit('<section class="gallery">'), goods, F.lit("</section>"))).otherwise(goods)
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>Gallery "), _s(pid), F.lit("</title>"), og, tw,
         F.lit("</head><body><h1>Goods "), _s(pid), F.lit("</h1>"), main,
-        F.lit('<div class="goods">'), box(2), F.lit("</div>"),
+        goods,
         F.lit("<div>"), box(4), F.lit("</div>"),
         F.lit("<div style=\"background-image: url('https://cdn.example.net/media/bg-"), _s(pid),
         F.lit(".jpg')\"><p>Visit us</p></div></body></html>"))
@@ -97,7 +114,8 @@ def gallery_pages(spark: SparkSession, sf_dir: str, rendered: bool = False) -> D
 
 
 def gallery_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Asset headers per distinct expected src: ``(url, content_type, content_length)``."""
+    """Downloads tried, ``(url, content_type, content_length, ok)``: none for every 11th src, a failed one for
+    every 13th, and a failed try before a good one for every 17th."""
     rows = gallery_rows(spark, sf_dir)
     first = rows.groupBy(F.col("expected_src").alias("url")).agg(F.min("k").alias("k"))
     k = F.col("k")
@@ -105,18 +123,22 @@ def gallery_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k % 6 == 2, F.lit("image/gif")).when(k % 6 == 3, F.lit("image/webp"))
               .when(k % 6 == 4, F.lit("text/html")).otherwise(F.lit("")))
     size = F.when(k % 7 != 0, k * 100000)
-    return first.select("url", ctype.alias("content_type"), size.cast("bigint").alias("content_length"))
+    once = first.filter(k % 11 != 0).select("k", "url", ctype.alias("content_type"), size.cast("bigint").alias("content_length"),
+                                            (k % 13 != 0).alias("ok"))
+    failed = once.filter(k % 17 == 0).withColumn("ok", F.lit(False))
+    return once.unionByName(failed).drop("k")
 
 
 # ---------------------------------------------------------------- articles
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated responses for gallery pages: none when page_id % 4 = 0, an
-    error when = 1, else a short article with one image mark."""
+    """Generated responses for gallery pages: none when page_id % 4 = 0, an error when = 1, else a short article
+    with a class to skip, a nested paragraph, one of the image marks, and texts that are too short."""
     pages = gallery_pages(spark, sf_dir).select("page_id")
     pid = F.col("page_id")
-    resp = F.concat(F.lit("<h2>Title "), _s(pid), F.lit("</h2><p>Body text for page "), _s(pid),
-                    F.lit(".</p><div>IMAGE_PLACEHOLDER</div><p>short</p>"))
+    mark = F.get(F.array(*map(F.lit, W.PLACEHOLDER_MARKS)), (pid % len(W.PLACEHOLDER_MARKS)).cast("int"))
+    resp = F.concat(F.lit("<h2>Title "), _s(pid), F.lit('</h2><div class="loads">Text that goes</div><div><p>Body text for page '),
+                    _s(pid), F.lit(".</p></div><div>"), mark, F.lit("</div><p>short</p><p>ab</p>"))
     return (pages.filter(pid % 4 != 0)
             .select("page_id", F.when(pid % 4 == 1, F.lit(None)).otherwise(resp).cast("string").alias("response"),
                     (pid % 4 == 1).alias("error")))
@@ -156,7 +178,9 @@ def info_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(F.lit("公式サイト"), F.concat(F.lit("https://s"), _s(k), F.lit(".example.com"))),
         row(F.lit("開催場所"), F.col("s_name")),
         row(F.lit("開催期間"), F.lit("2025")),
-        F.when(k % 3 == 0, F.lit("<tr><th>アクセス</th></tr>")).otherwise(F.lit("")),
+        F.when(k % 3 == 0, F.lit("<tr><th>アクセス</th></tr>")).when(k % 3 == 1, row(F.lit("アクセス・地図"), F.lit("駅前")))
+         .otherwise(F.lit("")),
+        F.when(k % 2 == 0, row(F.lit("お問い合わせ"), F.concat(F.lit("窓口"), _s(k)))).otherwise(F.lit("")),
         F.lit("</table>"))
     wide = F.concat(F.lit('<table class="event-info-table wide">'), row(F.lit("お問い合わせ"), F.col("s_name")),
                     F.lit("</table>"))
@@ -184,4 +208,52 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 2 == 0).alias("has_illustration"),
         F.concat(F.lit("キャラA"), _s(k), F.lit("・キャラB"), _s(k), F.lit("・キャラC"), _s(k)).alias("characters"),
         F.concat(F.lit("https://s"), _s(k), F.lit(".example.com/event")).alias("official_url"),
+        F.concat(F.lit("https://goo.gl/maps/"), _s(k)).alias("map_url"),
+        F.concat(F.lit("https://twitter.com/s"), _s(k), F.lit("/status/"), _s(k * 7)).alias("twitter_url"),
     )
+
+
+# ---------------------------------------------------------------- broken and odd pages
+
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with every 10th broken, by page_id modulo 30: markup that no tokenizer takes (0), an image url
+    with one bracket (10), a page url with one bracket (20)."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    part = F.col("page_id") % 30
+    html = (F.when(part == 0, F.concat(F.col("html"), F.lit("<![foo[x]]>")))
+             .when(part == 10, F.concat(F.lit('<img src="ftp://[x">'), F.col("html"))).otherwise(F.col("html")))
+    return p.select("page_id", F.when(part == 20, F.lit("https://[bad/y")).otherwise(F.col("url")).alias("url"),
+                    html.alias("html"))
+
+
+def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls with unusual but valid, and invalid, endings and beginnings, by page_id modulo 8."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    part, u = F.col("page_id") % 8, F.col("url")
+    odd = (F.when(part == 1, F.concat(u, F.lit("/a b"))).when(part == 2, F.concat(u, F.lit("/x|y")))
+            .when(part == 3, F.concat(u, F.lit("/100%"))).when(part == 4, F.concat(F.lit("no scheme "), u))
+            .when(part == 5, F.lit("")).when(part == 6, F.concat(F.lit("https://a b.example/"), _s(F.col("page_id"))))
+            .when(part == 7, F.concat(F.lit("https://h:9x/"), _s(F.col("page_id")))).otherwise(u))
+    return p.select("page_id", odd.alias("url"))
+
+
+def field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per supplier whose title, description and text area come from another place for each s_suppkey % 8."""
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    part = k % 8
+    heads = ["<title> Page {n} </title>", '<meta property="og:title" content=" Graph {n} ">', "<title>Page {n}</title>",
+             '<title>Page {n}</title><meta property="og:description" content="Graph text {n}">',
+             '<title>Page {n}</title><meta name="description" content=" Meta text {n} ">', "", "<title>Page {n}</title>", ""]
+    bodies = ["<main>Main {n}<nav>menu</nav></main><p>First {n}</p>", "<article>Article {n}</article>",
+              '<h1></h1><div class="My-CONTENT-box">Box {n}<script>x</script></div>', '<h1>Head {n}</h1><div id="mainpart">Part {n}</div>',
+              "<h1>Head {n}</h1><p>First {n}</p>", "<h1>Head {n}</h1><p>" + "long {n} " * 40 + "</p>",
+              "<div class='other'>Other {n}</div>", "plain {n}"]
+    def text(parts):
+        out = None
+        for i, t in enumerate(parts):
+            c = F.replace(F.lit(t), F.lit("{n}"), name)
+            out = F.when(part == i, c) if out is None else out.when(part == i, c)
+        return out
+    return s.select(k.alias("page_id"), F.concat(F.lit("https://s.example.com/"), _s(k)).alias("url"),
+                    F.concat(text(heads), text(bodies)).alias("html"))

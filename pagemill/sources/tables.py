@@ -11,6 +11,8 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..session import INPUT_PARTITIONS
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -29,15 +31,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
-def read_pages(spark: SparkSession, sf_dir: str, where: Column | None = None,
-               spread_small: bool = True) -> DataFrame:
+def read_pages(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """R1 ``page_source``: the page bodies as a table ``(page_id, url, html)``.
 
-    ``spread_small`` spreads an input with fewer splits than cores (the parse
-    that follows is CPU-bound); large inputs are left as they are.
+    The parse that follows is CPU-bound, and a file of one row group is one
+    task. A caller who wants more sets ``pagemill.inputPartitions`` on the
+    session; the html is then dealt out once. Unset, nothing is moved.
     """
     df = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"], where)
-    if spread_small:
-        from ..operators.dom import spread
-        df = spread(df)
-    return df
+    wanted = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -1,18 +1,15 @@
-"""New page files as a stream, run through the same batch job.
+"""New page files as a stream, run through the same page records job.
 
-``foreachBatch`` because the image stage ranks with ``row_number`` windows,
-which a streaming DataFrame refuses; each micro-batch is a static DataFrame.
-Each epoch writes to its own ``batch_id=<n>`` folder with overwrite, so a
-replayed epoch (after a failure) replaces its own output: exactly-once output
-with the checkpointed source offsets.
+The job is narrow (no window, no join), so it is an ordinary streaming query:
+read files, parse, project, append to a Parquet sink. The sink's own log makes
+the output exactly-once when a trigger is replayed.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -21,25 +18,16 @@ PAGE_SCHEMA = T.StructType([
 ])
 
 
-def run_page_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                    batch_fn, file_glob: str = "*.parquet", max_files_per_trigger: int = 256) -> None:
-    """Process every page file under ``source_dir`` not seen before, then stop.
-
-    ``batch_fn(pages_df) -> DataFrame`` is the batch job (e.g. page records).
-    ``max_files_per_trigger`` bounds one micro-batch, so a backlog of files is
-    worked off in several bounded batches instead of one unbounded one.
-    """
-    stream = (spark.readStream.schema(PAGE_SCHEMA)
-              .option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-
-    def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = batch_fn(batch)
-        out.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={epoch_id}"))
-
-    q = (stream.writeStream.foreachBatch(run_batch)
-         .option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
+def page_stream(spark: SparkSession, source_dir: str, file_glob: str = "*.parquet",
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """The page files under ``source_dir`` as a stream; a caller may bound the files of one trigger."""
+    reader = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(source_dir)
+
+
+def start_page_stream(records: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Append a stream of records to Parquet; processes every file not seen before, then stops."""
+    return (records.writeStream.format("parquet").outputMode("append").option("path", out_dir)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

@@ -14,6 +14,8 @@ MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pagemill.session import get_session
-    s = get_session("local[*]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
+    s = get_session("local[*]", shuffle_partitions=8, 
+                    extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                           "spark.driver.memory": "8g"})
     yield s
     s.stop()
