@@ -20,7 +20,7 @@ CLEAN_RULES = [
     (r"(?s)<div[^>]*>(.*?)</div>", "{1}\n"),
     (r'(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "{2} ({1})"),
     (r"<[^>]+>", ""),
-    (WS_CLASS.join([r"\n", r"*\n", r"*\n"]), "\n\n"),
+    (rf"\n{WS_CLASS}*\n{WS_CLASS}*\n", "\n\n"),
 ]
 
 

@@ -144,10 +144,9 @@ FILL_MARK_PATTERNS = [
     r"-適切な画像を挿入ー",
     r"-適切な画像を挿入-",
     r"適切な画像を挿入",
-    r"\[IMAGE_PLACEHOLDER_\d+\]",
+    r"\[IMAGE_PLACEHOLDER_\p{Nd}+\]",
     r"\[.*?PLACEHOLDER.*?\]",
 ]
-FILL_MARK_TEXT = "[画像{n}: {url}]"
 
 # ---- FIXED VALUES: folder / article key (D10) ----
 KEY_STAMP_FORMAT = "yyyyMMdd_HHmm"
@@ -167,8 +166,8 @@ INFO_SUMMARY_KEYS = [
 ]
 
 # ---- FIXED VALUES: tracking parameters for official links (A7) ----
-UTM_PARAMS = ("?utm_source=collabo_cafe_dot_com&utm_medium=collabo_cafe_dot_com"
-              "&utm_campaign=collabo_cafe_dot_com&utm_id=collabo_cafe_dot_com")
+UTM_PARAMS = ("?utm_source=collabo_cafe_dot_com&amp;utm_medium=collabo_cafe_dot_com"
+              "&amp;utm_campaign=collabo_cafe_dot_com&amp;utm_id=collabo_cafe_dot_com")
 
 # ---- FIXED VALUES: article assembly (A3-A5, R2, R7) ----
 DEFAULT_CATEGORY = "POP UP"

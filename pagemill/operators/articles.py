@@ -13,24 +13,47 @@ from pyspark.sql import functions as F
 from ..functions import templates as TPL
 from ..functions import words as W
 from ..functions.markup import article_key
+from ..functions.images import asset_checks
 from .fields import source_url
-from .joins import hot_keys, salted_left_join
 
-HOT_THRESHOLD = 16
 
-
-def request_pages(requests: DataFrame, pages: DataFrame, hot_threshold: int = HOT_THRESHOLD) -> DataFrame:
+def request_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """R2: every request row, joined to its page when there is one (left join on url).
 
-    Many requests can name one url; the most requested urls are salted so one
-    url cannot pile its requests into one task.
+    Requests without a url have no page and take no part in the join. Both
+    sides are narrow; a url that very many requests name is split by AQE.
     """
-    p = pages.select("url", "page_id")
+    p = pages.select("url", "page_id").filter(F.col("url").isNotNull())
     r = requests.withColumn("category", F.lit(W.DEFAULT_CATEGORY))
-    hot = hot_keys(requests.select("url"), "url", hot_threshold)
-    r = r.withColumn("_rid", F.monotonically_increasing_id())
-    return (salted_left_join(r, p, "url", ["_rid", "url"], hot).drop("_rid")
-            .withColumn("has_page", F.col("page_id").isNotNull()))
+    named = r.filter(F.col("url").isNotNull()).join(p, "url", "left")
+    unnamed = r.filter(F.col("url").isNull()).withColumn("page_id", F.lit(None).cast(pages.schema["page_id"].dataType))
+    return named.unionByName(unnamed).withColumn("has_page", F.col("page_id").isNotNull())
+
+
+def admitted_assets(assets: DataFrame) -> DataFrame:
+    """``(url, admitted)``, one row per url.
+
+    ``assets`` has a row for each download tried: ``url, content_type,
+    content_length`` and optionally ``ok`` (false: the request failed). A url
+    with several rows is admitted if any of them is.
+    """
+    ok, _, _ = asset_checks(F.col("content_type"), F.col("content_length"))
+    if "ok" in assets.columns:
+        ok = ok & F.coalesce(F.col("ok"), F.lit(False))
+    return assets.groupBy("url").agg(F.max(ok).alias("admitted"))
+
+
+def image_admissions(records: DataFrame, assets: DataFrame) -> DataFrame:
+    """``(page_id, admitted)``: for each of a record's images whether its asset is admitted.
+
+    Only (page, position, url) rows move. A url without an asset row was never
+    downloaded and is not admitted.
+    """
+    each = records.select("page_id", F.posexplode("images").alias("pos", "url"))
+    met = each.join(admitted_assets(assets), "url", "left").select(
+        "page_id", F.struct("pos", F.coalesce("admitted", F.lit(False)).alias("ok")).alias("x"))
+    return met.groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ok"]).alias("admitted"))
 
 
 def _fill(template: str, value: Column) -> Column:
@@ -48,18 +71,28 @@ def error_article_html(src: Column) -> Column:
     return _fill(TPL.ERROR_ARTICLE_HTML, src)
 
 
-def merge_generations(records: DataFrame, gens: DataFrame) -> DataFrame:
+def merge_generations(records: DataFrame, gens: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """A3-A5: records left-join generations; no row or no response gives the
     fallback article, an error row gives the error article.
 
+    With ``assets``, ``admitted`` says for each image whether it can be placed
+    (D5); it is joined by page_id like the generations, so the blocks need no
+    lookup later. Without, all images can be.
+
     ``records`` needs ``page_id, url`` and optionally ``images`` (NULL or
     missing: no images) and ``metadata``.
-    Output ``articles(page_id, title, content, images, source_url, generated_at, error)``.
+    Output ``articles(page_id, title, content, images, admitted, source_url, generated_at, error)``
+    plus ``content_type`` if the records have it.
     """
     meta = F.col("metadata") if "metadata" in records.columns else None
     imgs = F.col("images") if "images" in records.columns else F.lit(None).cast("array<string>")
-    r = records.select("page_id", source_url(F.col("url"), meta).alias("source_url"), imgs.alias("images"))
+    carry = [c for c in ("content_type",) if c in records.columns]
+    r = records.select("page_id", source_url(F.col("url"), meta).alias("source_url"), imgs.alias("images"), *carry)
     j = r.join(gens.select("page_id", "response", "error"), "page_id", "left")
+    yes = F.transform("images", lambda x: F.lit(True))
+    if assets is not None:
+        j = j.join(image_admissions(r, assets), "page_id", "left")
+        yes = F.coalesce("admitted", F.array().cast("array<boolean>"))
     is_err = F.coalesce(F.col("error"), F.lit(False))
     content = F.when(is_err, error_article_html(F.col("source_url"))).otherwise(
         F.coalesce(F.col("response"), F.lit(TPL.FALLBACK_ARTICLE_HTML)))
@@ -68,9 +101,11 @@ def merge_generations(records: DataFrame, gens: DataFrame) -> DataFrame:
         F.concat(F.lit(W.ARTICLE_TITLE_PREFIX), F.col("source_url")).alias("title"),
         content.alias("content"),
         F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"),
+        F.coalesce(yes, F.array().cast("array<boolean>")).alias("admitted"),
         "source_url",
         F.lit(W.GENERATED_AT).alias("generated_at"),
         is_err.alias("error"),
+        *carry,
     )
 
 

@@ -1,31 +1,23 @@
 """Article HTML to ordered, styled document blocks and edit requests: D1-D12.
 
-Per article (one dom row of its ``content``):
-
-* in-row: the h1-h6/p/div elements in document order, nested ones too (D1),
-  the text and class filter (D2), the image marks (D3) and the n-th mark's
-  image ``images[n]`` (D4) via the position of the mark among the marks;
-* one ``explode`` to block rows, a join to asset headers for the image rows
-  only (D5), the style and length rule (D6);
-* one window by ``page_id`` ordered by document position for the running
-  insert offsets (D7) -- the only Exchange besides the asset join -- and an
-  ``explode`` of each block into its edit requests (D8).
+Everything happens in the row of the parsed article: the h1-h6/p/div elements
+in document order, nested ones too (D1), the text and class filter (D2), the
+image marks (D3), the n-th mark's image ``images[n]`` (D4) and whether it is
+admitted (D5, from the article's ``admitted`` array), style and length rule
+(D6) and the running insert offsets (D7). One ``inline`` then makes block rows,
+and another their edit requests (D8). Block text is never shuffled or joined.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import words as W
-from ..functions.images import asset_checks
+from ..functions.markup import clean_html
+from ..functions.sqlexpr import lit as sql_lit
 from ..functions.text import contains_any, py_strip
 from .dom import node_text, subtree
-from .joins import salted_left_join
 
 HEADINGS = [f"h{i}" for i in range(1, 7)]
 _FAILED_HEAD, _FAILED_TAIL = W.IMAGE_FAILED_TEXT.split("{url}")
@@ -47,75 +39,83 @@ def element_structs() -> Column:
                            py_strip(node_text(text, n)).alias("text")))
 
 
-def article_elements(art_dom: DataFrame) -> DataFrame:
-    """D1-D4 in-row, then one explode.
+def with_elements(art_dom: DataFrame) -> DataFrame:
+    """D1-D4 in the row: ``elements``, an array of (seq, tag, text, is_mark, mark_no, image_url, admitted).
 
-    ``art_dom``: ``page_id, images, page_text, nodes`` (parsed article content).
-    Output rows: page_id, seq (document position), tag, text, is_mark, mark_no,
-    image_url (the n-th image for the n-th mark, NULL if none left).
+    ``art_dom``: ``page_id, images, admitted, page_text, nodes`` (parsed article content).
+    ``image_url`` is the n-th image for the n-th mark, NULL if none is left.
     """
-    els = element_structs()
-    kept = F.filter(els, lambda e: (F.length(e["text"]) >= W.BLOCK_MIN_CHARS)
+    marked = F.transform(element_structs(), lambda e: F.struct(
+        e["seq"].alias("seq"), e["tag"].alias("tag"), e["text"].alias("text"), e["cls"].alias("cls"),
+        e["has_cls"].alias("has_cls"), _is_mark(e["text"]).alias("is_mark")))
+    kept = F.filter("_marked", lambda e: (F.length(e["text"]) >= W.BLOCK_MIN_CHARS)
                     & ~(e["has_cls"] & contains_any(e["cls"], W.BLOCK_SKIP_CLASS_PARTS)))
-    marks = F.transform(F.filter(kept, lambda e: _is_mark(e["text"])), lambda e: e["seq"])
-    ranked = F.transform(kept, lambda e: F.struct(
-        e["seq"].alias("seq"), e["tag"].alias("tag"), e["text"].alias("text"),
-        _is_mark(e["text"]).alias("is_mark"),
-        F.when(_is_mark(e["text"]), F.array_position(marks, e["seq"]).cast("int")).alias("mark_no")))
-    rows = art_dom.select("page_id", "images", F.explode(F.coalesce(ranked, F.array())).alias("e")).select(
-        "page_id", "images", "e.*")
-    img = F.when(F.col("mark_no") <= F.size("images"), F.element_at("images", F.col("mark_no")))
-    return rows.select("page_id", "seq", "tag", "text", "is_mark", "mark_no", img.alias("image_url"))
-
-
-def element_blocks(elements: DataFrame, assets: DataFrame | None = None,
-                   hot_urls: DataFrame | None = None) -> DataFrame:
-    """Marks with an image become image blocks (or the fallback text when
-    the asset is not admitted), headings always, p/div only when long enough.
-
-    ``assets(url, content_type, content_length)`` has one row per url. The
-    lookup is a salted left join: text rows (no url) spread evenly and shared
-    image urls (``hot_urls``) are split over salts instead of landing in one task.
-
-    Output ``blocks(page_id, seq, kind, tag, style, text, image_url)``.
+    numbers = F.map_from_entries(F.transform(
+        F.filter("_kept", lambda e: e["is_mark"]), lambda e, i: F.struct(e["seq"], (i + 1).cast("int"))))
+
+    def element(e):
+        no = F.element_at(F.col("_no"), e["seq"])
+        return F.struct(e["seq"].alias("seq"), e["tag"].alias("tag"), e["text"].alias("text"),
+                        e["is_mark"].alias("is_mark"), no.alias("mark_no"),
+                        F.get("images", no - 1).alias("image_url"),
+                        F.coalesce(F.get("admitted", no - 1), F.lit(False)).alias("admitted"))
+
+    return (art_dom.withColumn("_marked", F.coalesce(marked, F.array())).withColumn("_kept", kept)
+            .withColumn("_no", numbers).withColumn("elements", F.transform("_kept", element))
+            .drop("_marked", "_kept", "_no"))
+
+
+def article_elements(art_dom: DataFrame) -> DataFrame:
+    """D1-D4 as rows: page_id, seq (document position), tag, text, is_mark, mark_no, image_url."""
+    return with_elements(art_dom).select("page_id", F.inline("elements")).drop("admitted")
+
+
+def with_blocks(art_dom: DataFrame) -> DataFrame:
+    """D4-D7 in the row: ``blocks``, an array of (seq, kind, tag, style, text, image_url, start_index, end_index).
+
+    Marks with an image become image blocks, or a fallback text when the image
+    is not admitted; marks without one go; headings stay; p/div stay when long
+    enough. Each block is appended at the document end: text plus two
+    newlines, or an image plus one newline; ``end_index`` ends the styled text.
+
+    An article whose markup cannot be parsed (``parse_error``) is one block of
+    kind ``text``: its cleaned-up text (H1), without style or newlines. The
+    column ``content`` must then be there.
     """
-    e = elements.filter(~F.col("is_mark") | F.col("image_url").isNotNull())
-    if assets is not None:
-        ok, _, _ = asset_checks(F.col("content_type"), F.col("content_length"))
-        adm = assets.select(F.col("url").alias("image_url"), ok.alias("admitted"))
-        e = salted_left_join(e, adm, "image_url", ["page_id", "seq"], hot_urls)
-        admitted = F.coalesce(F.col("admitted"), F.lit(True))
-    else:
-        admitted = F.lit(True)
-    is_img = F.col("is_mark") & admitted
-    failed = F.col("is_mark") & ~admitted
-    heading = F.col("tag").isin(*HEADINGS)
-    kind = (F.when(is_img, F.lit("image"))
-             .when(failed, F.lit("paragraph"))
-             .when(heading, F.lit("heading"))
-             .when(F.length("text") > W.PARAGRAPH_MIN_CHARS, F.lit("paragraph")))
-    style = (F.when(is_img, F.lit(None).cast("string"))
-              .when(failed, F.lit("NORMAL_TEXT"))
-              .when(heading, F.concat(F.lit("HEADING_"), F.substring("tag", 2, 1)))
-              .otherwise(F.lit("NORMAL_TEXT")))
-    txt = (F.when(is_img, F.lit(None).cast("string"))
-            .when(failed, F.concat(F.lit(_FAILED_HEAD), F.col("image_url"), F.lit(_FAILED_TAIL)))
-            .otherwise(F.col("text")))
-    out = e.select("page_id", "seq", kind.alias("kind"), "tag", style.alias("style"), txt.alias("text"),
-                   F.when(F.col("is_mark"), F.col("image_url")).alias("image_url"))
-    return out.filter(F.col("kind").isNotNull())
-
-
-def block_offsets(blocks: DataFrame) -> DataFrame:
-    """Each block is appended at the document end: text plus two newlines,
-    or an image plus one newline. ``start_index`` is where it is inserted and
-    ``end_index`` ends the styled text range."""
-    width = F.when(F.col("kind") == "image", F.lit(2)).otherwise(F.length("text") + 2)
-    w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.lit(W.DOC_START_INDEX) + F.coalesce(F.sum(width).over(w), F.lit(0))
-    out = blocks.withColumn("start_index", start.cast("int"))
-    end = F.when(F.col("kind") == "image", F.lit(None)).otherwise(F.col("start_index") + F.length("text"))
-    return out.withColumn("end_index", end.cast("int"))
+    def block(e):
+        is_img, failed = e["is_mark"] & e["admitted"], e["is_mark"] & ~e["admitted"]
+        heading = e["tag"].isin(*HEADINGS)
+        kind = (F.when(is_img, F.lit("image")).when(failed, F.lit("paragraph")).when(heading, F.lit("heading"))
+                .when(F.length(e["text"]) > W.PARAGRAPH_MIN_CHARS, F.lit("paragraph")))
+        style = (F.when(is_img, F.lit(None).cast("string")).when(failed, F.lit("NORMAL_TEXT"))
+                 .when(heading, F.concat(F.lit("HEADING_"), F.substring(e["tag"], 2, 1))).otherwise(F.lit("NORMAL_TEXT")))
+        text = (F.when(is_img, F.lit(None).cast("string"))
+                .when(failed, F.concat(F.lit(_FAILED_HEAD), e["image_url"], F.lit(_FAILED_TAIL))).otherwise(e["text"]))
+        return F.struct(e["seq"].alias("seq"), kind.alias("kind"), e["tag"].alias("tag"), style.alias("style"),
+                        text.alias("text"), F.when(e["is_mark"], e["image_url"]).alias("image_url"))
+
+    made = F.filter(F.transform(F.filter("elements", lambda e: ~e["is_mark"] | e["image_url"].isNotNull()), block),
+                    lambda b: b["kind"].isNotNull())
+    rows = with_elements(art_dom).withColumn("_made", made)
+    if "parse_error" in art_dom.columns and "content" in art_dom.columns:
+        plain = F.array(F.struct(F.lit(0).alias("seq"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tag"),
+                                 F.lit(None).cast("string").alias("style"), clean_html(F.col("content")).alias("text"),
+                                 F.lit(None).cast("string").alias("image_url")))
+        rows = rows.withColumn("_made", F.when(F.col("parse_error").isNotNull(), plain).otherwise(F.col("_made")))
+    # The widths, then where each block starts; only integers are carried along the fold
+    starts = F.expr(
+        "aggregate(transform(_made, b -> CASE b.kind WHEN 'image' THEN 2 WHEN 'text' THEN length(b.text) "
+        f"ELSE length(b.text) + 2 END), named_struct('at', {W.DOC_START_INDEX}, 'starts', CAST(array() AS ARRAY<INT>)), "
+        "(acc, w) -> named_struct('at', acc.at + w, 'starts', array_append(acc.starts, acc.at)), acc -> acc.starts)")
+    placed = F.zip_with("_made", "_starts", lambda b, s: F.struct(
+        *[b[c].alias(c) for c in ("seq", "kind", "tag", "style", "text", "image_url")], s.alias("start_index"),
+        F.when(b["kind"] != "image", s + F.length(b["text"])).alias("end_index")))
+    return (rows.withColumn("_starts", starts).withColumn("blocks", placed).drop("_made", "_starts", "elements"))
+
+
+def article_blocks(art_dom: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """D1-D7 as rows: page_id, carried columns, and the fields of ``blocks``."""
+    return with_blocks(art_dom).select("page_id", *(carry or []), F.inline("blocks"))
 
 
 def document_edits(offsets: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -133,7 +133,8 @@ def document_edits(offsets: DataFrame, carry: list[str] | None = None) -> DataFr
     img_ops = F.array(op(0, "insertInlineImage", s, none, F.col("image_url"),
                          F.lit(f"{W.IMAGE_WIDTH_PT}x{W.IMAGE_HEIGHT_PT}pt")),
                       op(1, "insertText", s + 1, none, F.lit("\n"), none))
-    ops = F.when(F.col("kind") == "image", img_ops).otherwise(text_ops)
+    plain_ops = F.array(op(0, "insertText", s, none, F.col("text"), none))
+    ops = F.when(F.col("kind") == "image", img_ops).when(F.col("kind") == "text", plain_ops).otherwise(text_ops)
     return offsets.select("page_id", "seq", *(carry or []), F.inline(ops))
 
 
@@ -148,7 +149,8 @@ def article_stats(articles: DataFrame) -> DataFrame:
 def list_blocks(art_dom: DataFrame) -> DataFrame:
     """D11 (the list-aware variant): top-level elements; text under 5 dropped;
     ul/ol give one bullet line per non-empty li then a blank line; li one
-    bullet line; headings their style; everything else NORMAL_TEXT."""
+    bullet line; headings their style; everything else NORMAL_TEXT. Each line has
+    the index where it is inserted, and the end of its style range if it has one."""
     nodes, text = F.col("nodes"), F.col("page_text")
     style_of = F.create_map(*[x for tag, st in W.LIST_STYLES for x in (F.lit(tag), F.lit(st))])
 
@@ -170,38 +172,35 @@ def list_blocks(art_dom: DataFrame) -> DataFrame:
     top = F.filter(nodes, lambda n: n["parent_id"] == 0)
     per = F.flatten(F.transform(top, lambda e: F.transform(
         lines(e), lambda x: F.struct(e["node_id"].alias("seq"), x["text"].alias("text"), x["style"].alias("style")))))
-    return art_dom.select("page_id", F.posexplode(F.coalesce(per, F.array())).alias("line_no", "l")).select(
-        "page_id", "line_no", "l.seq", "l.text", "l.style")
+    found = art_dom.select("page_id", F.coalesce(per, F.array()).alias("_lines"))
+    # every line is appended at the document end; a style other than the normal one covers the line's text
+    starts = F.expr(f"aggregate(_lines, named_struct('at', {W.DOC_START_INDEX}, 'starts', CAST(array() AS ARRAY<INT>)), "
+                    "(acc, l) -> named_struct('at', acc.at + length(l.text), 'starts', array_append(acc.starts, acc.at)), "
+                    "acc -> acc.starts)")
+    placed = F.zip_with("_lines", "_starts", lambda x, s: F.struct(
+        x["seq"].alias("seq"), x["text"].alias("text"), x["style"].alias("style"), s.alias("start_index"),
+        F.when(x["style"] != "NORMAL_TEXT", s + F.length(x["text"])).alias("end_index")))
+    return found.withColumn("_starts", starts).select("page_id", F.posexplode(placed).alias("line_no", "l")).select(
+        "page_id", "line_no", "l.*")
 
 
 # ---------------------------------------------------------------- D12
 
-_MARK_RES = [re.compile(p, re.IGNORECASE | re.DOTALL) for p in W.FILL_MARK_PATTERNS]
-
-
-def fill_marks_text(content, images):
-    """Sequential fill: patterns in order; every match replaces all equal
-    strings with the current image; the counter advances per match even when
-    an earlier replacement already removed that string; marks past the last
-    image become ''."""
-    if content is None:
-        return None
-    images = list(images) if images is not None else []
-    if not images:
-        return content
-    out = content
-    n = 0
-    for rx in _MARK_RES:
-        for m in list(rx.finditer(out)):
-            if n < len(images):
-                out = out.replace(m.group(0), W.FILL_MARK_TEXT.format(n=n + 1, url=images[n]))
-                n += 1
-            else:
-                out = out.replace(m.group(0), "")
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def fill_marks(content: pd.Series, images: pd.Series) -> pd.Series:
-    """D12 as a vectorised UDF: the fold is sequential over one article's text."""
-    return pd.Series([fill_marks_text(c, i) for c, i in zip(content, images)], dtype=object)
+def fill_marks(articles: DataFrame, out: str = "filled") -> DataFrame:
+    """``content`` with its marks filled by ``images``, as a new column.
+
+    The patterns take turns. The marks that a pattern finds are replaced one
+    after another, each time in the whole text; every one of them uses up an
+    image, also where an equal mark was replaced before. Once the images are
+    used up, marks become empty text. Without images nothing changes.
+    """
+    df = articles.withColumn("_fill", F.struct(F.col("content").alias("text"), F.lit(0).alias("used")))
+    for pattern in W.FILL_MARK_PATTERNS:
+        found = f"regexp_extract_all(_fill.text, {sql_lit('(?is)' + pattern)}, 0)"
+        image = ("CASE WHEN acc.used < size(images) THEN concat('[画像', acc.used + 1, ': ', images[acc.used], ']') "
+                 "ELSE '' END")
+        df = df.withColumn("_fill", F.expr(
+            f"aggregate({found}, _fill, (acc, mark) -> named_struct('text', replace(acc.text, mark, {image}), "
+            "'used', least(acc.used + 1, size(images))))"))
+    none = F.size(F.coalesce("images", F.array().cast("array<string>"))) == 0
+    return df.withColumn(out, F.when(none, F.col("content")).otherwise(F.col("_fill.text"))).drop("_fill")

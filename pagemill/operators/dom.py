@@ -15,7 +15,10 @@ match or is ignored, there are no implied end tags (``<p>a<p>b`` nests), a
 repeated attribute keeps its last value, whitespace-only strings collapse to one
 newline or space outside ``pre``/``textarea``, and strings inside script, style,
 template, rt and rp (plus comments, doctype, processing instructions) are not
-part of the visible text.
+part of the visible text. References in text are resolved as that builder does
+it: an unknown name stays, without its semicolon. A page whose markup the
+tokenizer rejects has null ``page_text`` and ``nodes`` and says why in
+``parse_error``; its neighbours are not affected.
 
 The parse is the one step Spark cannot express; it runs as an Arrow-batched
 ``mapInArrow`` so rows cross the JVM/Python boundary in columnar batches, and
@@ -25,6 +28,9 @@ everything after it (selection, text, images, blocks) is Spark expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -67,7 +73,7 @@ class _TreeBuilder(HTMLParser):
     """Builds the flat node table for one document."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.text: list[str] = []
         self.text_len = 0
         # columns of the node table
@@ -82,7 +88,7 @@ class _TreeBuilder(HTMLParser):
         self.hidden_open = 0
         self.preserve_open = 0
         self.pending: list[str] = []
-        self.closed_void: list[str] = []
+        self.closed_void: Counter[str] = Counter()
 
     # -- strings -----------------------------------------------------------
     def _flush(self, visible: bool = True):
@@ -100,6 +106,19 @@ class _TreeBuilder(HTMLParser):
     def handle_data(self, data):
         self.pending.append(data)
 
+    def handle_entityref(self, name):
+        self.pending.append(html5.get(name + ";", "&" + name))
+
+    def handle_charref(self, name):
+        base = 16 if name[:1] in "xX" else 10
+        try:
+            code = int(name.lstrip("xX"), base)
+            # numbers below 256 mean the Windows code page where it has them
+            data = bytes([code]).decode("windows-1252") if code < 256 else chr(code)
+        except (UnicodeDecodeError, ValueError, OverflowError):
+            data = "\N{REPLACEMENT CHARACTER}"
+        self.pending.append(data)
+
     def _invisible(self, data):
         self._flush()
         self.pending.append(data)
@@ -168,16 +187,16 @@ class _TreeBuilder(HTMLParser):
         self._push(tag, attrs)
         if tag in VOID_TAGS:
             self._pop_to(tag)
-            self.closed_void.append(tag)
+            self.closed_void[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._push(tag, attrs)
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.closed_void:
+        if self.closed_void[tag]:
             # end tag of a void element that already closed itself
-            self.closed_void.remove(tag)
+            self.closed_void[tag] -= 1
         else:
             self._pop_to(tag)
 
@@ -199,12 +218,18 @@ def parse_document(html: str):
     return text, b
 
 
-# Output Arrow batches are cut at this many characters of html, so a batch of
-# very large pages never builds one huge (2 GB-limited) string column.
-OUT_BATCH_CHARS = 64 * 1024 * 1024
+# An output Arrow batch is closed once it holds this many nodes, or characters
+# of html, so neither very large pages nor pages of many tiny elements build a
+# huge (2 GB-limited) column.
+OUT_BATCH_CHARS = 32 * 1024 * 1024
+OUT_BATCH_NODES = 500_000
+
+# Attributes that some rule reads; the others stay behind in Python.
+KEPT_ATTRS = frozenset(["id", "class", "style", "property", "name", "content", "alt", "width", "height",
+                        "src", "data-src", "data-original", "data-lazy-src", "data-lazy", "data-srcset", "srcset"])
 
 
-def _to_batch(ids, id_names, texts, parsed):
+def _to_batch(ids, id_names, texts, parsed, errors):
     node_offsets = [0]
     f_id, f_par, f_last, f_tag, f_s, f_e = [], [], [], [], [], []
     a_off, a_k, a_v = [0], [], []
@@ -221,8 +246,9 @@ def _to_batch(ids, id_names, texts, parsed):
         f_s.extend(b.starts)
         f_e.extend(b.ends)
         for amap in b.attrs:
-            a_k.extend(amap.keys())
-            a_v.extend(amap.values())
+            for k in amap.keys() & KEPT_ATTRS:
+                a_k.append(k)
+                a_v.append(amap[k])
             a_off.append(len(a_k))
             cls = amap.get("class")
             if cls:
@@ -239,52 +265,41 @@ def _to_batch(ids, id_names, texts, parsed):
         fields=list(_ARROW_NODE))
     mask = pa.array([b is None for b in parsed], pa.bool_())
     nodes = pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), structs, mask=mask)
-    return pa.RecordBatch.from_arrays(ids + [pa.array(texts, pa.string()), nodes],
-                                      names=list(id_names) + ["page_text", "nodes"])
+    return pa.RecordBatch.from_arrays(
+        ids + [pa.array(texts, pa.string()), nodes, pa.array(errors, pa.string())],
+        names=list(id_names) + ["page_text", "nodes", "parse_error"])
+
+
+def _try_parse(html):
+    """``(page_text, node table, error)``; whatever the tokenizer raises concerns this page alone."""
+    if html is None:
+        return None, None, None
+    try:
+        return (*parse_document(html), None)
+    except Exception as e:  # noqa: BLE001 - the page's record says what it was
+        return None, None, f"{type(e).__name__}: {e}"
 
 
 def _parse_batches(id_names, html_name):
     def run(batches):
         for batch in batches:
-            htmls = batch.column(batch.schema.get_field_index(html_name)).to_pylist()
+            htmls = batch.column(batch.schema.get_field_index(html_name))
             id_cols = [batch.column(batch.schema.get_field_index(c)) for c in id_names]
-            start, size, texts, parsed = 0, 0, [], []
+            start, chars, nodes, done = 0, 0, 0, []
             for i, h in enumerate(htmls):
-                if h is None:
-                    texts.append(None)
-                    parsed.append(None)
-                else:
-                    text, b = parse_document(h)
-                    texts.append(text)
-                    parsed.append(b)
-                    size += len(h)
-                if size >= OUT_BATCH_CHARS:
-                    yield _to_batch([c.slice(start, i + 1 - start) for c in id_cols], id_names, texts, parsed)
-                    start, size, texts, parsed = i + 1, 0, [], []
-            if parsed:
-                yield _to_batch([c.slice(start) for c in id_cols], id_names, texts, parsed)
+                html = h.as_py()
+                done.append(_try_parse(html))
+                chars += len(html or "")
+                nodes += len(done[-1][1].tags) if done[-1][1] else 0
+                if chars >= OUT_BATCH_CHARS or nodes >= OUT_BATCH_NODES or i + 1 == len(htmls):
+                    texts, parsed, errors = zip(*done)
+                    yield _to_batch([c.slice(start, i + 1 - start) for c in id_cols], id_names, texts, parsed, errors)
+                    start, chars, nodes, done = i + 1, 0, 0, []
     return run
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a CPU-bound Python step at least one task per core.
-
-    For a plain file scan (call it on the reader's output, before any shuffle:
-    counting partitions then only lists files). Only when the input has fewer
-    splits than the cluster's parallelism (a small file with one row group) is
-    it spread round-robin; large inputs, whose splits far outnumber the cores,
-    never shuffle their html.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """N1 ``dom_nodes``: add ``page_text`` and ``nodes`` for ``html_col``.
+    """N1 ``dom_nodes``: add ``page_text``, ``nodes`` and ``parse_error`` for ``html_col``.
 
     ``keep`` are the columns carried through (default: all but the html).
     Select and filter *before* calling: the Python step is opaque to Catalyst,
@@ -296,14 +311,44 @@ def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
     out_schema = T.StructType(fields + [
         T.StructField("page_text", T.StringType()),
         T.StructField("nodes", T.ArrayType(NODE_TYPE)),
+        T.StructField("parse_error", T.StringType()),
     ])
     return src.mapInArrow(_parse_batches(keep, html_col), out_schema)
 
 
+PARSED_TYPE = T.StructType([T.StructField("page_text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE_TYPE)),
+                            T.StructField("parse_error", T.StringType())])
+
+
+@F.arrow_udf(T.ArrayType(PARSED_TYPE))
+def parse_snippets(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """N1 over an array of snippets, each parsed on its own: an array of (page_text, nodes, parse_error)."""
+    for batch in lists:
+        rows = batch.to_pylist()
+        done = [_try_parse(h) for snippets in rows for h in snippets or []]
+        texts, parsed, errors = zip(*done) if done else ((), (), ())
+        flat = _to_batch([], [], texts, parsed, errors)
+        offsets = [0]
+        for snippets in rows:
+            offsets.append(offsets[-1] + len(snippets or []))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.to_struct_array())
+
+
 # ---------------------------------------------------------------------------
 # Column helpers over a dom row
 # ---------------------------------------------------------------------------
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Evaluate the named columns here, once.
+
+    Columns defined in steps are merged into one expression by the optimizer; a
+    long chain of steps that use each other several times would grow without
+    bound. A generator of one row is never merged with what is below it.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_settled")).select(*others, "_settled.*")
+
+
 def first_node(nodes: Column, pred) -> Column:
     """N2 ``find``: first node in document order with ``pred(node)``, else NULL."""
     return F.get(F.filter(nodes, pred), 0)

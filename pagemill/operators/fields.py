@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlexpr as X
 from ..functions import words as W
+from ..functions.images import base_url_sql, uri_parts_sql
 from ..functions.text import left, nullif_empty, py_strip, squeeze_ws
 from .dom import first_node, node_text, subtree
 
@@ -29,9 +30,10 @@ def cut_text(page_text: Column, lo: Column, hi: Column, removed: Column) -> Colu
     """Text of ``[lo, hi)`` with the text intervals of ``removed`` cut out.
 
     ``removed`` is in document order; nested intervals are skipped because the
-    running position has already passed them. The fold collects only the kept
-    ``(start, length)`` ranges; the substrings are joined once at the end, so
-    the cost is linear in the text however many elements are removed.
+    running position has already passed them. The fold looks at each removed
+    element once and collects the kept ``(start, length)`` ranges; appending
+    copies the references to the ranges so far, never text. The substrings are
+    joined once at the end.
     """
     gap_t = "array<struct<s:int,l:int>>"
     init = F.struct(lo.cast("int").alias("pos"), F.array().cast(gap_t).alias("gaps"))
@@ -139,7 +141,7 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(md_alive.isNotNull(), content_attr(md_alive)).alias("meta_description"),
         ok.alias("_ok"),
     )
-    url = F.col("url") if "url" in keep else F.lit(None).cast("string")
+    base = base_url() if "url" in keep else F.lit(None).cast("string")
     out = s4.select(
         *keep,
         F.when(F.col("_ok"), F.coalesce(nullif_empty(F.col("_title")), F.col("page_title"), F.lit("")))
@@ -150,15 +152,14 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(F.col("_ok"), F.coalesce(F.col("full_text"), F.col("main_text"), F.lit("")))
          .alias("text_content"),
         "page_title", "meta_description", "text_area_tag", "h1_text", "first_p_text",
-        F.when(F.col("_ok"), base_url(url)).alias("base_url"),
+        F.when(F.col("_ok"), base).alias("base_url"),
     )
     return add_content_type(out, "text_content")
 
 
-def base_url(url: Column) -> Column:
-    """Scheme + '://' + netloc."""
-    return F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"),
-                    F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")))
+def base_url(url: str = "url") -> Column:
+    """Scheme + '://' + netloc of a SQL expression, by the URI syntax alone."""
+    return F.expr(f"transform(array({uri_parts_sql(url)}), p -> {base_url_sql('p')})[0]")
 
 
 def add_content_type(df: DataFrame, text_col: str, out_col: str = "content_type") -> DataFrame:
@@ -172,34 +173,20 @@ def add_content_type(df: DataFrame, text_col: str, out_col: str = "content_type"
             .withColumn(out_col, expr).drop(lt))
 
 
-def content_type(text: Column, lowered: bool = False) -> Column:
-    """First keyword class that occurs in the lower-cased text wins."""
-    t = text if lowered else F.lower(F.coalesce(text, F.lit("")))
-    expr = None
-    for name, kws in W.CONTENT_TYPES:
-        cond = None
-        for k in kws:
-            c = t.contains(k)
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr.otherwise(F.lit(W.DEFAULT_CONTENT_TYPE))
-
-
 def page_metadata(fields: DataFrame) -> Column:
-    """The metadata map; a key is absent when its source is absent, and a
-    page whose fetch failed (no html) has an empty map. ``full_content`` is the
-    whole-page text, which is also the record text."""
+    """The metadata map; a key is absent when its source is absent. A failed
+    page has its content type only. ``full_content`` is the whole-page text,
+    which is also the record text."""
     full = F.col("full_text") if "full_text" in fields.columns else F.col("text_content")
     m = F.create_map(
-        F.lit("source_url"), F.col("url"),
+        F.lit("source_url"), F.when(full.isNotNull(), F.col("url")),
         F.lit("page_title"), F.col("page_title"),
         F.lit("meta_description"), F.col("meta_description"),
         F.lit("full_content"), full,
         F.lit("base_url"), F.col("base_url"),
         F.lit("content_type"), F.col("content_type"),
     )
-    return F.when(full.isNotNull(), F.map_filter(m, lambda k, v: v.isNotNull())).otherwise(
-        F.create_map().cast("map<string,string>"))
+    return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
 def source_url(url: Column, metadata: Column | None = None) -> Column:

@@ -1,29 +1,21 @@
-"""Image selection per page: N3, N5, N6, I6-I15, R4.
-
-Plan shape (one Exchange):
-
-1. In-row, per dom row: the main area (N3), the article areas with their
-   selector rank (I7), every ``img`` with its parent's class/id, the three meta
-   tags (I9) and the inline-style backgrounds (I10) become one array of
-   candidate structs. Containment (N5/N6) is an interval test on pre-order ids
-   against the page's own areas, so no join and no shuffle.
-2. One ``explode``; the URL join (I2) runs vectorised on these small rows.
-   ``html`` and ``page_text`` are gone by now.
-3. ``repartition(page_id)`` once. Every later window (first sighting, caps,
-   fallback counts, final rank) is partitioned by ``page_id`` or a superset, so
-   they all reuse that one hash partitioning.
+"""Image candidates and zones of a page: N3, N5, N6, I6, I7, I9, I10.
+
+All of it happens inside the dom row: the main area, the article areas with
+their selector rank, every ``img`` with its parent's class and id, the meta
+tags and the inline-style backgrounds become one array of candidate structs.
+Containment is an interval test on pre-order ids. ``rank_inrow`` turns the
+array into the ranked list; nothing leaves the row before that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqlexpr as X
 from ..functions import words as W
-from ..functions.images import (background_urls, chosen_src, image_importance, image_quality,
-                                resolve_url, size_int, valid_image_url)
-from .dom import inside
+from ..functions.images import background_urls, chosen_src_sql, uri_parts_sql, bad_authority_sql, needs_join_sql
+from .dom import inside, settle, subtree
 
 # A descendant selector "A B" can never win: its last part B is tried on its
 # own earlier in the list and matches the same element first.
@@ -65,38 +57,67 @@ def article_areas(nodes: str = "nodes") -> Column:
         f"'last_id', n.last_id)), x -> x.rank IS NOT NULL)")
 
 
-def _cand(kind, node_id, idx, raw=None, attrs=None, cls=None, p_cls=None, p_id=None,
-          in_main=None, a_rank=None, a_node=None) -> Column:
+def area_keys(nodes: str = "nodes") -> Column:
+    """``(node_id, a_rank, a_node)`` of each image inside an article area, a_rank and a_node being
+    the best area around it.
+
+    One fold over areas and images in document order. Areas are nested or
+    apart, so a stack holds those around the current node, each with the best
+    key from itself outwards, and every node is looked at once.
+    """
+    areas = article_areas(nodes)
+    events = F.array_sort(F.concat(
+        F.transform(areas, lambda a: F.struct(a["node_id"].alias("id"), F.lit(0).alias("img"), a["last_id"].alias("last"),
+                                              a["rank"].alias("rank"))),
+        F.transform(F.filter(F.col(nodes), lambda n: n["tag"] == "img"),
+                    lambda n: F.struct(n["node_id"].alias("id"), F.lit(1).alias("img"), n["last_id"].alias("last"),
+                                       F.lit(0).alias("rank")))))
+    open_t, out_t = "array<struct<last:int,rank:int,id:int>>", "array<struct<node_id:int,a_rank:int,a_node:int>>"
+
+    def step(acc, e):
+        around = F.filter(acc["open"], lambda o: o["last"] >= e["id"])
+        inner = F.get(around, F.size(around) - 1)
+        outer = inner["rank"].isNotNull() & ((inner["rank"] < e["rank"])
+                                             | ((inner["rank"] == e["rank"]) & (inner["id"] < e["id"])))
+        best = F.when(outer, F.struct(e["last"].alias("last"), inner["rank"].alias("rank"), inner["id"].alias("id"))
+                      ).otherwise(F.struct(e["last"].alias("last"), e["rank"].alias("rank"), e["id"].alias("id")))
+        hit = F.struct(e["id"].alias("node_id"), inner["rank"].alias("a_rank"), inner["id"].alias("a_node"))
+        return F.struct(
+            F.when(e["img"] == 1, around).otherwise(F.array_append(around, best)).cast(open_t).alias("open"),
+            F.when((e["img"] == 1) & (F.size(around) > 0), F.array_append(acc["out"], hit)).otherwise(acc["out"])
+             .cast(out_t).alias("out"))
+
+    start = F.struct(F.array().cast(open_t).alias("open"), F.array().cast(out_t).alias("out"))
+    return F.aggregate(events, start, step, lambda acc: acc["out"])
+
+
+def _cand(kind, node_id, idx, raw, attrs=None, cls=None, p_cls=None, p_id=None, in_main=None) -> Column:
     """One candidate struct; every kind has the same fields so they concatenate."""
     def v(x, t):
         return (F.lit(None) if x is None else x).cast(t)
     return F.struct(
         F.lit(kind).alias("kind"), v(node_id, "int").alias("node_id"), v(idx, "int").alias("idx"),
-        v(raw, "string").alias("raw"), v(attrs, "map<string,string>").alias("attrs"),
+        raw.cast("string").alias("raw"), v(attrs, "map<string,string>").alias("attrs"),
         v(cls, "string").alias("cls"), v(p_cls, "string").alias("p_cls"), v(p_id, "string").alias("p_id"),
-        v(in_main, "boolean").alias("in_main"), v(a_rank, "int").alias("a_rank"), v(a_node, "int").alias("a_node"))
+        v(in_main, "boolean").alias("in_main"))
 
 
 def with_candidates(dom: DataFrame) -> DataFrame:
-    """Add ``main_rank`` and ``cands`` (the page's candidate structs) to dom rows.
+    """Add ``main_rank``, ``areas`` (best article area by image) and ``cands`` (candidate structs) to dom rows.
 
-    In-row (inside the array lambdas) only the structural facts are taken:
-    node, parent class/id, main-area membership (N3, N5, N6), best article area
-    (I7), the meta tags (I9) and inline backgrounds (I10). Other columns pass
-    through, so page fields can be computed in the same pass.
+    Only structural facts are taken here, and each image's source (I1). Other
+    columns pass through, so page fields can be computed in the same pass.
     """
     nodes = F.col("nodes")
-    staged = dom.withColumn("_main", main_area()).withColumn("_areas", article_areas())
-    main, areas = F.col("_main"), F.col("_areas")
+    staged = dom.withColumn("_main", main_area()).withColumn("areas", area_keys())
+    main = F.col("_main")
 
     def img_cand(n):
         parent = F.get(nodes, n["parent_id"])
-        akey = F.array_min(F.transform(F.filter(areas, lambda a: inside(n, a)),
-                                       lambda a: F.struct(a["rank"].alias("r"), a["node_id"].alias("id"))))
-        return _cand("img", n["node_id"], F.lit(0), attrs=n["attrs"], cls=F.array_join(n["classes"], " "),
-                     p_cls=F.array_join(parent["classes"], " "), p_id=parent["attrs"]["id"],
-                     in_main=F.coalesce(main.isNotNull() & inside(n, main), F.lit(False)),
-                     a_rank=akey["r"], a_node=akey["id"])
+        return _cand("img", n["node_id"], F.lit(0), F.lit(None), attrs=n["attrs"],
+                     cls=F.array_join(n["classes"], " "), p_cls=F.array_join(parent["classes"], " "),
+                     p_id=parent["attrs"]["id"],
+                     in_main=F.coalesce(main.isNotNull() & inside(n, main), F.lit(False)))
 
     imgs = F.transform(F.filter(nodes, lambda n: n["tag"] == "img"), img_cand)
 
@@ -104,167 +125,59 @@ def with_candidates(dom: DataFrame) -> DataFrame:
         n["attrs"][key] == F.lit(value), F.lit(False)))(key, value)
         for i, (key, value) in enumerate(W.META_IMAGE_TAGS)}
     from .fields import first_ids
-    meta_ids = first_ids(nodes, preds)
+    staged = staged.withColumn("_meta", first_ids(nodes, preds))
+    meta_ids = F.col("_meta")
     metas = F.filter(F.array(*[
         F.when(meta_ids[f"m{i}"].isNotNull(), _cand(
             "meta", meta_ids[f"m{i}"], F.lit(i),
-            raw=F.coalesce(F.get(nodes, meta_ids[f"m{i}"])["attrs"]["content"], F.lit(""))))
+            F.coalesce(F.get(nodes, meta_ids[f"m{i}"])["attrs"]["content"], F.lit(""))))
         for i in range(len(W.META_IMAGE_TAGS))]), lambda x: x.isNotNull())
 
     styled = F.filter(nodes, lambda n: n["attrs"]["style"].isNotNull())
     bgs = F.flatten(F.transform(styled, lambda n: F.transform(
         F.coalesce(background_urls(n["attrs"]["style"]), F.array().cast("array<string>")),
-        lambda u, i: _cand("bg", n["node_id"], i, raw=u))))
-
-    return (staged.withColumn("main_rank", main["rank"])
-            .withColumn("cands", F.concat(imgs, metas, bgs)).drop("_main", "_areas"))
-
-
-def explode_candidates(df: DataFrame) -> DataFrame:
-    """``(page_id, url, main_rank, cands)`` to one row per candidate: source choice
-    (I1), URL join (I2, vectorised UDF), validity (I3) and importance (I4) as
-    plain column expressions.
-
-    Output: page_id, page_url, main_rank, kind ('img' | 'meta' | 'bg'),
-    node_id, idx, raw, url, valid, in_main, a_rank, a_node, importance.
-    """
-    exploded = df.select("page_id", F.col("url").alias("page_url"), "main_rank",
-                         F.explode(F.coalesce(F.col("cands"), F.array())).alias("c")).select(
-        "page_id", "page_url", "main_rank", "c.*")
-    is_img = F.col("kind") == "img"
-    with_raw = exploded.withColumn("raw", F.when(is_img, chosen_src("attrs")).otherwise(F.col("raw")))
-    url = F.when(is_img, resolve_url(F.col("page_url"), F.col("raw"))).otherwise(F.col("raw"))
-    out = (with_raw.withColumn("url", url)
-           .withColumn("_w", size_int("attrs['width']")).withColumn("_h", size_int("attrs['height']")))
-    return out.select(
-        "page_id", "page_url", "main_rank", "kind", "node_id", "idx", "raw", "url",
-        valid_image_url("url").alias("valid"), "in_main", "a_rank", "a_node",
-        F.when(is_img, image_importance("attrs['alt']", "cls", "p_cls", "p_id", "_w", "_h")).alias("importance"))
-
-
-def page_candidates(dom: DataFrame) -> DataFrame:
-    """All image candidates of every page, one row each (before zones)."""
-    return explode_candidates(with_candidates(dom.select("page_id", "url", "nodes")))
-
-
-def ranked_from_candidates(cands: DataFrame) -> DataFrame:
-    """Candidate rows to the ranked list."""
-    return rank_images(fallback_zones(cap_per_zone(dedup_seen(zone_candidates(cands)))))
-
-
-def zone_candidates(cands: DataFrame) -> DataFrame:
-    """Candidate rows per zone with their scan-order key (k1, k2, k3).
-
-    zone 1 main area, 2 article areas (selector rank, area, img), 3 other
-    images with importance > 0, 4 meta tags, 5 inline backgrounds.
-    """
-    kind, valid = F.col("kind"), F.col("valid")
-
-    def key(zone, k1, k2, k3):
-        return F.struct(F.lit(zone).alias("zone"), F.lit(k1).alias("k1") if isinstance(k1, int) else k1.alias("k1"),
-                        F.lit(k2).alias("k2") if isinstance(k2, int) else k2.alias("k2"),
-                        F.lit(k3).alias("k3") if isinstance(k3, int) else k3.alias("k3"))
-
-    z = F.array(
-        F.when((kind == "img") & valid & F.col("in_main"), key(1, 0, 0, F.col("node_id"))),
-        F.when((kind == "img") & valid & F.col("a_rank").isNotNull(),
-               key(2, F.col("a_rank"), F.col("a_node"), F.col("node_id"))),
-        F.when((kind == "img") & valid & ~F.col("in_main") & (F.col("importance") > 0),
-               key(3, 0, 0, F.col("node_id"))),
-        F.when((kind == "meta") & valid & (F.col("url") != ""), key(4, F.col("idx"), 0, 0)),
-        F.when((kind == "bg") & valid, key(5, 0, F.col("node_id"), F.col("idx"))),
-    )
-    return cands.select("page_id", "url", F.coalesce(F.col("importance"), F.lit(0)).alias("importance"),
-                        F.explode(F.filter(z, lambda x: x.isNotNull())).alias("z")).select(
-        "page_id", "z.zone", "z.k1", "z.k2", "z.k3", "url", "importance")
-
-
-def dedup_seen(zones: DataFrame) -> DataFrame:
-    """First sighting per page and URL wins across zones (before caps).
-
-    The single ``repartition(page_id)`` here is the stage's only Exchange: the
-    windows below and in the next steps all cluster by ``page_id``.
-    """
-    w = Window.partitionBy("page_id", "url").orderBy("zone", "k1", "k2", "k3")
-    return (zones.repartition("page_id")
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") == 1).drop("_rn"))
-
-
-def cap_per_zone(seen: DataFrame) -> DataFrame:
-    """Top-k per zone; zone 3 by importance descending, ties in scan order."""
-    order = F.when(F.col("zone") == 3, -F.col("importance")).otherwise(F.lit(0))
-    w = Window.partitionBy("page_id", "zone").orderBy(order, "k1", "k2", "k3")
-    cap = F.element_at(F.create_map(*[x for z, c in W.ZONE_CAPS.items() for x in (F.lit(z), F.lit(c))]),
-                       F.col("zone"))
-    return (seen.withColumn("zone_rank", F.row_number().over(w))
-            .filter(F.col("zone_rank") <= cap))
-
-
-def fallback_zones(capped: DataFrame) -> DataFrame:
-    """Meta images only when fewer than 3 so far; one background only when
-    fewer than 2 after that. Adds ``list_pos``, the position in the merged list.
-
-    ``list_pos`` is the rank within the zone plus the kept rows of the earlier
-    zones: per-page sums over the same ``page_id`` partitioning, so no extra
-    sort is needed for it.
-    """
-    page = Window.partitionBy("page_id")
-    z = F.col("zone")
-
-    def n(zone):
-        return F.sum(F.when(z == zone, 1).otherwise(0)).over(page)
-
-    counted = capped.select("*", *[n(i).alias(f"_n{i}") for i in (1, 2, 3, 4)])
-    n123 = F.col("_n1") + F.col("_n2") + F.col("_n3")
-    meta_in = n123 < W.META_FALLBACK_BELOW
-    n4 = F.when(meta_in, F.col("_n4")).otherwise(0)
-    bg_in = (n123 + n4) < W.BACKGROUND_FALLBACK_BELOW
-    kept = counted.filter((z <= 3) | ((z == 4) & meta_in) | ((z == 5) & bg_in))
-    before = (F.when(z > 1, F.col("_n1")).otherwise(0) + F.when(z > 2, F.col("_n2")).otherwise(0)
-              + F.when(z > 3, F.col("_n3")).otherwise(0) + F.when(z > 4, n4).otherwise(0))
-    return (kept.withColumn("list_pos", (F.col("zone_rank") + before).cast("int"))
-            .drop("_n1", "_n2", "_n3", "_n4"))
-
-
-def rank_images(merged: DataFrame) -> DataFrame:
-    """Quality score, stable sort descending, keep the first 10.
-
-    Output ``page_images(page_id, pos, url, quality)``.
-    """
-    scored = merged.withColumn("quality", image_quality("url"))
-    w = Window.partitionBy("page_id").orderBy(F.col("quality").desc(), F.col("list_pos"))
-    return (scored.withColumn("pos", F.row_number().over(w))
-            .filter(F.col("pos") <= W.FINAL_IMAGE_CAP)
-            .select("page_id", "pos", "url", "quality"))
-
-
-def page_images(dom: DataFrame) -> DataFrame:
-    """The whole image stage: dom rows to the ranked image list per page."""
-    return ranked_from_candidates(page_candidates(dom))
-
-
-def image_lists(images: DataFrame) -> DataFrame:
-    """Ranked rows to one ordered array per page: ``(page_id, images)``."""
-    return images.groupBy("page_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("images"))
-
-
-def rendered_merge(static_images: DataFrame, static_pages: DataFrame, rendered_dom_for) -> DataFrame:
-    """Pages with fewer than 3 static images and a non-empty rendered list get
-    the rendered images appended (static first), duplicates removed, no cap.
-
-    ``rendered_dom_for(page_ids)`` returns dom rows of the rendered snapshot for
-    just those pages, so the costly rendered parse only runs where needed.
+        lambda u, i: _cand("bg", n["node_id"], i, u))))
+
+    found = (staged.withColumn("main_rank", main["rank"])
+             .withColumn("cands", F.concat(imgs, metas, bgs)).drop("_main", "_meta"))
+    return found.withColumn("cands", F.expr(
+        "transform(cands, c -> named_struct('kind', c.kind, 'node_id', c.node_id, 'idx', c.idx, 'raw', "
+        f"CASE WHEN c.kind = 'img' THEN {chosen_src_sql('c.attrs')} ELSE c.raw END, 'attrs', c.attrs, "
+        "'cls', c.cls, 'p_cls', c.p_cls, 'p_id', c.p_id, 'in_main', c.in_main))"))
+
+
+def without_failed(df: DataFrame) -> DataFrame:
+    """Make a page whose urls no parser takes a failed one: null ``nodes``, ``page_text`` and ``cands``, and a
+    ``parse_error``. A page's own url is parsed, and every source that is joined to it (I2, P6)."""
+    df = settle(df.withColumn("base", F.expr(uri_parts_sql("url"))), "base", "cands", "areas")
+    bad_src = (f"exists(cands, c -> c.kind = 'img' AND {needs_join_sql('c.raw')} AND contains(c.raw, '[') "
+               f"<> contains(c.raw, ']') AND {bad_authority_sql('(' + uri_parts_sql('c.raw') + ')')})")
+    error = F.when(F.expr("nodes IS NOT NULL AND " + bad_authority_sql("base")), F.lit("invalid page url")).when(
+        F.expr(f"coalesce({bad_src}, false)"), F.lit("invalid image url"))
+    df = settle(df.withColumn("parse_error", F.coalesce(F.col("parse_error"), error)), "parse_error")
+    ok = F.col("parse_error").isNull()
+    for name in ("nodes", "page_text", "cands"):
+        if name in df.columns:
+            df = df.withColumn(name, F.when(ok, F.col(name)))
+    return df
+
+
+def area_images(df: DataFrame) -> DataFrame:
+    """One row for each area and image inside it: ``page_id, area, url``.
+
+    ``area`` is ``main`` or the article class that made the area; ``df`` has
+    ``nodes`` and the ``candidates`` of the ranking steps, which give the urls.
     """
-    counts = static_pages.select("page_id").join(
-        static_images.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_static")), "page_id", "left")
-    needy = counts.filter(F.coalesce(F.col("n_static"), F.lit(0)) < W.RENDER_BELOW).select("page_id")
-    rendered = page_images(rendered_dom_for(needy)).select(
-        "page_id", F.lit(1).alias("src"), "pos", "url")
-    static = static_images.select("page_id", F.lit(0).alias("src"), "pos", "url")
-    both = static.unionByName(rendered)
-    first = Window.partitionBy("page_id", "url").orderBy("src", "pos")
-    dedup = both.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
-    order = Window.partitionBy("page_id").orderBy("src", "pos")
-    return dedup.select("page_id", F.row_number().over(order).alias("pos"), "url")
+    main = F.when(F.col("_main").isNotNull(), F.array(F.struct(
+        F.lit("main").alias("area"), F.col("_main.node_id").alias("node_id"), F.col("_main.last_id").alias("last_id"))))
+    names = F.array(*map(F.lit, W.ARTICLE_AREA_CLASSES))
+    areas = F.transform(article_areas(), lambda a: F.struct(
+        F.get(names, a["rank"]).alias("area"), a["node_id"].alias("node_id"), a["last_id"].alias("last_id")))
+    every = F.concat(F.coalesce(main, F.array().cast("array<struct<area:string,node_id:int,last_id:int>>")), areas)
+    urls = F.map_from_entries(F.transform(F.filter("candidates", lambda c: c["kind"] == "img"),
+                                          lambda c: F.struct(c["node_id"], c["url"])))
+    pairs = F.flatten(F.transform("_every", lambda a: F.transform(
+        F.filter(subtree(F.col("nodes"), a), lambda n: n["tag"] == "img"),
+        lambda n: F.struct(a["area"].alias("area"), F.element_at(F.col("_urls"), n["node_id"]).alias("url")))))
+    return (df.withColumn("_main", main_area()).withColumn("_every", every).withColumn("_urls", urls)
+            .select("page_id", F.inline(pairs)))

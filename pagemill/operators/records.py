@@ -3,8 +3,12 @@
 One narrow pass: the parse, then a projection that computes the page fields
 and each page's array of image candidates, then the in-row ranking of that
 array (``rank_inrow``). No join, no shuffle, and the parse output has a single
-consumer, so nothing needs to be written in between. Only with rendered
-snapshots do the pages under three images (few) join their rendered lists.
+consumer. With rendered snapshots, the image lists of the snapshots (narrow
+rows) are joined to the records by ``page_id``.
+
+A page that fails (no html, markup or urls that no parser takes) has an empty
+record: null fields, no images, the general content type, and the reason in
+``error`` if there was html.
 """
 
 from __future__ import annotations
@@ -12,45 +16,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import words as W
-from ..session import reliable_checkpoint
 from . import images as IM
 from .dom import parse_html
 from .fields import page_fields, page_metadata
-from .rank_inrow import with_ranked_images
+from .rank_inrow import merged_with_rendered, with_ranked_images
 
 RECORD_FIELDS = ["page_id", "url", "title", "description", "text_content", "page_title", "meta_description",
                  "base_url", "content_type"]
 
 
+def image_dom(pages: DataFrame) -> DataFrame:
+    """Parsed pages with their image candidates; failed pages have null nodes and an error."""
+    return IM.without_failed(IM.with_candidates(parse_html(pages)))
+
+
 def ranked_pages(pages: DataFrame, with_fields: bool = False) -> DataFrame:
-    """``(page_id, url, images)`` (plus the record fields when asked), one narrow pass."""
-    dom = IM.with_candidates(parse_html(pages))
+    """``(page_id, url, images, error)`` (plus the record fields when asked), one narrow pass."""
+    dom = image_dom(pages)
+    image_cols = ["cands", "areas", "base", "parse_error"]
     if with_fields:
-        base = page_fields(dom, keep=["page_id", "url", "cands"]).select(*RECORD_FIELDS, "cands")
+        base = page_fields(dom, keep=["page_id", "url", *image_cols]).select(*RECORD_FIELDS, *image_cols)
     else:
-        base = dom.select("page_id", "url", "cands")
-    out = with_ranked_images(base).drop("cands")
-    return out.withColumn("images", F.coalesce(F.col("images"), F.array().cast("array<string>")))
+        base = dom.select("page_id", "url", *image_cols)
+    return with_ranked_images(base).withColumnRenamed("parse_error", "error").drop("cands", "areas", "base")
 
 
 def page_records(pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
     """Pages ``(page_id, url, html)`` to records ``(page_id, url, title,
     description, text_content, page_title, meta_description, base_url,
-    content_type, images, metadata)``.
+    content_type, error, images, metadata)``.
 
-    ``rendered`` (same shape) holds rendered snapshots; they are parsed only for
-    pages with fewer than three static images, whose lists then get the rendered
-    images appended, duplicates removed (R4).
+    ``rendered`` (same shape) holds rendered snapshots of some pages (R4).
     """
     recs = ranked_pages(pages, with_fields=True)
     if rendered is not None:
-        recs = reliable_checkpoint(recs)
-        few = F.size("images") < W.RENDER_BELOW
-        needy = recs.filter(few)
-        extra = ranked_pages(rendered.join(needy.select("page_id"), "page_id", "left_semi"))
-        merged = needy.join(extra.select("page_id", F.col("images").alias("_r")), "page_id", "left").withColumn(
-            "images", F.when(F.size(F.coalesce(F.col("_r"), F.array())) > 0,
-                             F.array_distinct(F.concat("images", "_r"))).otherwise(F.col("images"))).drop("_r")
-        recs = recs.filter(~few).unionByName(merged)
+        extra = ranked_pages(rendered).groupBy("page_id").agg(F.first("images").alias("_rendered"))
+        recs = (recs.join(extra, "page_id", "left")
+                .withColumn("images", merged_with_rendered(F.col("images"), F.col("_rendered"))).drop("_rendered"))
     return recs.withColumn("metadata", page_metadata(recs))

@@ -2,7 +2,8 @@
 
 The article is fixed text with slots; three parts vary: the meta text and the
 lead change with "has new illustration", and the gift wording changes when the
-maker is one of two named companies. Templates use ``{slot}`` names; the same
+maker is one of two named companies. The sheet gives the gift sentence of those
+makers without an opening; it takes the place of the lead's second sentence. Templates use ``{slot}`` names; the same
 template list renders to a Spark ``concat`` and to SQL.
 """
 
@@ -19,7 +20,9 @@ from ..functions import words as W
 SPECIAL_MAKERS = ["株式会社A3", "TSUTAYA"]
 IMAGE_DIV = '<div class="l-center l-padding-t-1em l-margin-b-1em">\n-適切な画像を挿入ー\n</div>\n'
 AD_DIV = ('<div class="l-center l-padding-t-1em l-margin-b-1em">\n'
-          '<span class="f-size12px">以下広告のあとに記事が続きます</span>\n</div>\n')
+          '<span class="f-size12px">以下広告のあとに記事が続きます</span>\n</div>\n<moreads>広告表示</moreads>\n')
+BANNER = '[sc name="oshibuta-banner"][/sc]\n'
+TITLE = "{event}、{start_md}より、{venue}にて開催！"
 OPENING = "{author}先生による人気漫画を原作としたアニメ「{work}」× {maker}のポップアップストアが、{venue}にて{period}まで開催される。"
 META_ILLUST = OPENING + "アニメ「{work}」ポップアップストアでは、描き下ろしイラストを使用した新作グッズが多数ラインナップ!"
 META_PLAIN = OPENING + "アニメ「{work}」ポップアップストアでは、{characters}らの描き下ろしイラストを使用した新作グッズが多数ラインナップ！"
@@ -36,7 +39,7 @@ NOVELTY_SPECIAL = ("「{work}」ポップアップストアにて新商品を含
                    "特典として描き下ろしノベルティ「{novelty} 全{kinds}種」が1会計につき1枚ランダムにプレゼントされる。")
 ARTICLE = (
     "<h2>メタディスクリプション</h2>\n<p>{meta}</p>\n"
-    "<h2>リード文</h2>\n<p>{lead}</p>\n"
+    "<h2>リード文</h2>\n<p>{lead}</p>\n" + BANNER +
     "<h2>{event} ポップアップストア in {venue}のグッズ</h2>\n<p>{goods}</p>\n"
     "<h3>グッズラインナップ</h3>\n" + IMAGE_DIV + AD_DIV +
     "<h2>{work} ポップアップストア in {venue}のノベルティー</h2>\n<p>{novelty_text}</p>\n"
@@ -47,8 +50,11 @@ ARTICLE = (
     '   <td><a href="{official_link}" target="_blank" class="cc__officiallink" rel="noopener noreferrer">特設ページ</a></td>\n  </tr>\n'
     "  <tr>\n   <th>開催場所</th>\n   <td>{venue}</td>\n  </tr>\n"
     "  <tr>\n   <th>開催期間</th>\n   <td>{period}</td>\n  </tr>\n"
+    '  <tr>\n   <th>アクセス・地図</th>\n   <td><a href="{map_url}" target="_blank" rel="noopener noreferrer">'
+    "Googleマップ</a>で見る</td>\n  </tr>\n"
     '  <tr>\n   <th>お問い合わせ</th>\n   <td><a href="{official_link}" target="_blank" class="cc__officiallink" '
     'rel="noopener noreferrer">{maker}</a>にお問い合わせください。</td>\n  </tr>\n </table>\n</div>\n' + AD_DIV +
+    '<div class="l-center l-padding-t-1em l-width-80percent l-margin-b-1em">\n{twitter_url}\n</div>\n'
     "詳細は公式サイトをご確認ください。\n"
     '<span class="f-size12px">※記事の情報が古い場合がありますのでお手数ですが公式サイトの情報をご確認下さい。</span>\n'
     '<p class="f-size12px"><small>&copy; {work}</small></p>'
@@ -75,7 +81,7 @@ def render(t: str, slots: dict) -> Column:
 
 
 def popup_articles(facts: DataFrame) -> DataFrame:
-    """``event_facts`` rows to ``(event_id, html)``."""
+    """``event_facts`` rows to ``(event_id, title, html)``."""
     c = F.col
     start = F.date_format(c("start_date"), DATE_FORMAT)
     slots = {
@@ -85,6 +91,7 @@ def popup_articles(facts: DataFrame) -> DataFrame:
         "start": start, "start_md": F.date_format(c("start_date"), MONTH_DAY_FORMAT),
         "period": F.concat(start, F.lit("〜"), F.date_format(c("end_date"), MONTH_DAY_FORMAT)),
         "official_link": F.concat(c("official_url"), F.lit(W.UTM_PARAMS)),
+        "map_url": c("map_url"), "twitter_url": c("twitter_url"),
     }
     special = c("maker").isin(*SPECIAL_MAKERS)
     illust = F.coalesce(c("has_illustration"), F.lit(False))
@@ -93,4 +100,4 @@ def popup_articles(facts: DataFrame) -> DataFrame:
                       .when(illust, render(LEAD_ILLUST, slots)).otherwise(render(LEAD_PLAIN, slots)))
     slots["goods"] = F.when(illust, render(GOODS_ILLUST, slots)).otherwise(render(GOODS_PLAIN, slots))
     slots["novelty_text"] = F.when(special, render(NOVELTY_SPECIAL, slots)).otherwise(render(NOVELTY_NORMAL, slots))
-    return facts.select("event_id", render(ARTICLE, slots).alias("html"))
+    return facts.select("event_id", render(TITLE, slots).alias("title"), render(ARTICLE, slots).alias("html"))

@@ -3,75 +3,64 @@
 Tables are found the way the original finds them: a regex for a ``table``
 whose class attribute is exactly ``event-info-table``; each matched snippet is
 parsed on its own (N1), and per ``tr`` the first ``th`` and the first ``td``
-make a row when both exist.
+make a row when both exist. Snippets, their parse and their rows stay in the
+document's row: one scan, no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.text import py_strip
-from .dom import first_node, node_text, parse_html, subtree
+from .dom import first_node, node_text, parse_snippets, subtree
 
 TABLE_PATTERN = r'(?s)<table[^>]*class="' + W.INFO_TABLE_CLASS + r'"[^>]*>.*?</table>'
 
 
-def table_snippets(docs: DataFrame, html_col: str = "content") -> DataFrame:
-    """Matched table markup per document: ``(page_id, t_idx, snippet)``."""
-    found = docs.select("page_id", F.regexp_extract_all(F.col(html_col), F.lit(TABLE_PATTERN), 0).alias("t"))
-    return found.filter(F.size("t") > 0).select("page_id", F.posexplode("t").alias("t_idx", "snippet"))
-
-
-def info_table_rows(docs: DataFrame, html_col: str = "content") -> DataFrame:
-    """H2: ``(page_id, t_idx, row_no, key, value)``."""
-    dom = parse_html(table_snippets(docs, html_col), html_col="snippet", keep=["page_id", "t_idx"])
-    nodes, text = F.col("nodes"), F.col("page_text")
-    table = first_node(nodes, lambda n: n["tag"] == "table")
+def _table_rows(parsed: Column) -> Column:
+    """H2 of one parsed snippet: an array of (key, value); none if it could not be parsed."""
+    nodes, text = parsed["nodes"], parsed["page_text"]
 
     def cell(tr, tag):
         return F.get(F.filter(subtree(nodes, tr), lambda n: n["tag"] == tag), 0)
 
     rows = F.transform(
-        F.filter(subtree(nodes, table), lambda n: n["tag"] == "tr"),
-        lambda tr: F.struct(tr["node_id"].alias("tr_id"),
-                            py_strip(node_text(text, cell(tr, "th"))).alias("key"),
+        F.filter(subtree(nodes, first_node(nodes, lambda n: n["tag"] == "table")), lambda n: n["tag"] == "tr"),
+        lambda tr: F.struct(py_strip(node_text(text, cell(tr, "th"))).alias("key"),
                             py_strip(node_text(text, cell(tr, "td"))).alias("value")))
     both = F.filter(rows, lambda r: r["key"].isNotNull() & r["value"].isNotNull())
-    return dom.select("page_id", "t_idx", F.posexplode(both).alias("row_no", "r")).select(
-        "page_id", "t_idx", "row_no", "r.key", "r.value")
+    return F.coalesce(both, F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def table_texts(rows: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Per table the replacement text: header, one ``■ key: value`` line per row, blank line."""
-    lines = rows.groupBy("page_id", "t_idx").agg(
-        F.sort_array(F.collect_list(F.struct("row_no", F.concat(F.lit("■ "), "key", F.lit(": "), "value",
-                                                                 F.lit("\n")).alias("line")))).alias("ls"))
-    body = F.array_join(F.transform(F.coalesce(F.col("ls"), F.array()), lambda x: x["line"]), "")
-    return snippets.join(lines, ["page_id", "t_idx"], "left").select(
-        "page_id", "t_idx", "snippet",
-        F.concat(F.lit(W.INFO_TABLE_HEADER), F.coalesce(body, F.lit("")), F.lit("\n")).alias("table_text"))
+def with_tables(docs: DataFrame, html_col: str = "content") -> DataFrame:
+    """Add ``tables``: for each matched table its ``snippet`` and ``rows`` (key, value)."""
+    found = F.coalesce(F.regexp_extract_all(F.col(html_col), F.lit(TABLE_PATTERN), 0), F.array().cast("array<string>"))
+    parsed = docs.withColumn("_found", found).withColumn("_parsed", parse_snippets("_found"))
+    return parsed.withColumn("tables", F.zip_with("_found", "_parsed", lambda s, p: F.struct(
+        s.alias("snippet"), _table_rows(p).alias("rows")))).drop("_found", "_parsed")
+
+
+def info_table_rows(docs: DataFrame, html_col: str = "content") -> DataFrame:
+    """H2: ``(page_id, t_idx, row_no, key, value)``."""
+    each = with_tables(docs.select("page_id", html_col), html_col).select(
+        "page_id", F.posexplode("tables").alias("t_idx", "t"))
+    return each.select("page_id", "t_idx", F.posexplode("t.rows").alias("row_no", "r")).select(
+        "page_id", "t_idx", "row_no", "r.key", "r.value")
 
 
 def info_table_text(docs: DataFrame, html_col: str = "content") -> DataFrame:
     """H3: the document text with every info table replaced by its text, tables in order.
 
-    Only documents that contain an info table take part in the join (and its
-    shuffle); all others pass through unchanged.
+    A table's text is a header, one ``■ key: value`` line per row, and a blank line.
     """
-    has = F.coalesce(F.col(html_col).rlike(TABLE_PATTERN), F.lit(False))
-    with_tables = docs.filter(has)
-    snippets = table_snippets(with_tables, html_col)
-    rows = info_table_rows(with_tables, html_col)
-    # one row per page; its tables are bounded by that page's own markup
-    texts = table_texts(rows, snippets).groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.struct("t_idx", "snippet", "table_text"))).alias("tables"))
-    joined = with_tables.select("page_id", F.col(html_col).alias("_c")).join(texts, "page_id", "left")
-    folded = F.aggregate(F.coalesce(F.col("tables"), F.array()), F.col("_c"),
-                         lambda acc, t: F.replace(acc, t["snippet"], t["table_text"]))
-    rest = docs.filter(~has).select("page_id", F.col(html_col).alias("text"))
-    return joined.select("page_id", folded.alias("text")).unionByName(rest)
+    lines = with_tables(docs.select("page_id", html_col), html_col)
+    texts = F.transform("tables", lambda t: F.struct(t["snippet"].alias("snippet"), F.concat(
+        F.lit(W.INFO_TABLE_HEADER), F.array_join(F.transform(t["rows"], lambda r: F.concat(
+            F.lit("■ "), r["key"], F.lit(": "), r["value"], F.lit("\n"))), ""), F.lit("\n")).alias("text")))
+    folded = F.aggregate("_texts", F.col(html_col), lambda acc, t: F.replace(acc, t["snippet"], t["text"]))
+    return lines.withColumn("_texts", texts).select("page_id", folded.alias("text"))
 
 
 def info_summary(rows: DataFrame) -> DataFrame:

@@ -1,155 +1,132 @@
 """Image queries over the gallery fixture (checks "G") and page records.
 
 Spark builds the gallery html from ``part`` and runs the real stage: parse,
-in-row zones, one explode, one Exchange, windows. The oracle starts from the
-expected ``(zone, src, alt, class, width, height)`` rows computed from the
-same ``part`` columns and applies the rules in SQL.
+in-row candidates, zones and ranking; each query reads the array of its step.
+The oracle starts from the expected ``(zone, src, alt, class, width, height)``
+rows computed from the same ``part`` columns and applies the rules in SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.images import asset_checks, image_quality
+from ..functions.images import asset_checks, quality_sql
 from ..operators import images as IM
+from ..operators import rank_inrow as RK
 from ..operators import records as RC
-from ..operators.dom import parse_html
-from ..sources.fixtures import gallery_assets, gallery_pages
-from ..session import reliable_checkpoint
+from ..sources.fixtures import broken_pages, gallery_assets, gallery_pages
 from ..sources.tables import read_pages
 from . import sqltext as S
 
 
-def gallery_dom(spark, sf_dir, rendered=False):
-    return parse_html(gallery_pages(spark, sf_dir, rendered))
+def gallery_steps(spark, sf_dir):
+    return RK.with_image_steps(RC.image_dom(gallery_pages(spark, sf_dir)))
 
 
-def _cands(spark, sf_dir):
-    return IM.page_candidates(gallery_dom(spark, sf_dir))
+def _step(spark, sf_dir, step):
+    return gallery_steps(spark, sf_dir).select("page_id", F.inline(step))
 
 
-def _zones(spark, sf_dir):
-    return IM.zone_candidates(_cands(spark, sf_dir))
+def _images(spark, sf_dir):
+    return _step(spark, sf_dir, "candidates").filter(F.col("kind") == "img")
 
 
-def _seq(df, order):
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)))
+def _zone_seq(spark, sf_dir, zone):
+    rows = gallery_steps(spark, sf_dir).select("page_id", F.array_sort(F.transform(
+        F.filter("zones", lambda z: z["zone"] == zone),
+        lambda z: F.struct(z["k1"], z["k2"], z["k3"], z["url"].alias("url"), z["importance"].alias("importance")))).alias("z"))
+    return rows.select("page_id", F.posexplode("z").alias("n", "z")).select(
+        "page_id", (F.col("n") + 1).alias("seq"), "z.url", "z.importance")
 
 
 def q_main_area(spark, sf_dir):
-    d = IM.page_candidates(gallery_dom(spark, sf_dir))
-    names = [s for s in W.MAIN_AREA_SELECTORS if " " not in s]  # descendant selectors never win
-    sel = None
-    for i, name in enumerate(names):
-        c = F.col("main_rank") == i
-        sel = F.when(c, F.lit(name)) if sel is None else sel.when(c, F.lit(name))
-    return d.select("page_id", sel.alias("main_selector")).distinct()
+    names = F.array(*[F.lit(s) for s in W.MAIN_AREA_SELECTORS if " " not in s])  # descendant selectors never win
+    return RC.image_dom(gallery_pages(spark, sf_dir)).select("page_id", F.get(names, F.col("main_rank")).alias("main_selector"))
 
 
 def q_zone_images(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter(F.col("kind") == "img")
-    z = F.when(F.col("in_main"), 1).when(F.col("a_rank").isNotNull(), 2)
-    return c.select("page_id", z.alias("zone"), "url").filter(F.col("zone").isNotNull())
+    return IM.area_images(gallery_steps(spark, sf_dir))
 
 
 def q_non_main_images(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter((F.col("kind") == "img") & ~F.col("in_main"))
-    return c.select("page_id", "url")
+    return _images(spark, sf_dir).filter(~F.col("in_main")).select("page_id", "url")
 
 
 def q_image_src(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter(F.col("kind") == "img")
-    return c.select("page_id", F.col("raw").alias("src"))
+    return _images(spark, sf_dir).select("page_id", F.col("raw").alias("src"))
 
 
 def q_resolve_url(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter(F.col("kind") == "img")
-    return c.select("page_id", "url")
+    return _images(spark, sf_dir).select("page_id", "url")
 
 
 def q_valid_image_url(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter(F.col("kind") == "img")
-    return c.select("page_id", "url", "valid")
+    return _images(spark, sf_dir).select("page_id", "url", "valid")
 
 
 def q_image_importance(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter(F.col("kind") == "img")
-    return c.select("page_id", "url", "importance")
+    return _images(spark, sf_dir).select("page_id", "url", "importance")
 
 
 def q_image_quality(spark, sf_dir):
-    c = _cands(spark, sf_dir).filter((F.col("kind") == "img") & F.col("valid"))
-    return c.select("page_id", "url", image_quality("url").alias("quality"))
-
-
-def _zone_seq(spark, sf_dir, zone, order):
-    z = _zones(spark, sf_dir).filter(F.col("zone") == zone)
-    return _seq(z, order).select("page_id", "seq", "url")
+    c = _images(spark, sf_dir).filter("valid")
+    return c.select("page_id", "url", F.expr(quality_sql("url")).alias("quality"))
 
 
 def q_main_images(spark, sf_dir):
-    return _zone_seq(spark, sf_dir, 1, ["k1", "k2", "k3"])
+    return _zone_seq(spark, sf_dir, 1).drop("importance")
 
 
 def q_article_images(spark, sf_dir):
-    return _zone_seq(spark, sf_dir, 2, ["k1", "k2", "k3"])
+    return _zone_seq(spark, sf_dir, 2).drop("importance")
 
 
 def q_general_images(spark, sf_dir):
-    z = _zones(spark, sf_dir).filter(F.col("zone") == 3)
-    return _seq(z, ["k3"]).select("page_id", "seq", "url", "importance")
+    return _zone_seq(spark, sf_dir, 3)
 
 
 def q_meta_images(spark, sf_dir):
-    z = _zones(spark, sf_dir).filter(F.col("zone") == 4)
+    z = _step(spark, sf_dir, "zones").filter(F.col("zone") == 4)
     return z.select("page_id", F.col("k1").alias("meta_idx"), "url")
 
 
 def q_background_images(spark, sf_dir):
-    z = _zones(spark, sf_dir).filter(F.col("zone") == 5)
+    z = _step(spark, sf_dir, "zones").filter(F.col("zone") == 5)
     return z.select("page_id", "url")
 
 
 def q_union_zones(spark, sf_dir):
-    return _zones(spark, sf_dir).select("page_id", "zone", "url")
+    return _step(spark, sf_dir, "zones").select("page_id", "zone", "url")
 
 
 def q_dedup_seen(spark, sf_dir):
-    return IM.dedup_seen(_zones(spark, sf_dir)).select("page_id", "zone", "url")
+    return _step(spark, sf_dir, "seen").select("page_id", "zone", "url")
 
 
 def q_cap_per_zone(spark, sf_dir):
-    c = IM.cap_per_zone(IM.dedup_seen(_zones(spark, sf_dir)))
-    return c.select("page_id", "zone", "zone_rank", "url")
+    return _step(spark, sf_dir, "capped").select("page_id", "zone", "zone_rank", "url")
 
 
 def q_fallback_zones(spark, sf_dir):
-    f = IM.fallback_zones(IM.cap_per_zone(IM.dedup_seen(_zones(spark, sf_dir))))
-    return f.select("page_id", "list_pos", "zone", "url")
+    rows = gallery_steps(spark, sf_dir).select("page_id", F.posexplode("merged").alias("n", "m"))
+    return rows.select("page_id", (F.col("n") + 1).alias("list_pos"), "m.zone", "m.url")
 
 
 def q_rank_images(spark, sf_dir):
-    return IM.page_images(gallery_dom(spark, sf_dir))
+    return _step(spark, sf_dir, "ranked")
 
 
 def q_asset_admission(spark, sf_dir):
-    a = gallery_assets(spark, sf_dir)
+    a = gallery_assets(spark, sf_dir).select("url", "content_type", "content_length").distinct()
     ok, suffix, mime = asset_checks(F.col("content_type"), F.col("content_length"))
     return a.select("url", ok.alias("admitted"), suffix.alias("suffix"), mime.alias("mime"))
 
 
 def q_rendered_merge(spark, sf_dir):
-    static_dom = gallery_dom(spark, sf_dir)
-    static = reliable_checkpoint(IM.page_images(static_dom))
-    pages = gallery_pages(spark, sf_dir).select("page_id")
-
-    def rendered_for(ids):
-        rp = gallery_pages(spark, sf_dir, rendered=True).join(ids, "page_id", "left_semi")
-        return parse_html(rp)
-
-    return IM.rendered_merge(static, pages, rendered_for)
+    r = RC.page_records(gallery_pages(spark, sf_dir), gallery_pages(spark, sf_dir, rendered=True))
+    return r.select("page_id", F.posexplode("images").alias("n", "url")).select(
+        "page_id", (F.col("n") + 1).alias("pos"), "url")
 
 
 def page_records(spark, sf_dir, pages=None):
@@ -166,8 +143,13 @@ def q_page_records(spark, sf_dir):
 
 def q_gallery_records(spark, sf_dir):
     r = page_records(spark, sf_dir, gallery_pages(spark, sf_dir))
-    return r.select("page_id", "title", F.size("images").alias("n_images"),
-                    F.element_at("images", 1).alias("first_image"), "content_type")
+    return r.select("page_id", "title", F.array_join("images", " ").alias("images"), "content_type")
+
+
+def q_broken_pages(spark, sf_dir):
+    r = page_records(spark, sf_dir, broken_pages(spark, sf_dir))
+    return r.select("page_id", "url", F.col("error").isNotNull().alias("failed"), "title", "text_content", "base_url",
+                    "content_type", F.size("images").alias("n_images"), F.size("metadata").alias("n_metadata"))
 
 
 QUERIES = {
@@ -193,6 +175,7 @@ QUERIES = {
     "rendered_merge": q_rendered_merge,
     "page_records": q_page_records,
     "gallery_records": q_gallery_records,
+    "broken_pages": q_broken_pages,
 }
 
 # ---------------------------------------------------------------- oracle side
@@ -200,7 +183,12 @@ QUERIES = {
 
 def gallery_cte(rendered: bool = False, p: str = "") -> str:
     """The gallery oracle chain; ``p`` prefixes every CTE name."""
-    keep = "page_id % 5 = 4" if rendered else "(page_id % 5 <> 4 OR pos >= 15)"
+    keep = "page_id % 5 = 4" if rendered else "true"
+    thin = "false" if rendered else "page_id % 5 = 4 AND pos < 15"
+    v = "CASE WHEN page_id % 6 = 1 THEN 0 ELSE k % 8 END"
+    box_class = " ".join(f"WHEN {i} THEN '{c}'" for i, c in (
+        (2, "content"), (3, "main-content"), (4, "article-content"), (5, "post-content"), (6, "entry-content")))
+    goods_class = " ".join(f"WHEN {i} THEN {S.q(c)}" for i, c in enumerate(W.ARTICLE_AREA_CLASSES))
     return f"""{p}g AS (
   SELECT p_partkey AS k, CAST(floor(p_partkey / 20) AS BIGINT) AS page_id, CAST(p_partkey % 20 AS INTEGER) AS pos,
          replace(p_name, ' ', '-') AS slug
@@ -208,8 +196,8 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
 {p}gk AS (SELECT *, 'https://shop' || CAST(page_id % 7 AS VARCHAR) || '.example.com' AS host FROM {p}g WHERE {keep}),
 {p}img AS (
   SELECT page_id, pos, k,
-    CASE WHEN pos <= 10 AND page_id % 3 <> 0 THEN 1 WHEN pos BETWEEN 11 AND 14 THEN 2 ELSE 3 END AS area_zone,
-    CASE k % 8
+    CASE WHEN pos <= 10 AND page_id % 12 < 10 THEN 1 WHEN pos BETWEEN 11 AND 14 THEN 2 ELSE 3 END AS area_zone,
+    CASE WHEN {thin} THEN host || '/wait/spinner-' || CAST(k AS VARCHAR) || '.gif' ELSE CASE {v}
       WHEN 0 THEN 'https://cdn.example.net/large/' || slug || '-' || CAST(k AS VARCHAR) || '.jpg'
       WHEN 1 THEN host || '/media/' || slug || '_' || CAST(k AS VARCHAR) || '_800x600.png'
       WHEN 2 THEN host || '/goods/' || CAST(page_id AS VARCHAR) || '/photo/' || slug || '.webp'
@@ -217,8 +205,8 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
       WHEN 4 THEN 'data:image/png;base64'
       WHEN 5 THEN host || '/icons/logo-' || CAST(k AS VARCHAR) || '.svg'
       WHEN 6 THEN host || '/gallery/' || CAST(k AS VARCHAR) || '-400.jpg'
-      ELSE 'https://cdn.example.net/banner/new.jpg' END AS url,
-    CASE k % 8
+      ELSE 'https://cdn.example.net/banner/new.jpg' END END AS url,
+    CASE WHEN {thin} THEN '/wait/spinner-' || CAST(k AS VARCHAR) || '.gif' ELSE CASE {v}
       WHEN 0 THEN 'https://cdn.example.net/large/' || slug || '-' || CAST(k AS VARCHAR) || '.jpg'
       WHEN 1 THEN '/media/' || slug || '_' || CAST(k AS VARCHAR) || '_800x600.png'
       WHEN 2 THEN 'photo/' || slug || '.webp'
@@ -226,16 +214,19 @@ def gallery_cte(rendered: bool = False, p: str = "") -> str:
       WHEN 4 THEN 'data:image/png;base64'
       WHEN 5 THEN '/icons/logo-' || CAST(k AS VARCHAR) || '.svg'
       WHEN 6 THEN '/gallery/' || CAST(k AS VARCHAR) || '-400.jpg'
-      ELSE 'https://cdn.example.net/banner/new.jpg' END AS src,
-    CASE WHEN k % 3 = 0 THEN 'New goods' ELSE '' END AS alt,
+      ELSE 'https://cdn.example.net/banner/new.jpg' END END AS src,
+    CASE WHEN k % 3 = 0 OR page_id % 6 = 1 THEN 'New goods' ELSE '' END AS alt,
     CASE k % 4 WHEN 0 THEN 'hero' WHEN 1 THEN 'thumb' WHEN 2 THEN 'header-logo' ELSE '' END AS cls,
     CASE k % 5 WHEN 0 THEN '600' WHEN 1 THEN '250' WHEN 2 THEN '80' WHEN 3 THEN '100%' END AS w,
     CASE k % 5 WHEN 0 THEN '400' WHEN 1 THEN '100' WHEN 2 THEN '80' WHEN 3 THEN '50' END AS h,
-    CASE WHEN pos BETWEEN 11 AND 14 THEN 'goods' ELSE '' END AS p_cls
+    CASE WHEN pos BETWEEN 11 AND 14 THEN CASE page_id % 18 {goods_class} END
+         WHEN pos <= 10 THEN CASE page_id % 12 {box_class} ELSE '' END ELSE '' END AS p_cls,
+    CASE WHEN pos <= 10 THEN CASE page_id % 12 WHEN 7 THEN 'content' WHEN 8 THEN 'main' WHEN 9 THEN 'article' ELSE '' END
+         ELSE '' END AS p_id
   FROM {p}gk),
 {p}v AS (
   SELECT *, {S.valid_image('url')} AS valid,
-         {S.importance('alt', 'cls', 'p_cls', "''", 'w', 'h')} AS importance
+         {S.importance('alt', 'cls', 'p_cls', 'p_id', 'w', 'h')} AS importance
   FROM {p}img),
 {p}gp AS (SELECT DISTINCT page_id FROM {p}img),
 {p}meta AS (
@@ -299,30 +290,40 @@ firsts AS (
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY src, pos) AS INTEGER) AS pos, url FROM firsts"""
 
 
+def assets_cte() -> str:
+    """``tries``: one row for each download tried."""
+    return """once AS (
+  SELECT url, k, CASE k % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp'
+               WHEN 4 THEN 'text/html' ELSE '' END AS content_type,
+    CASE WHEN k % 7 <> 0 THEN CAST(k * 100000 AS BIGINT) END AS content_length, k % 13 <> 0 AS ok
+  FROM (SELECT url, min(k) AS k FROM img GROUP BY url) WHERE k % 11 <> 0),
+tries AS (SELECT url, content_type, content_length, ok FROM once
+          UNION ALL SELECT url, content_type, content_length, false FROM once WHERE k % 17 = 0)"""
+
+
+#: By hand from the admission rule: an image type or none, and at most 15 MiB; an unknown size counts as 0.
+ADMITTED = "(content_type IN ('', 'image/jpeg', 'image/png', 'image/gif', 'image/webp') AND coalesce(content_length, 0) <= 15728640)"
+
+
 def _assets_sql() -> str:
-    ct = "lower(coalesce(content_type, ''))"
-    size = "coalesce(content_length, 0)"
-    suffix = ("CASE " + " ".join(f"WHEN contains({ct}, {S.q(w)}) THEN {S.q(s)}" for w, s in W.ASSET_SUFFIXES)
-              + f" ELSE {S.q(W.ASSET_DEFAULT_SUFFIX)} END")
-    mime = ("CASE " + " ".join(f"WHEN suffix = {S.q(s)} THEN {S.q(m)}" for s, m in W.ASSET_MIME)
-            + " ELSE 'image/jpeg' END")
     return f"""WITH {gallery_cte()},
-a0 AS (SELECT url, min(k) AS k FROM img GROUP BY url),
-assets AS (
-  SELECT url,
-    CASE k % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp'
-               WHEN 4 THEN 'text/html' ELSE '' END AS content_type,
-    CASE WHEN k % 7 <> 0 THEN CAST(k * 100000 AS BIGINT) END AS content_length
-  FROM a0),
-a1 AS (SELECT *, {suffix} AS suffix FROM assets)
-SELECT url, (({ct} = '' OR {S.contains_any(ct, W.ASSET_TYPE_WORDS)}) AND {size} <= {W.ASSET_MAX_BYTES}) AS admitted,
-       suffix, {mime} AS mime
-FROM a1"""
+{assets_cte()}
+SELECT DISTINCT url, {ADMITTED} AS admitted,
+  CASE content_type WHEN 'image/png' THEN '.png' WHEN 'image/gif' THEN '.gif' WHEN 'image/webp' THEN '.webp' ELSE '.jpg' END
+    AS suffix,
+  CASE content_type WHEN 'image/png' THEN 'image/png' WHEN 'image/gif' THEN 'image/gif' WHEN 'image/webp' THEN 'image/webp'
+       ELSE 'image/jpeg' END AS mime
+FROM tries"""
 
 
 ORACLE = {
-    "main_area": _g("SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'main' END AS main_selector FROM gp"),
-    "zone_images": _g("SELECT page_id, area_zone AS zone, url FROM img WHERE area_zone IN (1, 2)"),
+    "main_area": _g("SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'main' WHEN 1 THEN 'article' WHEN 2 THEN '.content' "
+                    "WHEN 3 THEN '.main-content' WHEN 4 THEN '.article-content' WHEN 5 THEN '.post-content' "
+                    "WHEN 6 THEN '.entry-content' WHEN 7 THEN '#content' WHEN 8 THEN '#main' WHEN 9 THEN '#article' END "
+                    "AS main_selector FROM gp"),
+    "zone_images": _g("SELECT page_id, 'main' AS area, url FROM img WHERE area_zone = 1 "
+                      "UNION ALL SELECT page_id, p_cls, url FROM img WHERE area_zone = 2 "
+                      "UNION ALL SELECT page_id, 'gallery', url FROM img WHERE area_zone = 2 AND page_id % 2 = 1"),
     "non_main_images": _g("SELECT page_id, url FROM img WHERE area_zone <> 1"),
     "image_src": _g("SELECT page_id, src FROM img"),
     "resolve_url": _g("SELECT page_id, url FROM img"),
@@ -356,6 +357,20 @@ def _records_sql() -> str:
 
 ORACLE["page_records"] = _records_sql()
 ORACLE["gallery_records"] = _g(
-    "SELECT gp.page_id, 'Goods ' || CAST(gp.page_id AS VARCHAR) AS title, CAST(coalesce(r.n, 0) AS INTEGER) AS n_images, "
-    "r.first_image, 'general' AS content_type FROM gp LEFT JOIN (SELECT page_id, count(*) AS n, "
-    "max(CASE WHEN pos = 1 THEN url END) AS first_image FROM ranked GROUP BY page_id) r ON r.page_id = gp.page_id")
+    "SELECT gp.page_id, 'Goods ' || CAST(gp.page_id AS VARCHAR) AS title, coalesce(r.images, '') AS images, "
+    "'general' AS content_type FROM gp LEFT JOIN (SELECT page_id, string_agg(url, ' ' ORDER BY pos) AS images "
+    "FROM ranked GROUP BY page_id) r ON r.page_id = gp.page_id")
+
+
+def _broken_sql() -> str:
+    from .page_queries import _page_sql
+    broken = "page_id % 10 = 0"
+    return _page_sql(
+        f"page_id, CASE WHEN page_id % 30 = 20 THEN 'https://[bad/y' ELSE url END AS url, {broken} AS failed, "
+        f"CASE WHEN NOT ({broken}) THEN h1_text END AS title, CASE WHEN NOT ({broken}) THEN full_text END AS text_content, "
+        f"CASE WHEN NOT ({broken}) THEN base_url END AS base_url, "
+        f"CASE WHEN {broken} THEN 'general' ELSE {S.content_type('full_text')} END AS content_type, "
+        f"CAST(0 AS INTEGER) AS n_images, CAST(CASE WHEN {broken} THEN 1 ELSE 5 END AS INTEGER) AS n_metadata")
+
+
+ORACLE["broken_pages"] = _broken_sql()

@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.records import page_records as records_of
 from ..session import shared_path
 from ..sources.sinks import write_articles, write_records
-from ..streaming.page_stream import run_page_stream
-from .block_queries import _blocks, _ord
+from ..streaming.page_stream import page_stream, start_page_stream
+from .block_queries import _blocks
 from .image_queries import page_records
 
 
@@ -26,11 +27,8 @@ def q_write_records(spark, sf_dir):
 
 
 def q_write_articles(spark, sf_dir):
-    from .image_queries import gallery_pages
-    recs = page_records(spark, sf_dir, gallery_pages(spark, sf_dir)).select("page_id", "content_type")
-    blocks = _ord(_blocks(spark, sf_dir)).join(recs, "page_id")
     path = shared_path(spark, f"articles-{uuid.uuid4().hex}")
-    write_articles(blocks, path)
+    write_articles(_blocks(spark, sf_dir).withColumn("content_type", F.lit("general")), path)
     back = spark.read.parquet(path)
     return back.select("page_id", "ord", "kind", "style", "text", "image_url", "content_type")
 
@@ -38,9 +36,8 @@ def q_write_articles(spark, sf_dir):
 def q_page_stream(spark, sf_dir):
     run = uuid.uuid4().hex
     out = shared_path(spark, f"stream-out-{run}")
-    run_page_stream(spark, sf_dir, out, shared_path(spark, f"stream-ckpt-{run}"),
-                    lambda pages: page_records(spark, sf_dir, pages).drop("metadata"),
-                    file_glob="pages.parquet")
+    pages = page_stream(spark, sf_dir, file_glob="pages.parquet")
+    start_page_stream(records_of(pages), out, shared_path(spark, f"stream-ckpt-{run}")).awaitTermination()
     return _records_cols(spark.read.parquet(out))
 
 
