@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.images import (background_urls, chosen_src, image_importance, image_quality,
-                                       resolve_url, valid_image_url)
+from pagemill.functions.images import (background_urls, base_url_sql, chosen_src, image_importance, image_quality,
+                                       resolve_url, uri_parts_sql, valid_image_url, valid_url)
 from pagemill.functions.markup import article_key, clean_html
 from pagemill.operators import blocks as BL
 from pagemill.operators.dom import parse_html
-from pagemill.operators.fields import content_type, page_fields
+from pagemill.operators.fields import add_content_type, page_fields
 
 
 def one(spark, expr, **cols):
@@ -55,7 +55,7 @@ def test_image_src_choice_and_resolution(spark):
          ({"src": "data:image/png;base64,AAAA", "data-src": "https://x/y.jpg"},), ({"src": "//img.e.org/t.gif"},)],
         "attrs map<string,string>")
     out = df.select(chosen_src("attrs").alias("raw")).select(
-        "raw", resolve_url(F.lit("https://a.example/x/index.html"), F.col("raw")).alias("url")).collect()
+        "raw", resolve_url("'https://a.example/x/index.html'", "raw").alias("url")).collect()
     assert [r["raw"] for r in out] == ["/a", "/a.jpg 2x", "data:image/png;base64", "//img.e.org/t.gif"]
     assert [r["url"] for r in out] == ["https://a.example/a", "https://a.example/a.jpg 2x",
                                        "data:image/png;base64", "https://img.e.org/t.gif"]
@@ -75,24 +75,49 @@ def test_title_and_description(spark):
 
 
 def test_content_type_order(spark):
-    assert one(spark, content_type(F.col("t")), t="アニメ game") == "novel_game"
-    assert one(spark, content_type(F.col("t")), t="Cafe anime") == "cafe"
-    assert one(spark, content_type(F.lit(None).cast("string"))) == "general"
+    df = spark.createDataFrame([("アニメ game",), ("Cafe anime",), (None,)], "t string")
+    got = [r["content_type"] for r in add_content_type(df, "t").collect()]
+    assert got == ["novel_game", "cafe", "general"]
 
 
 def test_block_class_filter_and_offsets(spark):
     df = spark.createDataFrame(
-        [(1, ["u1"], '<p class="loads">some long text here</p><h2>abc</h2><div>IMAGE_PLACEHOLDER</div><p>xyz</p>')],
-        "page_id long, images array<string>, content string")
-    el = BL.article_elements(parse_html(df, html_col="content"))
-    assert [r["text"] for r in el.orderBy("seq").collect()] == ["abc", "IMAGE_PLACEHOLDER", "xyz"]
-    blocks = spark.createDataFrame(
-        [(1, 1, "heading", "h2", "HEADING_2", "ab", None), (1, 2, "image", "div", None, None, "u1"),
-         (1, 3, "paragraph", "p", "NORMAL_TEXT", "xyz", None)],
-        "page_id long, seq int, kind string, tag string, style string, text string, image_url string")
-    o = BL.block_offsets(blocks).orderBy("seq").collect()
-    assert [r["start_index"] for r in o] == [1, 5, 7]
-    assert [r["end_index"] for r in o] == [3, None, 10]
+        [(1, ["u1"], [True], '<p class="loads">some long text here</p><h2>abc</h2><div>IMAGE_PLACEHOLDER</div>'
+                             "<p>xyz, and some more</p><p>[画像</p>")],
+        "page_id long, images array<string>, admitted array<boolean>, content string")
+    dom = parse_html(df, html_col="content")
+    assert [r["text"] for r in BL.article_elements(dom).orderBy("seq").collect()] == [
+        "abc", "IMAGE_PLACEHOLDER", "xyz, and some more", "[画像"]
+    o = BL.article_blocks(dom).orderBy("seq").collect()
+    assert [r["kind"] for r in o] == ["heading", "image", "paragraph"]  # the second mark has no image left
+    assert [r["start_index"] for r in o] == [1, 6, 8]
+    assert [r["end_index"] for r in o] == [4, None, 26]
+
+
+def test_resolution_equals_the_standard_join(spark):
+    from urllib.parse import urljoin, urlparse
+    bases = ["https://a.example/x/index.html", "http://a.example", "https://a.example/d/e/?q=1#f", "https://u@h:80/p;x?y",
+             "", "page.html", "/only/path", "mailto:x@y", "ftp://f.example/a/b/../c", "HTTPS://A.example/b//c/d"]
+    urls = ["//c.example/z.gif", "http:x", "?q=2", "#frag", "?", "#", "g?y#s", "data:image/png;base64", "ftp://x/y",
+            "ftp:rel", " /lead.png", "a\tb\n.png", "/", "/..", "../../../g", "./", "..", "g;x=1/../y", "x:y/z", "/a//b/../c",
+            "a//b", "..//..//g", "é ü.jpg", "./.", "a/./b/../../c?d/../e#f/../g"]
+    rows = [(b, u) for b in bases for u in urls]
+    got = spark.createDataFrame(rows, "b string, u string").select("b", "u", resolve_url("b", "u").alias("x")).collect()
+    for r in got:
+        b, u = r["b"], r["u"]
+        want = u if u.startswith("http") else f"{urlparse(b).scheme}:{u}" if u.startswith("//") else urljoin(b, u)
+        assert r["x"] == want, (b, u, r["x"], want)
+
+
+def test_base_url_and_url_check_by_syntax(spark):
+    rows = {"https://a.example/a b": (True, "https://a.example"), "https://a.example/x|y": (True, "https://a.example"),
+            "https://a.example/100%": (True, "https://a.example"), "HTTP://A.example:8/": (True, "http://A.example:8"),
+            "": (False, "://"), "no scheme": (False, "://"), "https://": (False, "https://"), "mailto:a@b": (True, "mailto://"),
+            "http://[bad/y": (False, "http://[bad"), "http://[::1]/y": (True, "http://[::1]"), "https://h:9x/": (False, "https://h:9x")}
+    df = spark.createDataFrame([(u,) for u in rows], "u string")
+    parts = f"transform(array({uri_parts_sql('u')}), p -> {base_url_sql('p')})[0]"
+    got = {r["u"]: (r["v"], r["b"]) for r in df.select("u", valid_url(F.col("u")).alias("v"), F.expr(parts).alias("b")).collect()}
+    assert got == rows
 
 
 def test_article_key(spark):
@@ -100,17 +125,48 @@ def test_article_key(spark):
     assert got == "20250101_0000_A_BC_D"
 
 
-def test_fill_marks_repeated():
-    got = BL.fill_marks_text("<p>-適切な画像を挿入ー</p><p>-適切な画像を挿入ー</p>", ["u1", "u2"])
-    assert got == "<p>[画像1: u1]</p><p>[画像1: u1]</p>"
-    # the counter advanced for the second match, so a later mark gets the third image or ''
-    got = BL.fill_marks_text("-適切な画像を挿入ー -適切な画像を挿入ー [IMAGE_PLACEHOLDER_1]", ["u1", "u2"])
-    assert got == "[画像1: u1] [画像1: u1] "
-
-
-def test_fill_marks_udf(spark):
-    df = spark.createDataFrame([("a -適切な画像を挿入ー b", ["u1"])], "c string, imgs array<string>")
-    assert df.select(BL.fill_marks("c", "imgs").alias("x")).first()["x"] == "a [画像1: u1] b"
+@pytest.mark.parametrize("content,images,filled", [
+    ("<p>-適切な画像を挿入ー</p><p>-適切な画像を挿入ー</p>", ["u1", "u2"], "<p>[画像1: u1]</p><p>[画像1: u1]</p>"),
+    # the second equal mark used up the second image, so the later mark has none left
+    ("-適切な画像を挿入ー -適切な画像を挿入ー [IMAGE_PLACEHOLDER_1]", ["u1", "u2"], "[画像1: u1] [画像1: u1] "),
+    # the last pattern reaches from the first bracket on, so it takes the filled mark in
+    ("a [image_placeholder_2] [x\nPLACEHOLDER] b", ["u1", "u2"], "a [画像2: u2] b"),
+    ("[single_photoswipe]a\nb[/single_photoswipe] 適切な画像を挿入", ["u1"], "[画像1: u1] "),
+    ("-適切な画像を挿入-", [], "-適切な画像を挿入-"), (None, ["u"], None),
+])
+def test_fill_marks(spark, content, images, filled):
+    df = spark.createDataFrame([(content, images)], "content string, images array<string>")
+    assert BL.fill_marks(df).first()["filled"] == filled
+
+
+def test_popup_article_has_every_part_of_the_sheet(spark):
+    from pagemill.operators.render import popup_articles
+    df = spark.sql("""SELECT 1L AS event_id, '作者' AS author, '作品' AS work, 'TSUTAYA' AS maker, '店' AS venue,
+        DATE'2025-03-04' AS start_date, DATE'2025-04-05' AS end_date, 1100 AS price, 'カード' AS novelty, 6 AS kinds,
+        true AS has_illustration, 'A・B・C' AS characters, 'https://o.example/e' AS official_url,
+        'https://goo.gl/maps/1' AS map_url, 'https://twitter.com/x/status/1' AS twitter_url""")
+    r = popup_articles(df).first()
+    assert r["title"] == "作品、3月4日より、店にて開催！"
+    html = r["html"]
+    assert html.count("<moreads>広告表示</moreads>") == 2
+    assert '[sc name="oshibuta-banner"][/sc]' in html
+    assert html.count("-適切な画像を挿入ー") == 3
+    assert ('<th>アクセス・地図</th>\n   <td><a href="https://goo.gl/maps/1" target="_blank" rel="noopener noreferrer">'
+            "Googleマップ</a>で見る</td>") in html
+    assert "l-width-80percent l-margin-b-1em\">\nhttps://twitter.com/x/status/1\n</div>" in html
+    link = ('https://o.example/e?utm_source=collabo_cafe_dot_com&amp;utm_medium=collabo_cafe_dot_com&amp;'
+            'utm_campaign=collabo_cafe_dot_com&amp;utm_id=collabo_cafe_dot_com"')
+    assert html.count(link) == 2
+    assert "1,100円(税込)以上お買い上げの方に" in html and "2025年3月4日〜4月5日" in html
+    assert html.endswith('<p class="f-size12px"><small>&copy; 作品</small></p>')
+
+
+def test_list_lines_have_positions(spark):
+    df = spark.createDataFrame([(1, "<h2>Heads</h2><ul><li>abc</li><li>bcd</li></ul><p>Some text</p>")], "page_id long, content string")
+    rows = BL.list_blocks(parse_html(df, html_col="content")).orderBy("line_no").collect()
+    # widths: 'Heads' + 2, '• abc' + 1, '• bcd' + 1, 1
+    assert [r["start_index"] for r in rows] == [1, 8, 14, 20, 21]
+    assert [r["end_index"] for r in rows] == [8, None, None, None, None]
 
 
 def test_clean_html(spark):

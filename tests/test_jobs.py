@@ -13,23 +13,24 @@ def rows(df, cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_scrape_with_rendered_fallback(spark):
-    out = J.scrape(gallery_pages(spark, SMALL), gallery_pages(spark, SMALL, rendered=True))
+def test_scrape_with_rendered_fallback(spark, tmp_path):
+    out = J.scrape(gallery_pages(spark, SMALL), str(tmp_path), gallery_pages(spark, SMALL, rendered=True))
     got = out["records"].select("page_id", F.posexplode("images").alias("p", "url")).select(
         "page_id", (F.col("p") + 1).alias("pos"), "url")
     want = IQ.q_rendered_merge(spark, SMALL)
     assert rows(got, ["page_id", "pos", "url"]) == rows(want, ["page_id", "pos", "url"])
     assert out["prompts"].count() == out["records"].count()
+    assert out["prompts"].first()["system"].startswith("あなたは")
 
 
-def test_assemble_matches_block_queries(spark):
-    recs = J.scrape(gallery_pages(spark, SMALL))["records"]
-    out = J.assemble(recs, generations(spark, SMALL), gallery_assets(spark, SMALL))
+def test_assemble_matches_block_queries(spark, tmp_path):
+    recs = J.scrape(gallery_pages(spark, SMALL), str(tmp_path / "a"))["records"]
+    out = J.assemble(recs, generations(spark, SMALL), str(tmp_path / "b"), gallery_assets(spark, SMALL))
     cols = ["page_id", "kind", "style", "text", "image_url", "start_index", "end_index"]
-    want = BQ.BL.block_offsets(BQ._blocks(spark, SMALL))
-    assert rows(out["blocks"], cols) == rows(want, cols)
+    assert rows(out["blocks"], cols) == rows(BQ._blocks(spark, SMALL), cols)
     assert out["edits"].count() == 2 * out["blocks"].count()
     assert out["responses"].filter(~F.col("success")).count() == 0
+    assert "content_type" in out["blocks"].columns
 
 
 def test_cli_scrape_writes_tables(tmp_path):

@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB oracle at sf0.001 (the driver uses sf0.01)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -29,6 +31,6 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql_or_is_listed():
-    rows_only = {"fill_marks"}
-    assert set(QUERIES) - set(ORACLE) == rows_only
+    # a trained model, a tokenizer or an iteration stands behind these; tests/llm compares them with brute force
+    assert all(q == "pipeline" or re.match(r"op\d+_", q) for q in set(QUERIES) - set(ORACLE))
     assert set(ORACLE) <= set(QUERIES)

@@ -62,3 +62,15 @@ def test_self_closing_after_void_quirk():
     # a <br> followed by <br/>: the second stays open (the end event is consumed)
     _, nodes = tree("<div><br><br/>x</div>")
     assert nodes[3][0] == "br" and nodes[3][4] == 1
+
+
+def test_references_are_resolved_by_the_builder():
+    text, _ = parse_document("<p>&notit; &bogus; &copy &#65; &#x42; &#150; &#x110000; a&b</p>")
+    assert text == "&notit &bogus © A B – \ufffd a&b"
+
+
+def test_end_tags_of_many_void_elements_take_linear_time():
+    import time
+    start = time.time()
+    parse_document("<p><br></p>" * 40_000)
+    assert time.time() - start < 20
