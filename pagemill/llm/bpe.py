@@ -28,11 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.llm.common import read_table, text_or_empty
+from pagemill.llm.common import read_table, slices
 
 #: Pieces, and pairs of tokens, that a worker remembers, and the longest piece remembered in characters.
-MEMO, MEMO_LENGTH = 250_000, 48
+MEMO, MEMO_LENGTH = 200_000, 48
 NEVER = 1 << 60
 
 
@@ -194,37 +195,35 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
 
 
-def encode_column(path: str, pattern: str):
-    """A Column function: text to ``array<int>`` of token ids. The rank file must be on every executor."""
-    @F.arrow_udf("array<int>")
-    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(path, pattern)
-        for batch in texts:
-            yield _lists([enc.encode(t.as_py() or "") for t in batch])
-
-    return ids
+def _adding(df: DataFrame, source: str, out: str, kind: T.DataType, arrow: pa.DataType, make, limit: int) -> DataFrame:
+    """``df`` with a column that ``make(list of values)`` gives from another, a bounded part of a batch at a time."""
+    at, names = df.columns.index(source), [*df.columns, out]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, limit):
+                made = make(part.column(at)).cast(arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names)
 
-def decode_column(path: str, pattern: str):
-    """A Column function: token ids to the bytes they stand for."""
-    @F.arrow_udf("binary")
-    def data(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(path, pattern)
-        for batch in lists:
-            yield pa.array([enc.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch],
-                           pa.binary())
-
-    return data
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in a new column."""
-    return docs.withColumn(ids, encode_column(path, pattern)(text_or_empty("text")))
+    """``docs`` with the token ids of ``text`` in a new column. The rank file must be on every executor."""
+    def make(texts: pa.Array) -> pa.Array:
+        enc = encoder(path, pattern)
+        return _lists([enc.encode(t or "") for t in texts.to_pylist()])
+
+    return _adding(docs, "text", ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), make, 2 << 20)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its token ids in a new column."""
-    return encoded.withColumn(out, decode_column(path, pattern)(F.col(ids)))
+    def make(lists: pa.Array) -> pa.Array:
+        enc = encoder(path, pattern)
+        return pa.array([enc.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
+
+    return _adding(encoded, ids, out, T.BinaryType(), pa.binary(), make, 1 << 20)
 
 
 def digest_ids(ids: Column) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.session import ensure_checkpoint_dir, reliable_checkpoint, shared_path
 
 __all__ = ["read_table", "checkpoint", "work_path", "fresh", "text_or_empty", "lower_ascii", "small_side",
-           "held_out", "keep_rows", "text_key"]
+           "held_out", "keep_rows", "text_key", "slices"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only when its measured size is at most this.
@@ -100,3 +103,21 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, key: Column, text: str = "tex
     repeated = keyed.join(many, on, "left_semi")
     first = repeated.groupBy("doc_id", k).agg(F.first(F.struct(*cols)).alias(r_n)).select(f"{r_n}.*")
     return once.unionByName(first)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows hold about ``limit`` bytes (or list elements) of a column, at least one row each.
+
+    Spark bounds a batch by its bytes; what Python makes of it may be many
+    times as large, so it is made and sent back part by part.
+    """
+    col = batch.column(column)
+    size = pc.list_value_length if pa.types.is_list(col.type) else pc.binary_length
+    start = total = 0
+    for i, n in enumerate(size(col).fill_null(0).to_pylist()):
+        total += n
+        if total >= limit:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
