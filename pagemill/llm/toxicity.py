@@ -34,7 +34,7 @@ from pagemill.llm.common import held_out, read_table, text_or_empty
 SIZES = (2, 3, 4, 5)
 THRESHOLD = 0.3
 #: Words that a worker remembers, and the longest of them.
-MEMO, MEMO_LENGTH = 400_000, 40
+MEMO, MEMO_LENGTH = 200_000, 40
 
 
 def grams(word: str) -> set[str]:
@@ -154,7 +154,7 @@ def score_column(model: Model):
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for batch in texts:
-            yield pa.array([of(t) for t in batch.to_pylist()], pa.float64())
+            yield pa.array([of(t.as_py()) for t in batch], pa.float64())
 
     return score
 
