@@ -1,4 +1,6 @@
 import collections
+import random
+import re
 
 import pytest
 import tiktoken
@@ -68,7 +70,6 @@ def test_a_batch_lost_before_its_commit_is_done_over(spark, monkeypatch):
 
 
 def test_random_batches_match_brute_force(spark):
-    import random
     rng = random.Random(4)
     book, state = ledger(spark), {}
     for n in range(5):
@@ -98,7 +99,6 @@ def test_production_query_matches_brute_force(spark):
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.encoder(path, pattern).ranks, special_tokens={})
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     want = collections.defaultdict(lambda: [0, 0])
-    import re
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         mark, text = labels.get(r["doc_id"]), r["text"] or ""
         if mark and mark["toxic"] == 1:
