@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from oracle_harness import SMALL
 from pagemill.plans import block_queries as BQ
 from pagemill.plans import image_queries as IQ
 from pagemill.plans import jobs as J

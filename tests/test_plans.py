@@ -6,7 +6,7 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from oracle_harness import SMALL
 from pagemill.operators import articles as AR
 from pagemill.operators import blocks as BL
 from pagemill.operators import images as IM
