@@ -1,7 +1,7 @@
 """Toxicity scores by a linear classifier over character n-grams (operator 8).
 
-A feature is the presence of a character n-gram of a word (with its borders)
-anywhere in the text. Each feature is scaled by its naive Bayes log-count
+A feature is the presence of a character n-gram of a word (with its borders,
+short n-grams and the whole) anywhere in the text. Each feature is scaled by its naive Bayes log-count
 ratio between the two classes, and a logistic regression is fitted over the
 scaled features. Features whose ratio is not significant are left out, which
 keeps the model small and a very long text from gathering noise.
@@ -31,15 +31,21 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import held_out, read_table, text_or_empty
 
-SIZES = (2, 3, 4, 5)
+SIZES = (2, 3, 4, 5, 6)
+#: A word with its borders is an n-gram of its own up to this length.
+WHOLE = 26
+PUNCTUATION = "\"'`.,;:!?()[]{}<>«»“”„‘’…"
 THRESHOLD = 0.3
 #: Words that a worker remembers, and the longest of them.
 MEMO, MEMO_LENGTH = 200_000, 40
 
 
 def grams(word: str) -> set[str]:
-    padded = f" {word} "
-    return {padded[i:i + n] for n in SIZES for i in range(len(padded) - n + 1)}
+    padded = f" {word.strip(PUNCTUATION)} "
+    out = {padded[i:i + n] for n in SIZES for i in range(len(padded) - n + 1)}
+    if len(padded) <= WHOLE:
+        out.add(padded)
+    return out
 
 
 def features(text: str) -> set[str]:
@@ -105,7 +111,7 @@ def _logistic(rows: list[np.ndarray], scale: np.ndarray, label: np.ndarray, pena
     return w, b
 
 
-def fit_texts(texts: list[str], labels: list[int], share: float, significance: float = 3.0, least: int = 3,
+def fit_texts(texts: list[str], labels: list[int], share: float, significance: float = 4.0, least: int = 4,
               penalty: float = 1e-5, rounds: int = 300) -> Model:
     """Fit on texts with labels 0 and 1; ``share`` is the share of label 1 among all labels."""
     y = np.array(labels, float)
@@ -114,10 +120,13 @@ def fit_texts(texts: list[str], labels: list[int], share: float, significance: f
         return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     numbers: dict[str, int] = {}  # a text is kept as the numbers of its n-grams, 4 bytes each
     rows = [np.array([numbers.setdefault(g, len(numbers)) for g in sorted(features(t))], np.int32) for t in texts]
-    p, q = (0.5 + sum((np.bincount(r, minlength=len(numbers)) for r, label in zip(rows, labels) if label == side),
-                      np.zeros(len(numbers))) for side in (1, 0))
-    ratio = np.log(p / (sides[1] + 1)) - np.log(q / (sides[0] + 1))
-    used = (p + q > least) & (np.abs(ratio) >= significance * np.sqrt(1 / p + 1 / q))
+    p, q = (sum((np.bincount(r, minlength=len(numbers)) for r, label in zip(rows, labels) if label == side),
+                np.zeros(len(numbers))) for side in (1, 0))
+    ratio = np.log((p + 0.5) / (sides[1] + 1)) - np.log((q + 0.5) / (sides[0] + 1))
+    # the two shares of documents must differ by so many standard errors of their common share
+    common = (p + q) / len(rows)
+    error = np.sqrt(common * (1 - common) * (1 / sides[1] + 1 / sides[0]))
+    used = (p + q >= least) & (np.abs(p / sides[1] - q / sides[0]) > significance * error)
     place = np.cumsum(used) - 1
     scale = ratio[used]
     rows = [np.sort(place[r[used[r]]]) for r in rows]
