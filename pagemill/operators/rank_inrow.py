@@ -43,9 +43,9 @@ def with_image_steps(df: DataFrame) -> DataFrame:
     steps = [
         ("_area_of", "map_from_entries(transform(areas, a -> struct(a.node_id, a)))"),
         # I2 for images; every text that is tested more than once is lower-cased here, once
-        ("_url", "transform(cands, c -> named_struct('c', c, 'url', CASE WHEN c.kind = 'img' THEN "
-                 f"transform(array({uri_parts_sql('c.raw')}), r -> {resolve_sql('base', 'r', 'c.raw')})[0] "
-                 f"ELSE c.raw END, 'w', {size['width']}, 'h', {size['height']}, {lowered}))"),
+        ("_url", "transform(cands, c -> named_struct('c', c, 'url', CASE WHEN c.kind <> 'img' OR startswith(c.raw, 'http') "
+                 f"THEN c.raw ELSE transform(array({uri_parts_sql('c.raw')}), r -> {resolve_sql('base', 'r', 'c.raw')})[0] "
+                 f"END, 'w', {size['width']}, 'h', {size['height']}, {lowered}))"),
         ("_low", "transform(_url, x -> named_struct('x', x, 'lu', lower(x.url), 'area', _area_of[x.c.node_id]))"),
         # I3 validity and I4 importance
         ("candidates", "transform(_low, y -> named_struct('kind', y.x.c.kind, 'node_id', y.x.c.node_id, "

@@ -17,6 +17,7 @@ from ..operators import articles as AR
 from ..operators import blocks as BL
 from ..operators.dom import parse_html
 from ..operators.records import ranked_pages
+from ..session import reliable_checkpoint
 from ..sources.fixtures import gallery_assets, gallery_pages, generations, list_articles, requests_table
 from ..sources.tables import read_table
 from . import sqltext as S
@@ -29,8 +30,10 @@ def articles(spark, sf_dir, with_assets=False):
     """Articles of the gallery pages: url and ranked images (no other record
     fields are needed) merged with the generations."""
     recs = ranked_pages(gallery_pages(spark, sf_dir))
-    assets = gallery_assets(spark, sf_dir) if with_assets else None
-    return AR.merge_generations(recs, generations(spark, sf_dir), assets)
+    if not with_assets:
+        return AR.merge_generations(recs, generations(spark, sf_dir))
+    recs = reliable_checkpoint(recs)  # read twice: for the articles, and for the admissions of their images
+    return AR.merge_generations(recs, generations(spark, sf_dir), gallery_assets(spark, sf_dir))
 
 
 def article_dom(spark, sf_dir, with_assets=False):

@@ -91,6 +91,14 @@ def test_many_areas_images_and_removed_nodes_take_seconds(spark):
     assert time.time() - start < 60
 
 
+def test_images_without_a_source_have_no_url(spark):
+    html = '<main><img><img alt="x"><img src=""><img src="" data-src="/media/a.jpg"></main>'
+    df = spark.createDataFrame([(1, "https://a.example/media/index.html", html)], PAGES)
+    r = RK.with_image_steps(RC.image_dom(df)).first()
+    assert [c["url"] for c in r["candidates"]] == [None, None, None, "https://a.example/media/a.jpg"]
+    assert [x["url"] for x in r["ranked"]] == ["https://a.example/media/a.jpg"]
+
+
 def test_a_bad_page_leaves_its_neighbours_alone(spark):
     good = "<h1>T</h1><p>text</p><main><img src='/media/x.jpg'></main>"
     rows = [(1, "https://a.example/1", good), (2, "https://a.example/2", "<p>x<![foo[x]]>"), (3, "https://[bad/y", good),
