@@ -30,15 +30,29 @@ def lit(s: str) -> str:
 
 
 def contains_any(x: str, words) -> str:
+    """A chain of tests: compiled, and best outside of lambdas."""
     return "(" + " OR ".join(f"contains({x}, {lit(w)})" for w in words) + ")"
 
 
+def _array(words) -> str:
+    return "array(" + ", ".join(lit(w) for w in words) + ")"
+
+
+def any_of(x: str, words) -> str:
+    """``contains_any`` over a constant array: inside lambdas, where nothing is
+    compiled, it does the same work with an expression of a few nodes."""
+    return f"exists({_array(words)}, kw -> contains({x}, kw))"
+
+
 def hits(x: str, words, points: int) -> str:
-    return "(" + " + ".join(f"(CASE WHEN contains({x}, {lit(w)}) THEN {points} ELSE 0 END)" for w in words) + ")"
+    """``points`` for each word that ``x`` contains."""
+    return f"(size(filter({_array(words)}, kw -> contains({x}, kw))) * {points})"
 
 
 def weighted(x: str, pairs) -> str:
-    return "(" + " + ".join(f"(CASE WHEN contains({x}, {lit(w)}) THEN {p} ELSE 0 END)" for w, p in pairs) + ")"
+    """The points of each (word, points) whose word ``x`` contains."""
+    table = "array(" + ", ".join(f"named_struct('w', {lit(w)}, 'p', {p})" for w, p in pairs) + ")"
+    return f"aggregate({table}, 0, (total, kw) -> total + CASE WHEN contains({x}, kw.w) THEN kw.p ELSE 0 END)"
 
 
 def py_strip(x: str) -> str:
