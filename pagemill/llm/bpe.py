@@ -56,6 +56,7 @@ class Encoder:
         self.edges: tuple[dict, dict] = ({}, {})
         self.shorter: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes, left: int = 1) -> list[int]:
         """Ids by the plain rule: join the neighbours of lowest rank until none can be joined or ``left`` remain."""
@@ -157,11 +158,11 @@ class Encoder:
         return ids
 
     def encode_piece(self, piece: str) -> bytes:
-        """Ids of one piece as 4-byte numbers."""
-        ids = np.array(self.encode_bytes(piece.encode()), "<i4").tobytes()
+        """Ids of one piece as 4-byte numbers. A full memory becomes the older one, whose pieces come back when met."""
+        ids = self.older.get(piece) or np.array(self.encode_bytes(piece.encode()), "<i4").tobytes()
         if len(piece) <= MEMO_LENGTH:
             if len(self.pieces) >= MEMO:
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
