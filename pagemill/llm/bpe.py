@@ -20,6 +20,8 @@ decodes to no bytes. Only ``text`` and, if asked, other named columns are read.
 from __future__ import annotations
 
 import base64
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -174,15 +176,17 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a rank file, made once a worker process."""
-    if (path, pattern) not in _ENCODERS:
+    """The encoder of a rank file, made once a worker process.
+
+    The library's code travels with each task and brings its own globals, so
+    what is to outlive a task is kept in a module of the worker's own.
+    """
+    kept = sys.modules.setdefault("pagemill_worker", types.ModuleType("pagemill_worker")).__dict__
+    if (path, pattern) not in kept.setdefault("encoders", {}):
         with open(path, "rb") as lines:
-            _ENCODERS[path, pattern] = Encoder(read_ranks(lines), pattern)
-    return _ENCODERS[path, pattern]
+            kept["encoders"][path, pattern] = Encoder(read_ranks(lines), pattern)
+    return kept["encoders"][path, pattern]
 
 
 def default_vocabulary() -> tuple[str, str]:
