@@ -1,32 +1,40 @@
 """Personal data by bootstrapped contextual extraction (operator 2).
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by
-exact rules and are the seeds. Every seed, and every other token that looks
-like an identifier, is an *instance*; the words around its occurrences make
-lexical *patterns*. Spark scores the graph of patterns and instances in
-rounds: the confidence of a pattern for a kind is the summed score of its
+exact rules and are the seeds. Every seed, and every other token or run of
+digit groups that looks like an identifier, is an *instance*; the words around
+its occurrences make lexical *patterns*. Spark scores the graph of patterns
+and instances in rounds: the confidence of a pattern for a kind is the summed score of its
 instances of that kind over the number of its different instances, and an
 instance that is no seed gets its score from the accepted patterns that it
-occurs in. Occurrences of accepted instances in accepted patterns are added
-to the base spans, which always stay.
+occurs in. An accepted pattern with a word on either side also proposes
+instances of its own: all text between the two words, if at least half of its
+characters are in words with a digit, an ``@`` or an inner point. These enter the
+graph, which is scored again until no such pattern is new. Occurrences of
+accepted instances in accepted patterns are added to the base spans, which
+always stay.
 
 The graph has one row per different pattern and instance, so copies of a text
-add nothing to it. Texts are read once and never shuffled.
+add nothing to it; a value of over ``LONG`` characters is named by its digest.
+Texts are read once, and once more for each set of new patterns, and never
+shuffled.
 
 Defined results: a null text counts as empty; a text without any finding has
 empty spans; kinds are looked for independently, so spans of two kinds may
-overlap; added spans never overlap base spans; a token accepted for two kinds
+overlap; added spans never overlap base spans, and of added spans of a kind
+that lie within each other the longest stays; a token accepted for two kinds
 belongs to the one with the higher score, then the one listed first. Repeated
 rows each get their row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import checkpoint, read_table, text_key, text_or_empty
@@ -40,6 +48,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]")
+#: Signs of digit groups in seeds; groups are joined by blanks.
+GROUP = re.compile(r"[0-9().+-]+")
+WORD = re.compile(r"\S+")
+MARKED = re.compile(r"[0-9@]|[^\W_]\.[^\W_]")
+LONG = 64
 EDGES = "\"'`.,;:!?()[]{}<>"
 #: Characters beside an occurrence in which its context words are looked for.
 CONTEXT = 60
@@ -96,29 +109,93 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _bare(text: str, start: int, end: int) -> Span:
+    """The span without the signs of ``EDGES`` at its ends."""
+    while start < end and (text[start] in EDGES or text[start].isspace()):
+        start += 1
+    while end > start and (text[end - 1] in EDGES or text[end - 1].isspace()):
+        end -= 1
+    return start, end
+
+
+def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Those of ``spans``, ordered by start, that touch none of ``taken``."""
+    out, taken, i, reach = [], sorted(taken), 0, 0
+    for a, b in spans:
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= a < b:
+            out.append((a, b))
+    return out
+
+
+def _run(text: str, start: int, end: int) -> Span:
+    """The span of digit groups without points, signs and single brackets at its ends."""
+    while end > start and text[end - 1] in ".(+-":
+        end -= 1
+    if text[end - 1] == ")" and text.find("(", start, end) < 0:
+        end -= 1
+    if text[start] == "(" and text.find(")", start, end) < 0:
+        start += 1
+    return start, end
+
+
 def identifiers(text: str, taken: list[Span]) -> list[Span]:
-    """Tokens that look like identifiers and touch none of ``taken``: three digits or more, or an ``@`` within."""
-    out, taken, i = [], sorted(taken), 0
+    """Tokens and runs of digit groups that look like identifiers and touch none of ``taken``: three digits or
+    more, or an ``@`` within."""
+    tokens, groups, past = [], [], 0  # groups: start and end of runs, and whether they go on
     m = MARK.search(text)
     while m:
         start, end = m.start(), m.end()
-        while start and not text[start - 1].isspace() and (not out or start > out[-1][1]):
+        while start > past and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and not text[end].isspace():
             end += 1
-        a, b = start, end
-        while a < b and text[a] in EDGES:
-            a += 1
-        while b > a and text[b - 1] in EDGES:
-            b -= 1
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        free = not any(s < b and e > a for s, e in taken[i:i + 4])
-        token = text[a:b]
-        if free and 5 <= b - a <= 64 and (len(DIGIT.findall(token)) >= 3 or "@" in token[1:-1]):
-            out.append((a, b))
+        past = end
+        a, b = _bare(text, start, end)
+        if len(DIGIT.findall(text, a, b)) >= 3 or text.find("@", a + 1, b - 1) >= 0:
+            tokens.append((a, b))
+        token = text[start:end]
+        left = len(token) - len(token.lstrip("\"'`[{<"))
+        right = len(token.rstrip("\"'`.,;:!?]}>"))
+        if GROUP.fullmatch(token, left, right):
+            if groups and groups[-1][2] and not left and not text[groups[-1][1]:start].strip(" "):
+                groups[-1] = (groups[-1][0], start + right, right == len(token))
+            else:
+                groups.append((start + left, start + right, right == len(token)))
         m = MARK.search(text, end)
-    return out
+    runs = [_run(text, a, b) for a, b, _ in groups if " " in text[a:b]]
+    runs = [(a, b) for a, b in runs if len(DIGIT.findall(text, a, b)) >= 3]
+    return sorted({*_free(tokens, taken), *_free(runs, taken)})
+
+
+def marked(text: str) -> float:
+    """Share of the characters of words that are in words with a digit, an ``@`` or an inner point."""
+    found = [(len(w), bool(MARKED.search(w))) for w in text.split()]
+    return sum(n for n, m in found if m) / max(1, sum(n for n, _ in found))
+
+
+def proposals(text: str, frames: dict[str, set[str]], taken: list[Span]) -> list[Span]:
+    """Texts between a left word and the next of its right words in ``frames``, from the last left word before it."""
+    out, past, left, at = [], 0, None, 0
+    for m in WORD.finditer(text):
+        word = DIGIT.sub("0", m.group().lower())
+        if left and past > at and word in frames[left]:
+            out.append(_bare(text, at, past))
+            left = None
+        if word in frames:
+            left, at = word, m.end()
+            past = at
+        else:
+            past = m.end()
+    return [(a, b) for a, b in _free(out, taken) if 2 * marked(text[a:b]) >= 1]
+
+
+def name(value: str) -> str:
+    """What stands for a value in the graph."""
+    value = value.lower()
+    return value if len(value) <= LONG else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
@@ -152,7 +229,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taken = [(s, e) for _, s, e in base]
             seen = [(k, s, e) for k, s, e in base] + [(None, s, e) for s, e in identifiers(text, taken)]
             rows.append({"doc_id": doc_id, "key": key, "base": [dict(zip(("kind", "start", "end"), b)) for b in base],
-                         "seen": [{"kind": k, "start": s, "end": e, "value": text[s:e].lower(),
+                         "seen": [{"kind": k, "start": s, "end": e, "value": name(text[s:e]),
                                    "patterns": patterns(text, s, e)} for k, s, e in seen]})
             if len(rows) == ROWS:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -168,6 +245,27 @@ def read_spans(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_read, FOUND)
 
 
+def propose_spans(docs: DataFrame, frames: dict[str, set[str]]) -> DataFrame:
+    """The rows of ``docs`` like ``read_spans``, ``seen`` having what ``frames`` propose and identifiers are not."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                taken = [(s, e) for _, s, e in base_spans(text)]
+                spans = proposals(text, frames, taken)
+                known = set(identifiers(text, taken)) if spans else set()
+                seen = [{"kind": None, "start": s, "end": e, "value": name(text[s:e]),
+                         "patterns": patterns(text, s, e)} for s, e in spans if (s, e) not in known]
+                if seen:
+                    rows.append({"doc_id": doc_id, "key": key, "base": [], "seen": seen})
+            for i in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_pylist(rows[i:i + ROWS], _ARROW)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
+                       text_or_empty("text").alias("text"))
+    return rows.mapInArrow(read, FOUND)
+
+
 def score_graph(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, pattern_confidence: float = 0.8,
                 instance_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Accepted ``pattern, kind, confidence`` and discovered ``value, kind, score``.
@@ -201,13 +299,29 @@ def score_graph(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, p
 def extract(docs: DataFrame, rounds: int = 3) -> DataFrame:
     """``doc_id, key, base, added`` for each row of ``docs``: base spans and those that patterns discovered."""
     rows = checkpoint(read_spans(docs))
-    seen = rows.select("doc_id", "key", F.explode("seen").alias("s"))
-    each = seen.select("s.value", "s.kind", F.explode("s.patterns").alias("pattern"))
-    accepted, found = score_graph(each, rounds)
+    first = rows.select("doc_id", "key", F.explode("seen").alias("s"))
+    seen, tried = first, set()
+    while True:
+        accepted, found = score_graph(seen.select("s.value", "s.kind", F.explode("s.patterns").alias("pattern")), rounds)
+        both = accepted.filter(~F.endswith("pattern", F.lit(" _"))).select("pattern").distinct()
+        now = {r["pattern"] for r in both.collect()}
+        if now <= tried:
+            break
+        tried |= now
+        frames: dict[str, set[str]] = {}
+        for left, right in (p.split(" _ ") for p in tried if p.count(" _ ") == 1):
+            frames.setdefault(left, set()).add(right)
+        more = checkpoint(propose_spans(docs, frames)).select("doc_id", "key", F.explode("seen").alias("s"))
+        seen = first.unionByName(more)
     # few instances are discovered, so their occurrences are looked up before their patterns
     places = (seen.filter("s.kind IS NULL").select("doc_id", "key", "s.value", "s.start", "s.end",
                                                    F.explode("s.patterns").alias("pattern"))
               .join(found.select("value", "kind"), "value").join(accepted, ["pattern", "kind"]))
+    # of spans of a kind that lie within each other the longest stays
+    before = Window.partitionBy("doc_id", "key", "kind").orderBy("start", F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    places = places.select("doc_id", "key", "kind", "start", "end").distinct().withColumn(
+        "reach", F.max("end").over(before)).filter(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
     added = checkpoint(places.groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("kind", F.col("start"), F.col("end"))).alias("added"))
         .select(F.col("doc_id").alias("to_doc"), F.col("key").alias("to_key"), "added"))

@@ -96,3 +96,31 @@ def test_odd_rows_and_empty_table(spark, odd, documents):
     docs = odd.withColumn("key", F.lit(1)).withColumn("base", F.lit(2)).withColumn("kind", F.lit("x"))
     assert pii.extract(docs).count() == odd.count()
     assert pii.extract(documents([])).count() == 0
+
+
+def test_identifiers_hold_spaces_and_have_no_length_limits():
+    def found(text):
+        return {text[a:b] for a, b in pii.identifiers(text, [])}
+    assert "030 1234 5678" in found("call 030 1234 5678 now")
+    assert "(555) 010-9999" in found("call (555) 010-9999, now")
+    assert "4111 1111 1111 1112" in found("card: 4111 1111 1111 1112.")
+    assert found("id " + "x9" * 100) == {"x9" * 100} and found("see 1234") == {"1234"}
+    assert pii.identifiers("a 12 b", []) == [] and pii.identifiers("call 030 1234 5678", [(5, 8)]) == [(9, 13), (14, 18)]
+
+
+def test_patterns_propose_spans_with_spaces(documents):
+    rows = [(i, f"note{i} please write to person{i}@mail.example.com or else") for i in range(30)]
+    rows += [(40 + i, f"please call +49 30 5555 01{i} now") for i in range(10, 40)]
+    rows += [(100, "please write to jane at example.com or else"), (101, "please write to the nearest office or else"),
+             (102, "please call 030 1234 5678 now"), (103, "please call (555) 010-9999 now"),
+             (104, "please write to user#at#" + "host555" * 20 + " or else")]
+    text = dict(rows)
+    added = {(r["doc_id"], x["kind"], text[r["doc_id"]][x["start"]:x["end"]])
+             for r in pii.extract(documents(rows)).collect() for x in r["added"]}
+    assert added == {(100, "email", "jane at example.com"), (102, "phone", "030 1234 5678"),
+                     (103, "phone", "(555) 010-9999"), (104, "email", "user#at#" + "host555" * 20)}
+
+
+def test_proposals_take_linear_time():
+    for text in ("a 1 b " * 50_000, "a " * 100_000 + "1 b", "a" + " 1" * 100_000):
+        pii.proposals(text, {"a": {"b"}}, [])
