@@ -4,7 +4,8 @@ Base entities (e-mail and IP addresses, card and phone numbers) are found by
 exact rules and are the seeds. Every seed, and every other token or run of
 digit groups that looks like an identifier, is an *instance*; the words around
 its occurrences make lexical *patterns*. Spark scores the graph of patterns
-and instances in rounds: the confidence of a pattern for a kind is the summed score of its
+and instances in rounds until nothing changes: the confidence of a pattern for
+a kind is the summed score of its
 instances of that kind over the number of its different instances, and an
 instance that is no seed gets its score from the accepted patterns that it
 occurs in. An accepted pattern with a word on either side also proposes
@@ -266,21 +267,28 @@ def propose_spans(docs: DataFrame, frames: dict[str, set[str]]) -> DataFrame:
     return rows.mapInArrow(read, FOUND)
 
 
-def score_graph(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, pattern_confidence: float = 0.8,
+def _state(scored: DataFrame, item: str, score: str) -> tuple[int, int | None]:
+    hashes = F.xxhash64(item, "kind", F.round(score, 3)).cast("decimal(38,0)")
+    return tuple(scored.agg(F.count(F.lit(1)), F.sum(hashes)).first())
+
+
+def score_graph(occurrences: DataFrame, support: float = 3.0, pattern_confidence: float = 0.8,
                 instance_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Accepted ``pattern, kind, confidence`` and discovered ``value, kind, score``.
 
     ``occurrences`` has ``value, kind, pattern``, the kind null for instances
     that are no seeds. A pattern is accepted for a kind with a summed score of
     at least ``support`` and a confidence of at least ``pattern_confidence``.
-    The score of an instance is that of its best accepted pattern.
+    The score of an instance is that of its best accepted pattern. Rounds end
+    when patterns, instances and their scores to three decimals are as they
+    were after some round before.
     """
     edges = checkpoint(occurrences.select("pattern", "value").distinct())
     seeds = checkpoint(occurrences.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score"))
                        .distinct())
     sizes = checkpoint(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    scores = seeds
-    for _ in range(rounds):
+    scores, states = seeds, set()
+    while True:
         sums = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
         accepted = checkpoint(sums.join(sizes, "pattern").withColumn("confidence", F.col("sum") / F.col("n"))
                               .filter((F.col("sum") >= support) & (F.col("confidence") >= pattern_confidence))
@@ -292,17 +300,20 @@ def score_graph(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, p
                                             .alias("b"))
         found = checkpoint(best.select("value", F.col("b.kind").alias("kind"), (-F.col("b.less")).alias("score"))
                            .join(seeds.select("value").distinct(), "value", "left_anti"))
+        state = (_state(accepted, "pattern", "confidence"), _state(found, "value", "score"))
+        if state in states:
+            return accepted, found
+        states.add(state)
         scores = seeds.unionByName(found)
-    return accepted, found
 
 
-def extract(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def extract(docs: DataFrame) -> DataFrame:
     """``doc_id, key, base, added`` for each row of ``docs``: base spans and those that patterns discovered."""
     rows = checkpoint(read_spans(docs))
     first = rows.select("doc_id", "key", F.explode("seen").alias("s"))
     seen, tried = first, set()
     while True:
-        accepted, found = score_graph(seen.select("s.value", "s.kind", F.explode("s.patterns").alias("pattern")), rounds)
+        accepted, found = score_graph(seen.select("s.value", "s.kind", F.explode("s.patterns").alias("pattern")))
         both = accepted.filter(~F.endswith("pattern", F.lit(" _"))).select("pattern").distinct()
         now = {r["pattern"] for r in both.collect()}
         if now <= tried:

@@ -124,3 +124,11 @@ def test_patterns_propose_spans_with_spaces(documents):
 def test_proposals_take_linear_time():
     for text in ("a 1 b " * 50_000, "a " * 100_000 + "1 b", "a" + " 1" * 100_000):
         pii.proposals(text, {"a": {"b"}}, [])
+
+
+def test_rounds_go_on_along_a_chain(spark):
+    rows = [(f"seed{k}-{i}", "email", f"p{k}") for k in range(1, 8) for i in range(7)]
+    rows += [(f"link{k}", None, f"p{k}") for k in range(1, 8)] + [(f"link{k - 1}", None, f"p{k}") for k in range(2, 8)]
+    accepted, found = pii.score_graph(spark.createDataFrame(rows, "value string, kind string, pattern string"))
+    assert {r["value"] for r in found.collect()} == {f"link{k}" for k in range(1, 8)}
+    assert {r["pattern"] for r in accepted.collect()} == {f"p{k}" for k in range(1, 8)}
