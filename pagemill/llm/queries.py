@@ -7,6 +7,7 @@ from pagemill.llm.decontam import OP10_SQL, op10_benchmark_decontamination
 from pagemill.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pagemill.llm.langid import op6_language_id
 from pagemill.llm.licenses import op7_license_scan
+from pagemill.llm.merkle import OP11_SQL, op11_merkle_manifest
 from pagemill.llm.pii import op2_pii
 from pagemill.llm.simhash import op3_simhash_near_dedup
 from pagemill.llm.token_counts import op1_token_counts
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
     "op4_warc": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
