@@ -11,6 +11,7 @@ from pagemill.llm.merkle import OP11_SQL, op11_merkle_manifest
 from pagemill.llm.pii import op2_pii
 from pagemill.llm.prefix_trie import OP13_SQL, op13_conversation_trie
 from pagemill.llm.simhash import op3_simhash_near_dedup
+from pagemill.llm.substring_dedup import OP12_SQL, op12_substring_dedup
 from pagemill.llm.token_counts import op1_token_counts
 from pagemill.llm.toxicity import op8_toxicity
 from pagemill.llm.warc import OP4_SQL, op4_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -35,5 +37,6 @@ ORACLE = {
     "op5_exact_dedup": OP5_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
