@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.charsets import charsets
+
 # Fixed values of the tree-builder behaviour being reproduced.
 VOID_TAGS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -270,25 +272,42 @@ def _to_batch(ids, id_names, texts, parsed, errors):
         names=list(id_names) + ["page_text", "nodes", "parse_error"])
 
 
-def _try_parse(html):
-    """``(page_text, node table, error)``; whatever the tokenizer raises concerns this page alone."""
+def decoded(body, codecs):
+    """The text of a body by the first of the codecs that takes all of its bytes."""
+    for codec in codecs:
+        try:
+            return body.decode(codec)
+        except (UnicodeError, LookupError):
+            continue
+    raise ValueError(f"bytes of no charset among {', '.join(codecs)}")
+
+
+def _try_parse(html, codecs=None):
+    """``(page_text, node table, error)``; whatever the tokenizer raises concerns this page alone.
+
+    ``html`` is text, or bytes with the codecs to try.
+    """
     if html is None:
         return None, None, None
     try:
-        return (*parse_document(html), None)
+        return (*parse_document(html if codecs is None else decoded(html, codecs)), None)
+    except MemoryError:  # the task's trouble, not the page's
+        raise
     except Exception as e:  # noqa: BLE001 - the page's record says what it was
         return None, None, f"{type(e).__name__}: {e}"
 
 
-def _parse_batches(id_names, html_name):
+def _parse_batches(id_names, html_name, codecs_name=None):
     def run(batches):
         for batch in batches:
             htmls = batch.column(batch.schema.get_field_index(html_name))
+            codecs = (batch.column(batch.schema.get_field_index(codecs_name)).to_pylist() if codecs_name
+                      else [None] * len(htmls))
             id_cols = [batch.column(batch.schema.get_field_index(c)) for c in id_names]
             start, chars, nodes, done = 0, 0, 0, []
             for i, h in enumerate(htmls):
                 html = h.as_py()
-                done.append(_try_parse(html))
+                done.append(_try_parse(html, codecs[i]))
                 chars += len(html or "")
                 nodes += len(done[-1][1].tags) if done[-1][1] else 0
                 if chars >= OUT_BATCH_CHARS or nodes >= OUT_BATCH_NODES or i + 1 == len(htmls):
@@ -303,17 +322,23 @@ def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
 
     ``keep`` are the columns carried through (default: all but the html).
     Select and filter *before* calling: the Python step is opaque to Catalyst,
-    so nothing is pushed through it.
+    so nothing is pushed through it. A binary ``html_col`` holds bodies as they
+    were received: their charsets are found by expressions, and the same step
+    decodes them.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != html_col]
-    src = df.select(*keep, html_col)
+    codecs = None
+    if isinstance(df.schema[html_col].dataType, T.BinaryType):
+        codecs = "_codecs"
+        df = df.withColumn(codecs, charsets(F.col(html_col)))
+    src = df.select(*keep, html_col, *[c for c in [codecs] if c])
     fields = [src.schema[c] for c in keep]
     out_schema = T.StructType(fields + [
         T.StructField("page_text", T.StringType()),
         T.StructField("nodes", T.ArrayType(NODE_TYPE)),
         T.StructField("parse_error", T.StringType()),
     ])
-    return src.mapInArrow(_parse_batches(keep, html_col), out_schema)
+    return src.mapInArrow(_parse_batches(keep, html_col, codecs), out_schema)
 
 
 PARSED_TYPE = T.StructType([T.StructField("page_text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE_TYPE)),

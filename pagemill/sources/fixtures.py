@@ -8,6 +8,7 @@ columns without any HTML, so the check covers parse + operators end to end.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,6 +227,38 @@ def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     html.alias("html"))
 
 
+#: Ends the Japanese pages; kana and kanji as they are mixed in prose.
+JAPANESE = "<p>これは日本語のページです。カフェで新しいグッズを紹介します。</p>"
+
+
+@F.arrow_udf("binary")
+def _encoded(text: pa.Array, charset: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else t.encode(c) for t, c in zip(text.to_pylist(), charset.to_pylist())], pa.binary())
+
+
+def byte_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as bytes, by page_id modulo 8: UTF-8 without (0) and with a mark (1), UTF-16 with a mark (2),
+    declared Latin-1 (3), Shift_JIS in a meta element (4), EUC-JP in an XML prolog (5) and undeclared (6),
+    Shift_JIS undeclared or, on every other page, bytes of no charset (7)."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    part, html = F.col("page_id") % 8, F.col("html")
+    plain = F.regexp_replace(html, "[^\\x00-\\x7F]", "")
+    western = F.regexp_replace(html, "[^\\x00-\\x7F\\xA0-\\xFF]", "")
+    japanese = F.concat(plain, F.lit(JAPANESE))
+    body = lambda x: F.encode(x, "UTF-8")
+    out = (F.when(part == 1, F.concat(F.unhex(F.lit("EFBBBF")), body(html)))
+            .when(part == 2, F.encode(html, "UTF-16"))
+            .when(part == 3, F.concat(body(F.lit('<meta charset="ISO-8859-1">')), _encoded(western, F.lit("latin-1"))))
+            .when(part == 4, F.concat(body(F.lit('<META http-equiv="Content-Type" content="text/html; charset=Shift_JIS">')),
+                                      _encoded(japanese, F.lit("cp932"))))
+            .when(part == 5, F.concat(body(F.lit('<?xml version="1.0" encoding="EUC-JP"?>')),
+                                      _encoded(japanese, F.lit("euc_jp"))))
+            .when(part == 6, _encoded(japanese, F.lit("euc_jp")))
+            .when(F.col("page_id") % 16 == 7, _encoded(japanese, F.lit("cp932")))
+            .when(part == 7, F.concat(body(plain), F.unhex(F.lit("8D819D")))).otherwise(body(html)))
+    return p.select("page_id", "url", out.alias("html"))
+
+
 def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' urls with unusual but valid, and invalid, endings and beginnings, by page_id modulo 8."""
     p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
