@@ -109,12 +109,31 @@ def merge_generations(records: DataFrame, gens: DataFrame, assets: DataFrame | N
     )
 
 
-def article_responses(articles: DataFrame, stamp: Column) -> DataFrame:
-    """One outcome row per article; the article key stands in for the link."""
-    return articles.select(
+def with_outcomes(rows: DataFrame, outcomes: DataFrame | None) -> DataFrame:
+    """``rows`` with ``failure``: why the document of the page could not be written, or null.
+
+    ``outcomes(page_id, error)`` says what came of writing the documents; a
+    page with several has failed if any of them did, with the first reason in
+    order, and a page without any has not.
+    """
+    if outcomes is None:
+        return rows.withColumn("failure", F.lit(None).cast("string"))
+    failed = outcomes.filter(F.col("error").isNotNull()).groupBy("page_id").agg(F.min("error").alias("failure"))
+    return rows.join(failed, "page_id", "left")
+
+
+def article_responses(articles: DataFrame, stamp: Column, outcomes: DataFrame | None = None) -> DataFrame:
+    """One outcome row per article; the article key stands in for the link.
+
+    An article whose document could not be written (``outcomes``) has no link
+    and no message, but the error.
+    """
+    told = with_outcomes(articles, outcomes)
+    fine = F.col("failure").isNull()
+    return told.select(
         "page_id",
-        F.lit(True).alias("success"),
-        article_key(F.col("title"), stamp).alias("docs_url"),
-        F.lit(W.SUCCESS_MESSAGE).alias("message"),
-        F.lit(None).cast("string").alias("error"),
+        fine.alias("success"),
+        F.when(fine, article_key(F.col("title"), stamp)).alias("docs_url"),
+        F.when(fine, F.lit(W.SUCCESS_MESSAGE)).alias("message"),
+        F.col("failure").alias("error"),
     )

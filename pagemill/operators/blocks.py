@@ -17,6 +17,7 @@ from ..functions import words as W
 from ..functions.markup import clean_html
 from ..functions.sqlexpr import lit as sql_lit
 from ..functions.text import contains_any, py_strip
+from .articles import with_outcomes
 from .dom import node_text, subtree
 
 HEADINGS = [f"h{i}" for i in range(1, 7)]
@@ -138,10 +139,12 @@ def document_edits(offsets: DataFrame, carry: list[str] | None = None) -> DataFr
     return offsets.select("page_id", "seq", *(carry or []), F.inline(ops))
 
 
-def article_stats(articles: DataFrame) -> DataFrame:
-    """Content length and image count per article."""
-    return articles.select("page_id", F.lit(True).alias("success"), F.length("content").alias("content_length"),
-                           F.size("images").alias("images_processed"))
+def article_stats(articles: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Content length and image count per article; of one whose document could not be written, the error alone."""
+    told = with_outcomes(articles, outcomes)
+    fine = F.col("failure").isNull()
+    return told.select("page_id", fine.alias("success"), F.when(fine, F.length("content")).alias("content_length"),
+                       F.when(fine, F.size("images")).alias("images_processed"), F.col("failure").alias("error"))
 
 
 # ---------------------------------------------------------------- D11

@@ -30,10 +30,13 @@ def image_dom(pages: DataFrame) -> DataFrame:
     return IM.without_failed(IM.with_candidates(parse_html(pages)))
 
 
-def ranked_pages(pages: DataFrame, with_fields: bool = False) -> DataFrame:
-    """``(page_id, url, images, error)`` (plus the record fields when asked), one narrow pass."""
+def ranked_pages(pages: DataFrame, with_fields: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """``(page_id, url, images, error)`` (plus the record fields when asked), one narrow pass.
+
+    ``carry`` names further columns of the pages that are kept.
+    """
     dom = image_dom(pages)
-    image_cols = ["cands", "areas", "base", "parse_error"]
+    image_cols = ["cands", "areas", "base", "parse_error", *(carry or [])]
     if with_fields:
         base = page_fields(dom, keep=["page_id", "url", *image_cols]).select(*RECORD_FIELDS, *image_cols)
     else:
@@ -41,14 +44,15 @@ def ranked_pages(pages: DataFrame, with_fields: bool = False) -> DataFrame:
     return with_ranked_images(base).withColumnRenamed("parse_error", "error").drop("cands", "areas", "base")
 
 
-def page_records(pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+def page_records(pages: DataFrame, rendered: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
     """Pages ``(page_id, url, html)`` to records ``(page_id, url, title,
     description, text_content, page_title, meta_description, base_url,
     content_type, error, images, metadata)``.
 
     ``rendered`` (same shape) holds rendered snapshots of some pages (R4).
+    ``carry`` names further columns of the pages that are kept.
     """
-    recs = ranked_pages(pages, with_fields=True)
+    recs = ranked_pages(pages, with_fields=True, carry=carry)
     if rendered is not None:
         extra = ranked_pages(rendered).groupBy("page_id").agg(F.first("images").alias("_rendered"))
         recs = (recs.join(extra, "page_id", "left")

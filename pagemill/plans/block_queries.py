@@ -18,7 +18,8 @@ from ..operators import blocks as BL
 from ..operators.dom import parse_html
 from ..operators.records import ranked_pages
 from ..session import reliable_checkpoint
-from ..sources.fixtures import gallery_assets, gallery_pages, generations, list_articles, requests_table
+from ..sources.fixtures import (
+    gallery_assets, gallery_pages, generations, list_articles, requests_table, write_outcomes)
 from ..sources.tables import read_table
 from . import sqltext as S
 from .image_queries import ADMITTED, assets_cte, gallery_cte
@@ -76,7 +77,7 @@ def q_error_articles(spark, sf_dir):
 
 def q_article_responses(spark, sf_dir):
     a = articles(spark, sf_dir)
-    return AR.article_responses(a, F.to_timestamp(F.lit(STAMP)))
+    return AR.article_responses(a, F.to_timestamp(F.lit(STAMP)), write_outcomes(spark, sf_dir))
 
 
 def q_article_elements(spark, sf_dir):
@@ -117,7 +118,7 @@ def q_document_edits(spark, sf_dir):
 
 
 def q_article_stats(spark, sf_dir):
-    return BL.article_stats(articles(spark, sf_dir))
+    return BL.article_stats(articles(spark, sf_dir), write_outcomes(spark, sf_dir))
 
 
 def q_list_blocks(spark, sf_dir):
@@ -284,6 +285,8 @@ FROM (SELECT *, 1 + coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)"""
 
 
+_OUTCOME = ("CASE WHEN page_id % 18 = 0 THEN 'a document is locked' WHEN page_id % 9 = 0 THEN 'quota exceeded' END")
+
 _FILLED = "'[画像1: ' || r.url || ']'"
 
 ORACLE = {
@@ -292,8 +295,9 @@ ORACLE = {
     "structure_articles": _a(f"SELECT page_id, title, source_url, {S.q(W.GENERATED_AT)} AS generated_at, n_images, "
                              "error FROM arts"),
     "error_articles": _a("SELECT page_id, title, content FROM arts WHERE error"),
-    "article_responses": _a(f"SELECT page_id, true AS success, {_key_sql('title')} AS docs_url, "
-                            f"{S.q(W.SUCCESS_MESSAGE)} AS message, CAST(NULL AS VARCHAR) AS error FROM arts"),
+    "article_responses": _a(f"SELECT page_id, page_id % 9 <> 0 AS success, CASE WHEN page_id % 9 <> 0 THEN "
+                            f"{_key_sql('title')} END AS docs_url, CASE WHEN page_id % 9 <> 0 THEN "
+                            f"{S.q(W.SUCCESS_MESSAGE)} END AS message, {_OUTCOME} AS error FROM arts"),
     "article_elements": _a("SELECT page_id, CAST(ord AS INTEGER) AS ord, tag, text FROM el"),
     "element_filter": _a("SELECT page_id, CAST(kord AS INTEGER) AS ord, tag, text FROM kord"),
     "is_placeholder": _a("SELECT page_id, CAST(kord AS INTEGER) AS ord, is_mark FROM kord"),
@@ -304,8 +308,9 @@ ORACLE = {
     "block_style": _a("SELECT page_id, ord, kind, style, text, image_url FROM blk"),
     "block_offsets": _a("SELECT page_id, ord, kind, start_index, end_index FROM offs2"),
     "document_edits": _edits_sql(),
-    "article_stats": _a("SELECT page_id, true AS success, CAST(length(content) AS INTEGER) AS content_length, "
-                        "n_images AS images_processed FROM arts"),
+    "article_stats": _a("SELECT page_id, page_id % 9 <> 0 AS success, CASE WHEN page_id % 9 <> 0 THEN "
+                        "CAST(length(content) AS INTEGER) END AS content_length, CASE WHEN page_id % 9 <> 0 THEN "
+                        f"n_images END AS images_processed, {_OUTCOME} AS error FROM arts"),
     "list_blocks": _list_sql(),
     # by hand: of the marks of these articles, only the first four are patterns; the counters only matter past the first
     "fill_marks": _a(f"""SELECT a.page_id, CASE WHEN r.url IS NULL THEN content ELSE replace(replace(replace(content,

@@ -53,8 +53,11 @@ def scrape(pages: DataFrame, out: str, rendered: DataFrame | None = None) -> dic
 
 
 def assemble(records: DataFrame, generations: DataFrame, out: str, assets: DataFrame | None = None,
-             stamp: Column | None = None) -> dict[str, DataFrame]:
-    """Records + generated responses to the tables articles, blocks, edits, responses and stats under ``out``."""
+             stamp: Column | None = None, outcomes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Records + generated responses to the tables articles, blocks, edits, responses and stats under ``out``.
+
+    ``outcomes(page_id, error)`` says which documents could not be written.
+    """
     stamp = stamp if stamp is not None else F.current_timestamp()
     arts = _written(AR.merge_generations(records, generations, assets), out, "articles")
     columns = ["page_id", "images", "admitted", "content_type"]
@@ -67,8 +70,8 @@ def assemble(records: DataFrame, generations: DataFrame, out: str, assets: DataF
         "articles": arts,
         "blocks": blocks,
         "edits": _written(BL.document_edits(blocks), out, "edits"),
-        "responses": _written(AR.article_responses(arts, stamp), out, "responses"),
-        "stats": _written(BL.article_stats(arts), out, "stats"),
+        "responses": _written(AR.article_responses(arts, stamp, outcomes), out, "responses"),
+        "stats": _written(BL.article_stats(arts, outcomes), out, "stats"),
     }
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.records import page_records as records_of
 from ..session import shared_path
+from ..sources.fixtures import broken_pages, gallery_pages, stream_requests, timed
 from ..sources.sinks import write_articles, write_records
-from ..streaming.page_stream import page_stream, start_page_stream
+from ..streaming.page_stream import TIMED_SCHEMA, page_stream, start_page_stream
+from ..streaming.request_stream import answered_once, request_responses, request_stream
+from ..streaming.snapshot_stream import records_with_snapshots
 from .block_queries import _blocks
 from .image_queries import page_records
 
@@ -41,7 +44,47 @@ def q_page_stream(spark, sf_dir):
     return _records_cols(spark.read.parquet(out))
 
 
+def _dealt(rows, path, part, parts):
+    """Write ``rows`` as one file for each of so many parts, in their order, so that triggers can take them one by one."""
+    for i in range(parts):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def q_rendered_stream(spark, sf_dir):
+    run = uuid.uuid4().hex
+    out, k = shared_path(spark, f"rendered-out-{run}"), F.col("page_id")
+    # two last rows, of much later, let the watermark pass all that wait
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("https://end.example/").alias("url"),
+                                F.lit("").alias("html"), F.lit("2033-01-01").cast("timestamp").alias("at"))
+    part = F.when(k < 0, 2).otherwise(k % 2)
+    streams = []
+    for name, rendered in (("pages", False), ("snapshots", True)):
+        rows = timed(gallery_pages(spark, sf_dir, rendered), 60 * rendered).select("page_id", "url", "html", "at")
+        path = _dealt(rows.unionByName(end), shared_path(spark, f"rendered-{name}-{run}"), part, 3)
+        streams.append(page_stream(spark, path, max_files_per_trigger=1, schema=TIMED_SCHEMA))
+    records = records_with_snapshots(*streams, late="30 days")
+    start_page_stream(records, out, shared_path(spark, f"rendered-ckpt-{run}")).awaitTermination()
+    back = spark.read.parquet(out).filter("page_id >= 0")
+    return back.select("page_id", F.posexplode("images").alias("n", "url")).select(
+        "page_id", (F.col("n") + 1).alias("pos"), "url")
+
+
+def q_request_stream(spark, sf_dir):
+    run = uuid.uuid4().hex
+    out = shared_path(spark, f"responses-out-{run}")
+    path = _dealt(stream_requests(spark, sf_dir), shared_path(spark, f"requests-{run}"), F.col("part"), 3)
+    records = records_of(broken_pages(spark, sf_dir)).select("page_id", "url", "error")
+    requests = answered_once(request_stream(spark, path, max_files_per_trigger=1))
+    responses = request_responses(requests, records, F.to_timestamp(F.lit("2025-01-01 00:00:00")))
+    start_page_stream(responses, out, shared_path(spark, f"responses-ckpt-{run}")).awaitTermination()
+    return spark.read.parquet(out).select("request_id", "page_id", "success", "docs_url", "message",
+                                          F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
 QUERIES = {
+    "rendered_stream": q_rendered_stream,
+    "request_stream": q_request_stream,
     "write_records": q_write_records,
     "write_articles": q_write_articles,
     "page_stream": q_page_stream,
@@ -50,8 +93,20 @@ QUERIES = {
 
 def _oracle():
     from .block_queries import _a
-    from .image_queries import _records_sql
+    from ..functions import words as W
+    from . import sqltext as S
+    from .image_queries import _records_sql, _rendered_merge_sql
+    from .page_queries import _key_sql
+    key = _key_sql(f"concat({S.q(W.ARTICLE_TITLE_PREFIX)}, url)")
+    # a request for a page that broken_pages gives another url has no page
+    requests = f"""SELECT CAST(page_id AS VARCHAR) AS request_id, CASE WHEN why = '' OR why = 'page failed' THEN page_id END AS page_id,
+  why = '' AS success, CASE WHEN why = '' THEN {key} END AS docs_url,
+  CASE WHEN why = '' THEN {S.q(W.SUCCESS_MESSAGE)} END AS message, nullif(why, '') AS error
+FROM (SELECT page_id, url, CASE WHEN page_id % 7 = 5 THEN 'not a url' WHEN page_id % 7 = 3 OR page_id % 30 = 20
+  THEN 'no page for the url' WHEN page_id % 30 IN (0, 10) THEN 'page failed' ELSE '' END AS why FROM pages)"""
     return {
+        "rendered_stream": _rendered_merge_sql(),
+        "request_stream": requests,
         "write_records": _records_sql(),
         "write_articles": _a("SELECT page_id, ord, kind, style, text, image_url, 'general' AS content_type FROM blk"),
         "page_stream": _records_sql(),

@@ -154,6 +154,33 @@ def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(unknown).withColumn("format_type", F.lit("popup"))
 
 
+def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of writing the gallery pages' documents: every ninth failed, and some of those twice."""
+    pages = gallery_pages(spark, sf_dir).select("page_id")
+    pid = F.col("page_id")
+    first = pages.filter(pid % 3 == 0).select("page_id", F.when(pid % 9 == 0, F.lit("quota exceeded")).alias("error"))
+    again = pages.filter(pid % 18 == 0).select("page_id", F.lit("a document is locked").alias("error"))
+    return first.unionByName(again)
+
+
+def timed(pages: DataFrame, delay: int = 0) -> DataFrame:
+    """The pages with an event time: a second apart by page_id, and ``delay`` seconds later."""
+    return pages.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000 + delay) + F.col("page_id")))
+
+
+def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests ``(request_id, url, format_type, at, part)``: one for each page, every fourth twice in its part, every
+    fifth again in the next part; urls that have no page, and some that are none."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    k = F.col("page_id")
+    url = F.when(k % 7 == 3, F.concat(F.lit("https://unknown.example.com/"), _s(k))).when(
+        k % 7 == 5, F.lit("no url")).otherwise(F.col("url"))
+    one = timed(p).select(_s(k).alias("request_id"), url.alias("url"), F.lit("popup").alias("format_type"), "at",
+                          (k % 2).alias("part"), k.alias("k"))
+    again = one.filter(k % 4 == 0).unionByName(one.filter(F.col("k") % 5 == 0).withColumn("part", F.col("part") + 1))
+    return one.unionByName(again).drop("k")
+
+
 def list_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with lists and inline tags, one per supplier (for D11)."""
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])

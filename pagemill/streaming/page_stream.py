@@ -16,12 +16,14 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
+#: Pages with the event time that joins of streams need.
+TIMED_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField("at", T.TimestampType())])
 
 
 def page_stream(spark: SparkSession, source_dir: str, file_glob: str = "*.parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, schema: T.StructType = PAGE_SCHEMA) -> DataFrame:
     """The page files under ``source_dir`` as a stream; a caller may bound the files of one trigger."""
-    reader = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", file_glob)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(source_dir)
