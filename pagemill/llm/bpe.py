@@ -11,7 +11,9 @@ one that the merges produce, so the result is exact. A byte position that was
 given up is marked and never entered again, which keeps the work linear.
 
 Text is split by the tokenizer's pattern first and each match is encoded
-separately; results of short matches are memoised up to a fixed number.
+separately; results of short matches are memoised up to a fixed number of bytes.
+Decoding needs the table of tokens alone. A round trip does both in one Python
+step, so that a task has one worker with one encoder.
 
 Defined results: a null text counts as empty; an empty text gives no ids and
 decodes to no bytes. Only ``text`` and, if asked, other named columns are read.
@@ -34,8 +36,12 @@ from pyspark.sql import types as T
 
 from pagemill.llm.common import read_table, slices
 
-#: Pieces, and pairs of tokens, that a worker remembers, and the longest piece remembered in characters.
-MEMO, MEMO_LENGTH = 200_000, 48
+#: Bytes of pieces that a worker remembers in each of two generations, and the longest piece remembered in characters.
+MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
+#: Bytes that a remembered piece takes beside its characters and ids: two objects and a place in a dictionary.
+MEMO_ROW = 190
+#: Pairs of tokens that a worker remembers.
+PAIRS = 150_000
 NEVER = 1 << 60
 
 
@@ -53,12 +59,13 @@ class Encoder:
         for token, rank in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (rank, len(token)))
         self.trie.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.shorter: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.room = MEMO_BYTES
 
     def merge(self, data: bytes, left: int = 1) -> list[int]:
         """Ids by the plain rule: join the neighbours of lowest rank until none can be joined or ``left`` remain."""
@@ -102,7 +109,8 @@ class Encoder:
         border could merge before either is taken up by its own token. Of two
         merges of one rank the leftmost comes first.
         """
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         a, b = self.edge(left, 1), self.edge(right, 0)
@@ -119,9 +127,9 @@ class Encoder:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = known
+        self.pairs[pair] = known
         return known
 
     def next_shorter(self, token: int) -> int:
@@ -163,8 +171,9 @@ class Encoder:
         """Ids of one piece as 4-byte numbers. A full memory becomes the older one, whose pieces come back when met."""
         ids = self.older.get(piece) or np.array(self.encode_bytes(piece.encode()), "<i4").tobytes()
         if len(piece) <= MEMO_LENGTH:
-            if len(self.pieces) >= MEMO:
-                self.older, self.pieces = self.pieces, {}
+            self.room -= MEMO_ROW + 2 * len(piece) + len(ids)
+            if self.room < 0:
+                self.older, self.pieces, self.room = self.pieces, {}, MEMO_BYTES
             self.pieces[piece] = ids
         return ids
 
@@ -173,20 +182,39 @@ class Encoder:
         return np.frombuffer(b"".join([get(p) or make(p) for p in self.split(text)]), "<i4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return joined(self.tokens, ids)
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a rank file, made once a worker process.
+def joined(tokens: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    """The bytes of token ids."""
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def _kept(name: str, key: tuple, make):
+    """What ``make()`` gives, made once a worker process.
 
     The library's code travels with each task and brings its own globals, so
     what is to outlive a task is kept in a module of the worker's own.
     """
-    kept = sys.modules.setdefault("pagemill_worker", types.ModuleType("pagemill_worker")).__dict__
-    if (path, pattern) not in kept.setdefault("encoders", {}):
-        with open(path, "rb") as lines:
-            kept["encoders"][path, pattern] = Encoder(read_ranks(lines), pattern)
-    return kept["encoders"][path, pattern]
+    kept = sys.modules.setdefault("pagemill_worker", types.ModuleType("pagemill_worker")).__dict__.setdefault(name, {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return read_ranks(lines)
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """The encoder of a rank file, made once a worker process."""
+    return _kept("encoders", (path, pattern), lambda: Encoder(_ranks(path), pattern))
+
+
+def token_table(path: str) -> dict[int, bytes]:
+    """The tokens of a rank file by id, made once a worker process."""
+    return _kept("tokens", (path,), lambda: {rank: token for token, rank in _ranks(path).items()})
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -200,35 +228,49 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
 
 
-def _adding(df: DataFrame, source: str, out: str, kind: T.DataType, arrow: pa.DataType, make, limit: int) -> DataFrame:
-    """``df`` with a column that ``make(list of values)`` gives from another, a bounded part of a batch at a time."""
-    at, names = df.columns.index(source), [*df.columns, out]
+def _adding(df: DataFrame, source: str, added: list[T.StructField], make, limit: int) -> DataFrame:
+    """``df`` with the columns that ``make(column)`` gives from another, a bounded part of a batch at a time."""
+    at, names = df.columns.index(source), [*df.columns, *[f.name for f in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at, limit):
-                made = make(part.column(at)).cast(arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at))], names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new column. The rank file must be on every executor."""
-    def make(texts: pa.Array) -> pa.Array:
+    def make(texts: pa.Array) -> list[pa.Array]:
         enc = encoder(path, pattern)
-        return _lists([enc.encode(t or "") for t in texts.to_pylist()])
+        return [_lists([enc.encode(t or "") for t in texts.to_pylist()])]
 
-    return _adding(docs, "text", ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), make, 2 << 20)
+    return _adding(docs, "text", [_ids_field(ids)], make, 2 << 20)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its token ids in a new column."""
-    def make(lists: pa.Array) -> pa.Array:
+    def make(lists: pa.Array) -> list[pa.Array]:
+        tokens = token_table(path)
+        return [pa.array([joined(tokens, x.values.to_numpy().tolist()) if x.is_valid else None for x in lists],
+                         pa.binary())]
+
+    return _adding(encoded, ids, [T.StructField(out, T.BinaryType())], make, 1 << 20)
+
+
+def both(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of ``text`` and the bytes that the ids decode to, in one Python step."""
+    def make(texts: pa.Array) -> list[pa.Array]:
         enc = encoder(path, pattern)
-        return pa.array([enc.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
+        encoded = [enc.encode(t or "") for t in texts.to_pylist()]
+        return [_lists(encoded), pa.array([enc.decode(e.tolist()) for e in encoded], pa.binary())]
 
-    return _adding(encoded, ids, out, T.BinaryType(), pa.binary(), make, 1 << 20)
+    return _adding(docs, "text", [_ids_field(ids), T.StructField(out, T.BinaryType())], make, 1 << 20)
 
 
 def digest_ids(ids: Column) -> Column:
@@ -239,8 +281,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """``doc_id, ids, decoded`` of whole texts."""
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
-    encoded = encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return decode(encoded, path, pattern)
+    return both(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids", "decoded")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

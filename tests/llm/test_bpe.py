@@ -46,6 +46,26 @@ def test_documents_round_trip(spark, odd):
         assert r["ids"] == REFERENCE.encode_ordinary(bytes(r["decoded"]).decode())
 
 
+def test_steps_apart_give_the_same_with_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+    docs = odd.withColumn("rank", F.lit(1)).withColumn("Tokens", F.lit("x"))
+    apart = bpe.decode(bpe.encode(docs, PATH, PATTERN, "n"), PATH, "n", "out")
+    assert apart.columns == [*docs.columns, "n", "out"]
+    once = bpe.round_trip(docs)
+    key = lambda r: repr((r[0], r[1], bytes(r[2])))
+    assert sorted(map(key, apart.select("doc_id", "n", "out").collect())) == sorted(map(key, once.collect()))
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(bpe, "PAIRS", 20)
+    small = bpe.Encoder(ENCODER.ranks, PATTERN)
+    texts = [f" word{i} zyxw{i * 7}" for i in range(200)]
+    for text in texts + texts[::-1]:
+        assert small.encode(text).tolist() == REFERENCE.encode_ordinary(text)
+        assert len(small.pieces) + len(small.older) <= 2 * 3000 // bpe.MEMO_ROW and len(small.pairs) <= 20
+
+
 def test_digests(spark, documents):
     row = bpe.round_trip(documents([(1, "hello world"), (2, "")])).select(
         "doc_id", bpe.digest_ids(bpe.F.col("ids")).alias("h")).collect()
