@@ -370,8 +370,10 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     long chain of steps that use each other several times would grow without
     bound. A generator of one row is never merged with what is below it.
     """
-    others = [c for c in df.columns if c not in names]
-    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_settled")).select(*others, "_settled.*")
+    # stars and SQL text: a select of many names is as many calls to the JVM
+    listed = ", ".join(f"`{n}`" for n in names)
+    return df.selectExpr(f"* EXCEPT ({listed})", f"explode(array(struct({listed}))) AS _settled").selectExpr(
+        "* EXCEPT (_settled)", "_settled.*")
 
 
 def first_node(nodes: Column, pred) -> Column:

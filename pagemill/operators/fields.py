@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlexpr as X
 from ..functions import words as W
+from ..functions.columns import built_once
 from ..functions.images import base_url_sql, uri_parts_sql
 from ..functions.text import left, nullif_empty, py_strip, squeeze_ws
 from .dom import first_node, node_text, subtree
@@ -83,32 +84,37 @@ def _lookups() -> dict:
     }
 
 
-def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """All scalar page fields, one row per page.
+@built_once
+def _lookup_column() -> Column:
+    """Pass 1: first-match ids of every lookup, one aggregate over the nodes."""
+    return first_ids(F.col("nodes"), _lookups()).alias("_i")
 
-    Output: ids, title, description, main_text, full_text, text_content,
-    page_title, meta_description, base_url, content_type, text_area_tag, plus
-    ``h1_text`` and ``first_p_text`` (N2 lookups) for inspection.
-    """
-    keep = keep if keep is not None else [c for c in dom.columns if c not in ("page_text", "nodes")]
-    nodes, text = F.col("nodes"), F.col("page_text")
-    ok = nodes.isNotNull()
 
-    # pass 1: first-match ids of every lookup, one aggregate over the nodes
-    s1 = dom.select(*keep, "page_text", "nodes", first_ids(nodes, _lookups()).alias("_i"))
-    i = F.col("_i")
+@built_once
+def _node_columns() -> tuple[Column, ...]:
+    """Pass 2: the looked-up nodes and the text area."""
+    nodes, i = F.col("nodes"), F.col("_i")
 
     def at(k):
         return F.get(nodes, i[k])
 
-    # pass 2: the looked-up nodes, the text area (N4) and the removed elements
     area = F.get(nodes, F.coalesce(i["main"], i["article"], i["div_cls"], i["div_id"]))
-    s2 = s1.select(*keep, "page_text", "nodes", at("h1").alias("_h1"), at("title").alias("_tt"),
-                   at("og_title").alias("_ogt"), at("og_desc").alias("_ogd"), at("meta_desc").alias("_md"),
-                   at("p").alias("_p"), area.alias("_area"))
+    return (at("h1").alias("_h1"), at("title").alias("_tt"), at("og_title").alias("_ogt"), at("og_desc").alias("_ogd"),
+            at("meta_desc").alias("_md"), at("p").alias("_p"), area.alias("_area"))
+
+
+@built_once
+def _removed_column() -> Column:
+    """The removed elements of the text area."""
     a = F.col("_area")
-    s3 = s2.withColumn("_removed", F.when(a.isNotNull(), F.filter(
-        subtree(nodes, a), lambda n: n["tag"].isin(*W.REMOVED_TEXT_TAGS))))
+    return F.when(a.isNotNull(), F.filter(subtree(F.col("nodes"), a), lambda n: n["tag"].isin(*W.REMOVED_TEXT_TAGS)))
+
+
+@built_once
+def _text_columns() -> tuple[Column, ...]:
+    """Pass 3: the texts."""
+    nodes, text, a = F.col("nodes"), F.col("page_text"), F.col("_area")
+    ok = nodes.isNotNull()
     removed = F.col("_removed")
     alive = alive_pred(removed)
 
@@ -123,8 +129,7 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def content_attr(n):
         return py_strip(F.coalesce(n["attrs"]["content"], F.lit("")))
 
-    s4 = s3.select(
-        *keep,
+    return (
         F.when(h1.isNotNull(), py_strip(node_text(text, h1)))
          .when(tt.isNotNull(), py_strip(node_text(text, tt)))
          .when(ogt.isNotNull(), content_attr(ogt)).alias("_title"),
@@ -141,20 +146,36 @@ def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(md_alive.isNotNull(), content_attr(md_alive)).alias("meta_description"),
         ok.alias("_ok"),
     )
-    base = base_url() if "url" in keep else F.lit(None).cast("string")
-    out = s4.select(
-        *keep,
+
+
+@built_once
+def _record_columns(with_url: bool) -> tuple[Column, ...]:
+    base = base_url() if with_url else F.lit(None).cast("string")
+    return (
         F.when(F.col("_ok"), F.coalesce(nullif_empty(F.col("_title")), F.col("page_title"), F.lit("")))
          .alias("title"),
         F.when(F.col("_ok"), F.coalesce(nullif_empty(F.col("_desc")), F.col("meta_description"), F.lit("")))
          .alias("description"),
-        "main_text", "full_text",
+        F.col("main_text"), F.col("full_text"),
         F.when(F.col("_ok"), F.coalesce(F.col("full_text"), F.col("main_text"), F.lit("")))
          .alias("text_content"),
-        "page_title", "meta_description", "text_area_tag", "h1_text", "first_p_text",
+        F.col("page_title"), F.col("meta_description"), F.col("text_area_tag"), F.col("h1_text"), F.col("first_p_text"),
         F.when(F.col("_ok"), base).alias("base_url"),
     )
-    return add_content_type(out, "text_content")
+
+
+def page_fields(dom: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All scalar page fields, one row per page.
+
+    Output: ids, title, description, main_text, full_text, text_content,
+    page_title, meta_description, base_url, content_type, text_area_tag, plus
+    ``h1_text`` and ``first_p_text`` (N2 lookups) for inspection.
+    """
+    keep = keep if keep is not None else [c for c in dom.columns if c not in ("page_text", "nodes")]
+    s1 = dom.select(*keep, "page_text", "nodes", _lookup_column())
+    s2 = s1.select(*keep, "page_text", "nodes", *_node_columns())
+    s4 = s2.withColumn("_removed", _removed_column()).select(*keep, *_text_columns())
+    return add_content_type(s4.select(*keep, *_record_columns("url" in keep)), "text_content")
 
 
 def base_url(url: str = "url") -> Column:
@@ -177,7 +198,12 @@ def page_metadata(fields: DataFrame) -> Column:
     """The metadata map; a key is absent when its source is absent. A failed
     page has its content type only. ``full_content`` is the whole-page text,
     which is also the record text."""
-    full = F.col("full_text") if "full_text" in fields.columns else F.col("text_content")
+    return _metadata_column("full_text" if "full_text" in fields.columns else "text_content")
+
+
+@built_once
+def _metadata_column(text: str) -> Column:
+    full = F.col(text)
     m = F.create_map(
         F.lit("source_url"), F.when(full.isNotNull(), F.col("url")),
         F.lit("page_title"), F.col("page_title"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlexpr as X
 from ..functions import words as W
+from ..functions.columns import built_once
 from ..functions.images import background_urls, chosen_src_sql, uri_parts_sql, bad_authority_sql, needs_join_sql
 from .dom import inside, settle, subtree
 
@@ -57,6 +58,7 @@ def article_areas(nodes: str = "nodes") -> Column:
         f"'last_id', n.last_id)), x -> x.rank IS NOT NULL)")
 
 
+@built_once
 def area_keys(nodes: str = "nodes") -> Column:
     """``(node_id, a_rank, a_node)`` of each image inside an article area, a_rank and a_node being
     the best area around it.
@@ -102,15 +104,20 @@ def _cand(kind, node_id, idx, raw, attrs=None, cls=None, p_cls=None, p_id=None,
         v(in_main, "boolean").alias("in_main"))
 
 
-def with_candidates(dom: DataFrame) -> DataFrame:
-    """Add ``main_rank``, ``areas`` (best article area by image) and ``cands`` (candidate structs) to dom rows.
+@built_once
+def _first_metas() -> Column:
+    """The first meta element of each kind that may name an image."""
+    from .fields import first_ids
+    preds = {f"m{i}": (lambda key, value: lambda n: (n["tag"] == "meta") & F.coalesce(
+        n["attrs"][key] == F.lit(value), F.lit(False)))(key, value)
+        for i, (key, value) in enumerate(W.META_IMAGE_TAGS)}
+    return first_ids(F.col("nodes"), preds)
 
-    Only structural facts are taken here, and each image's source (I1). Other
-    columns pass through, so page fields can be computed in the same pass.
-    """
-    nodes = F.col("nodes")
-    staged = dom.withColumn("_main", main_area()).withColumn("areas", area_keys())
-    main = F.col("_main")
+
+@built_once
+def _candidates() -> Column:
+    """The candidate structs of a page: images, meta elements, backgrounds."""
+    nodes, main, meta_ids = F.col("nodes"), F.col("_main"), F.col("_meta")
 
     def img_cand(n):
         parent = F.get(nodes, n["parent_id"])
@@ -120,26 +127,26 @@ def with_candidates(dom: DataFrame) -> DataFrame:
                      in_main=F.coalesce(main.isNotNull() & inside(n, main), F.lit(False)))
 
     imgs = F.transform(F.filter(nodes, lambda n: n["tag"] == "img"), img_cand)
-
-    preds = {f"m{i}": (lambda key, value: lambda n: (n["tag"] == "meta") & F.coalesce(
-        n["attrs"][key] == F.lit(value), F.lit(False)))(key, value)
-        for i, (key, value) in enumerate(W.META_IMAGE_TAGS)}
-    from .fields import first_ids
-    staged = staged.withColumn("_meta", first_ids(nodes, preds))
-    meta_ids = F.col("_meta")
     metas = F.filter(F.array(*[
         F.when(meta_ids[f"m{i}"].isNotNull(), _cand(
             "meta", meta_ids[f"m{i}"], F.lit(i),
             F.coalesce(F.get(nodes, meta_ids[f"m{i}"])["attrs"]["content"], F.lit(""))))
         for i in range(len(W.META_IMAGE_TAGS))]), lambda x: x.isNotNull())
-
     styled = F.filter(nodes, lambda n: n["attrs"]["style"].isNotNull())
     bgs = F.flatten(F.transform(styled, lambda n: F.transform(
         F.coalesce(background_urls(n["attrs"]["style"]), F.array().cast("array<string>")),
         lambda u, i: _cand("bg", n["node_id"], i, u))))
+    return F.concat(imgs, metas, bgs)
+
 
-    found = (staged.withColumn("main_rank", main["rank"])
-             .withColumn("cands", F.concat(imgs, metas, bgs)).drop("_main", "_meta"))
+def with_candidates(dom: DataFrame) -> DataFrame:
+    """Add ``main_rank``, ``areas`` (best article area by image) and ``cands`` (candidate structs) to dom rows.
+
+    Only structural facts are taken here, and each image's source (I1). Other
+    columns pass through, so page fields can be computed in the same pass.
+    """
+    staged = dom.withColumns({"_main": main_area(), "areas": area_keys(), "_meta": _first_metas()})
+    found = staged.withColumns({"main_rank": F.col("_main")["rank"], "cands": _candidates()}).drop("_main", "_meta")
     return found.withColumn("cands", F.expr(
         "transform(cands, c -> named_struct('kind', c.kind, 'node_id', c.node_id, 'idx', c.idx, 'raw', "
         f"CASE WHEN c.kind = 'img' THEN {chosen_src_sql('c.attrs')} ELSE c.raw END, 'attrs', c.attrs, "
@@ -156,10 +163,8 @@ def without_failed(df: DataFrame) -> DataFrame:
         F.expr(f"coalesce({bad_src}, false)"), F.lit("invalid image url"))
     df = settle(df.withColumn("parse_error", F.coalesce(F.col("parse_error"), error)), "parse_error")
     ok = F.col("parse_error").isNull()
-    for name in ("nodes", "page_text", "cands"):
-        if name in df.columns:
-            df = df.withColumn(name, F.when(ok, F.col(name)))
-    return df
+    there = [name for name in ("nodes", "page_text", "cands") if name in df.columns]
+    return df.withColumns({name: F.when(ok, F.col(name)) for name in there})
 
 
 def area_images(df: DataFrame) -> DataFrame:

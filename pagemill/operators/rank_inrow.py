@@ -87,7 +87,7 @@ def with_image_steps(df: DataFrame) -> DataFrame:
                    "'url', y.url, 'quality', -y.nq))"),
     ]
     for name, sql in steps:
-        df = df.withColumn(name, F.expr(sql))
+        df = df.selectExpr("*", f"{sql} AS `{name}`")
         if name in ("_url", "candidates", "zones", "_sorted", "_ordered", "capped", "merged", "_scored"):
             df = settle(df, name)
     return df.drop(*[n for n, _ in steps if n.startswith("_")])
