@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators.records import page_records as records_of
 from ..session import shared_path
-from ..sources.fixtures import broken_pages, gallery_pages, stream_requests, timed
+from ..sources.fixtures import broken_pages, changed_pages, gallery_pages, stream_requests, timed
 from ..sources.sinks import write_articles, write_records
-from ..streaming.page_stream import TIMED_SCHEMA, page_stream, start_page_stream
+from ..streaming.page_stream import CHANGE_SCHEMA, TIMED_SCHEMA, page_stream, start_page_stream
 from ..streaming.request_stream import answered_once, request_responses, request_stream
 from ..streaming.snapshot_stream import records_with_snapshots
+from ..streaming.stats_stream import page_changes, read_totals, start_totals
 from .block_queries import _blocks
 from .image_queries import page_records
 
@@ -82,7 +83,18 @@ def q_request_stream(spark, sf_dir):
                                           F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 
 
+def q_stats_stream(spark, sf_dir):
+    run = uuid.uuid4().hex
+    path = _dealt(changed_pages(spark, sf_dir), shared_path(spark, f"changes-{run}"), F.col("part"), 3)
+    pages = page_stream(spark, path, max_files_per_trigger=1, schema=CHANGE_SCHEMA)
+    out = shared_path(spark, f"totals-{run}")
+    start_totals(page_changes(pages), out, shared_path(spark, f"totals-ckpt-{run}")).awaitTermination()
+    return read_totals(spark, out).select("content_type", F.col("pages").alias("n_pages"),
+                                          F.col("chars").alias("total_chars"), F.col("images").alias("total_images"))
+
+
 QUERIES = {
+    "stats_stream": q_stats_stream,
     "rendered_stream": q_rendered_stream,
     "request_stream": q_request_stream,
     "write_records": q_write_records,
@@ -95,7 +107,8 @@ def _oracle():
     from .block_queries import _a
     from ..functions import words as W
     from . import sqltext as S
-    from .image_queries import _records_sql, _rendered_merge_sql
+    from ..sources.fixtures import CLASS_WORDS
+    from .image_queries import _g, _records_sql, _rendered_merge_sql
     from .page_queries import _key_sql
     key = _key_sql(f"concat({S.q(W.ARTICLE_TITLE_PREFIX)}, url)")
     # a request for a page that broken_pages gives another url has no page
@@ -104,7 +117,18 @@ def _oracle():
   CASE WHEN why = '' THEN {S.q(W.SUCCESS_MESSAGE)} END AS message, nullif(why, '') AS error
 FROM (SELECT page_id, url, CASE WHEN page_id % 7 = 5 THEN 'not a url' WHEN page_id % 7 = 3 OR page_id % 30 = 20
   THEN 'no page for the url' WHEN page_id % 30 IN (0, 10) THEN 'page failed' ELSE '' END AS why FROM pages)"""
+    # by hand: what holds in the end, and the text that a page with that class word has
+    words = " ".join(f"WHEN {i} THEN {S.q(w)}" for i, w in enumerate(CLASS_WORDS))
+    totals = _g(f"""SELECT {S.content_type('word')} AS content_type, count(*) AS n_pages,
+  CAST(sum(length('Gallery ' || page_id || 'Goods ' || page_id || 'Visit us' || word)) AS BIGINT) AS total_chars,
+  CAST(sum(n) AS BIGINT) AS total_images
+FROM (SELECT gp.page_id, coalesce(c.n, 0) AS n, CASE (gp.page_id + CASE WHEN gp.page_id % 14 = 0 THEN 3
+        WHEN gp.page_id % 5 = 0 THEN 1 ELSE 0 END) % 4 {words} END AS word
+      FROM gp LEFT JOIN (SELECT page_id, count(*) AS n FROM ranked GROUP BY page_id) c ON c.page_id = gp.page_id
+      WHERE gp.page_id % 7 <> 0 OR gp.page_id % 14 = 0)
+GROUP BY 1""")
     return {
+        "stats_stream": totals,
         "rendered_stream": _rendered_merge_sql(),
         "request_stream": requests,
         "write_records": _records_sql(),

@@ -77,6 +77,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in whatever store it is; none if it is not there."""
+    place, store = _place(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it is."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
 def reliable_checkpoint(df):
     """Cut lineage by writing ``df`` under the shared checkpoint folder.
 

@@ -168,6 +168,31 @@ def timed(pages: DataFrame, delay: int = 0) -> DataFrame:
     return pages.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000 + delay) + F.col("page_id")))
 
 
+#: Words that put a page in another class each.
+CLASS_WORDS = ["", "カフェ", "game", "anime"]
+
+
+def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gallery pages as changes ``(page_id, url, html, at, deleted, part)``: all of them in part 0; in part 1 every
+    fifth in another class, and every seventh deleted; in part 2 an older record of every fourth, and every other
+    deleted one back."""
+    p = timed(gallery_pages(spark, sf_dir))
+    k = F.col("page_id")
+
+    def change(of, part, later, shift=0, deleted=False):
+        word = F.get(F.array(*map(F.lit, CLASS_WORDS)), ((k + shift) % len(CLASS_WORDS)).cast("int"))
+        html = F.concat("html", F.lit("<p>"), word, F.lit("</p>"))
+        return p.filter(of).select("page_id", "url", (F.lit(None).cast("string") if deleted else html).alias("html"),
+                                   F.timestamp_seconds(F.unix_timestamp("at") + later).alias("at"),
+                                   F.lit(deleted).alias("deleted"), F.lit(part).alias("part"))
+
+    out = change(F.lit(True), 0, 0)
+    for other in (change(k % 5 == 0, 1, 1000, 1), change(k % 7 == 0, 1, 1500, deleted=True),
+                  change(k % 4 == 0, 2, -10, 2), change(k % 14 == 0, 2, 2000, 3)):
+        out = out.unionByName(other)
+    return out
+
+
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests ``(request_id, url, format_type, at, part)``: one for each page, every fourth twice in its part, every
     fifth again in the next part; urls that have no page, and some that are none."""

@@ -19,6 +19,9 @@ PAGE_SCHEMA = T.StructType([
 #: Pages with the event time that joins of streams need.
 TIMED_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField("at", T.TimestampType())])
 
+#: Changes of pages: a record of its time, or a deletion.
+CHANGE_SCHEMA = T.StructType([*TIMED_SCHEMA.fields, T.StructField("deleted", T.BooleanType())])
+
 
 def page_stream(spark: SparkSession, source_dir: str, file_glob: str = "*.parquet",
                 max_files_per_trigger: int | None = None, schema: T.StructType = PAGE_SCHEMA) -> DataFrame:
