@@ -36,7 +36,7 @@ def test_families_are_found_and_prose_is_not(corpus, model):
 
 
 def test_probabilities_match_brute_force(corpus, model):
-    weights = {r["gram"]: model.weights[r["id"] - 1] for r in model.features.collect()}
+    weights = dict(zip(model.grams, model.weights))
     lines = licenses.lines(corpus).collect()
     want = {}
     for r in lines:
@@ -121,3 +121,90 @@ def test_parts_cover_every_run_of_words(documents):
         run = t.split()
         for at in range(max(1, len(run) - longest + 1)):
             assert any(" ".join(run[at:at + longest]) + " " in p for p in parts[i])
+
+
+def plain_parts(text):
+    """The parts of each paragraph, by plain loops."""
+    import re
+    out = []
+    for body in re.split(r"\n[\W_]*\n", text or ""):
+        each = [t for t in ([w for w in re.split(r"[\W_]+", line.lower()) if w] for line in body.split("\n")) if t]
+        tokens = [w for line in each for w in line]
+        if tokens:
+            starts = range(0, max(len(tokens) - licenses.WINDOW + licenses.STRIDE, 1), licenses.STRIDE)
+            out.append([tokens[i:i + licenses.WINDOW] for i in starts]
+                       + [t for t in each if len(each) > 1 and len(t) <= licenses.WINDOW])
+    return out
+
+
+def plain_similarity(tokens, template):
+    size = min(licenses.SHINGLE, len(template))
+    runs = lambda t: {tuple(t[i:i + size]) for i in range(len(t) - size + 1)}
+    return len(runs(tokens) & runs(template)) / len(runs(template))
+
+
+def plain_best(tokens, model):
+    weights = dict(zip(model.grams, model.weights))
+    met = (set(tokens) | {f"{a} {b}" for a, b in zip(tokens, tokens[1:])}) & weights.keys()
+    z = [b + sum(weights[g][k] for g in met) for k, b in enumerate(model.intercepts)]
+    p = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(p)), key=lambda k: (p[k], -k))
+    return (best, p[best] / sum(p)) if met else (0, 1.0)
+
+
+def notices():
+    return {f: [[w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()] for t in ts]
+            for f, ts in licenses.TEMPLATES.items()}
+
+
+def test_scan_matches_plain_loops(documents, corpus, model):
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    rows += [(200 + i, t) for i, t in enumerate(WRAPPED.values())]
+    rows += [(300 + i, "under the public source license use " + " ".join(["of", "word"] * i)) for i in range(0, 200, 40)]
+    want = []
+    for doc_id, text in rows:
+        predicted, confirmed, families = set(), set(), set()
+        told = plain_parts(text)
+        for no, each in enumerate(told):
+            for tokens in each:
+                best, p = plain_best(tokens, model)
+                if best and p >= model.least[best]:
+                    predicted.add(no)
+                    family = licenses.CLASSES[best]
+                    if max(plain_similarity(tokens, t) for t in notices()[family]) >= licenses.SIMILAR:
+                        confirmed.add(no)
+                        families.add(family)
+        want.append((doc_id, len(told), len(predicted), len(confirmed), ",".join(sorted(families))))
+    got = [(r["doc_id"], r["n_paragraphs"], r["n_predicted"], r["n_confirmed"], r["families"])
+           for r in licenses.scan(documents(rows), model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_least_probabilities_are_over_all_parts_outside_the_sample(documents):
+    import numpy as np
+    rows = [(i, f"under the public use of word{i}\nsource license {i % 7}\n\nplain words {i}") for i in range(120)]
+    rows += [(500 + i, "All rights reserved.") for i in range(20)]
+    docs = documents(rows)
+    base = licenses.fit(docs, sample_docs=30, quantile=0.9)
+    found, n = licenses.candidates(docs, base)
+    sample = {r["doc_id"] for r in base.sample.collect()}
+    every = [tokens for d, t in rows if d not in sample for part in plain_parts(t) for tokens in part]
+    assert len(sample) == 30 and n == len(every)
+    high = {}
+    for tokens in every:
+        best, p = plain_best(tokens, base)
+        if best and p >= 0.5 and max(plain_similarity(tokens, t) for ts in notices().values() for t in ts) < 0.2:
+            high.setdefault(best, []).append(p)
+    want = [0.5] * len(licenses.CLASSES)
+    for best, values in high.items():
+        if len(values) > base.tail * n:
+            want[best] = max(0.5, float(np.quantile(values, 1 - base.tail * n / len(values))))
+    assert licenses.calibrated(base, found, n).least == pytest.approx(want, abs=1e-9)
+
+
+def test_parts_left_out_early_could_not_be_found(corpus, model):
+    needed = set(licenses.needed_words(model))
+    assert needed and needed < {w for g in model.grams for w in g.split()}
+    for r in licenses.lines(corpus).collect():
+        best, p = plain_best(r["tokens"], model)
+        assert needed & set(r["tokens"]) or not (best and p >= 0.5)
