@@ -44,7 +44,9 @@ from pagemill.llm.word_windows import Words, anchors, classes, grams, mix
 #: Words of a window, and of the prefix that suffixes are split by.
 WINDOW, PREFIX = 35, 8
 #: Suffixes of one group, and of one bin.
-GROUP, BIN = 1024, 32768
+GROUP, BIN = 1024, 16384
+#: Bytes of text that a worker has as arrays at a time.
+PART = 1 << 20
 #: Surroundings with more bytes a word than this travel as hashes of their words.
 WIDE = 16
 
@@ -61,7 +63,7 @@ def sample(window: int, size: int):
     """The anchors of each text: their prefixes' hashes and word numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, PART):
                 words = Words(_texts(batch.column(2)))
                 g = grams(words.hashes(), size)
                 at, _, _ = anchors(words, g, window, size)
@@ -77,10 +79,7 @@ def surround(window: int, size: int):
     """The surroundings of each text's repeated anchors, with the bin key of the part of the group that they belong to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            mine = [i for i, (a, b) in enumerate(zip(whole.column("doc_id").to_pylist(), whole.column("least").to_pylist()))
-                    if a == b]
-            chosen = whole.take(pa.array(mine, pa.int64()))
-            for batch in slices(chosen, chosen.schema.get_field_index("text")):
+            for batch in slices(whole, whole.schema.get_field_index("text"), PART):
                 words = Words(_texts(batch.column("text")))
                 h = words.hashes()
                 g = grams(h, size)
@@ -207,16 +206,17 @@ def strip(window: int):
     """``doc_id, n_words, n_removed, kept_sha256`` of each text without the words that its repeated windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text")):
+            for batch in slices(whole, whole.schema.get_field_index("text"), PART):
                 words = Words(_texts(batch.column("text")))
                 size = np.diff(words.first)
+                runs = batch.column("runs")
+                of = np.repeat(np.arange(len(size)), runs.value_lengths().fill_null(0).to_numpy())
+                first, last = (runs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+                first, end = np.where(first < 0, 0, first), np.where(first < 0, size[of], last + window)
+                real = size[of] >= window
                 edge = np.zeros(len(words.start) + 1, np.int64)
-                for i, runs in enumerate(batch.column("runs").to_pylist()):
-                    for r in runs or ():
-                        a, b = (0, size[i]) if r["first"] < 0 else (r["first"], r["last"] + window)
-                        if r["first"] >= 0 or size[i] >= window:
-                            edge[words.first[i] + a] += 1
-                            edge[words.first[i] + b] -= 1
+                np.add.at(edge, (words.first[of] + first)[real], 1)
+                np.add.at(edge, (words.first[of] + end)[real], -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 text, begin = words.joined(keep)
                 kept = np.concatenate(([0], np.cumsum(keep)))[words.first]
@@ -250,7 +250,9 @@ def repeats(texts: DataFrame, window: int = WINDOW, size: int = PREFIX) -> DataF
              .groupBy("rid").agg(F.collect_list(F.struct("place", "parts")).alias("found")))
     marked = checkpoint(found.join(least.select(F.col("least.rid").alias("rid"), "key",
                                                 F.col("least.doc_id").alias("least")), "rid"))
-    around = (texts.join(marked, "key").select("doc_id", "least", "rid", "found", "text")
+    # one of equal texts will do; ids are compared in a form that is no second key of the join
+    chosen = F.xxhash64("doc_id").bitwiseXOR(F.xxhash64("least")) == 0
+    around = (texts.join(marked, "key").filter(chosen).select("rid", "found", "text")
               .mapInArrow(surround(window, size), SURROUND).repartition(bins, "bin"))
     runs = around.mapInArrow(subtrees(window, size), "rid long, first long, last long, one long, two long")
     # an open kind has one row a bin at most; it repeats if it has two
@@ -258,7 +260,8 @@ def repeats(texts: DataFrame, window: int = WINDOW, size: int = PREFIX) -> DataF
               .agg(F.collect_list(F.struct("rid", "first", "last")).alias("each")).filter("size(each) > 1")
               .select(F.explode("each").alias("run")).select("run.*"))
     each = runs.filter("one IS NULL").select("rid", "first", "last").unionByName(across)
-    by_key = each.join(least.select(F.col("least.rid").alias("rid"), "key"), "rid").select("key", "first", "last")
+    once = least.filter("copies = 1").select(F.col("least.rid").alias("rid"), "key")
+    by_key = each.join(once, "rid").select("key", "first", "last")
     copied = least.filter("copies > 1").select("key", F.lit(-1).cast("long").alias("first"),
                                                F.lit(-1).cast("long").alias("last"))
     return by_key.unionByName(copied).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
