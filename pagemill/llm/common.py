@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagemill.session import ensure_checkpoint_dir, reliable_checkpoint, shared_path
 
 __all__ = ["read_table", "checkpoint", "work_path", "fresh", "text_or_empty", "lower_ascii", "small_side",
-           "held_out", "keep_rows", "text_key", "slices"]
+           "held_out", "keep_rows", "text_key", "slices", "remove_path", "passage"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only when its measured size is at most this.
@@ -36,6 +36,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have yet (compared as Spark does, ignoring case)."""
     taken = {c.lower() for c in df.columns}
@@ -66,10 +72,10 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of ``df`` if its measured size allows one, else leave the join to Spark.
 
     ``df`` should be written or checkpointed, since measuring reads it once.
-    The size is the sum of the lengths of the rows as JSON text, an upper
+    The size is the sum of the bytes of the rows as JSON text, an upper
     estimate for narrow rows.
     """
-    size = df.select(F.sum(F.length(F.to_json(F.struct(*df.columns))) + 32).alias("b")).first()["b"]
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 32).alias("b")).first()["b"]
     return F.broadcast(df) if (size or 0) <= limit else df
 
 
@@ -84,24 +90,33 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def keep_rows(docs: DataFrame, keepers: DataFrame, key: Column, text: str = "text") -> DataFrame:
-    """Whole rows of ``docs`` named by ``keepers(doc_id, key, copies)``, one row for each keeper.
+def passage(text: Column, doc_id: Column, longest: int) -> Column:
+    """The text, or of one longer than ``longest`` code points a part of that size at a place chosen by the doc_id."""
+    room = F.length(text) - longest
+    start = F.pmod(F.xxhash64(doc_id, F.lit("passage")), room.cast("long") + 1).cast("int")
+    return F.when(room > 0, F.substring(text, start + 1, F.lit(longest))).otherwise(text)
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """Whole rows of ``docs`` that are keepers by ``rows(doc_id, key, copies, keeper)``, one row for each keeper.
 
-    ``key`` tells rows with the same doc_id apart. ``copies`` is the number of
-    rows of ``docs`` that a keeper stands for; where it is over one, they are
-    alike in doc_id and ``key`` and any one of them stays.
+    ``rows`` names all rows of ``docs``; ``key`` tells those of one doc_id
+    apart, and ``copies`` is the number of rows alike in both, of which any one
+    is the keeper. The rows that go are taken out by an anti-join, as they are
+    fewer: while their names fit a broadcast, no text moves.
     """
-    (k, r_id, r_key, r_n) = fresh(docs, "row_key", "keep_id", "keep_key", "keep_copies")
+    (k, r_id, r_key) = fresh(docs, "row_key", "gone_id", "gone_key")
     cols = docs.columns
-    names = keepers.select(F.col("doc_id").alias(r_id), F.col("key").alias(r_key), F.col("copies").alias(r_n))
+    changed = checkpoint(rows.filter(~F.col("keeper") | (F.col("copies") > 1))
+                         .select(F.col("doc_id").alias(r_id), F.col("key").alias(r_key), "keeper"))
     keyed = docs.withColumn(k, key)
     on = F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(k) == F.col(r_key))
-    once = keyed.join(names.filter(F.col(r_n) == 1), on, "left_semi").select(*cols)
-    many = names.filter(F.col(r_n) > 1)
+    once = keyed.join(small_side(changed.select(r_id, r_key)), on, "left_anti").select(*cols)
+    many = changed.filter("keeper").select(r_id, r_key)
     if many.isEmpty():
         return once
-    repeated = keyed.join(many, on, "left_semi")
-    first = repeated.groupBy("doc_id", k).agg(F.first(F.struct(*cols)).alias(r_n)).select(f"{r_n}.*")
+    repeated = keyed.join(small_side(many), on, "left_semi")
+    first = repeated.groupBy("doc_id", k).agg(F.first(F.struct(*cols)).alias(r_key)).select(f"{r_key}.*")
     return once.unionByName(first)
 
 

@@ -171,10 +171,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
 def survivors(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """One row of each component, with all columns: that of the smallest doc_id (a null one last)."""
     found = near_duplicates(docs, size, radius)
-    same = found.groupBy("root", "doc_id", "fp", "key").agg(F.count(F.lit(1)).alias("copies"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key", "copies"))
-    keepers = same.groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.key", "r.copies")
-    return keep_rows(docs, checkpoint(keepers), text_key(F.col("text")))
+    same = checkpoint(found.groupBy("root", "doc_id", "fp", "key").agg(F.count(F.lit(1)).alias("copies")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key"))
+    best = checkpoint(same.groupBy("root").agg(first.alias("r")))
+    keeper = (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("fp") == F.col("r.fp"))
+              & (F.col("key") == F.col("r.key")))
+    rows = same.join(best, "root").select("doc_id", "key", "copies", keeper.alias("keeper"))
+    return keep_rows(docs, checkpoint(rows), text_key(F.col("text")))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

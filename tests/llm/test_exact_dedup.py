@@ -54,8 +54,72 @@ def test_later_batches_lose_to_the_index(spark, documents):
     assert (second[1]["keep_id"], second[1]["keeper"]) == (10, False)
     assert second[2]["keeper"] and not second[3]["keeper"] and second[3]["keep_id"] == 2
     assert again.read().count() == 3
-    repeat = exact_dedup.deduplicate(documents([(2, "four")]), again).collect()
-    assert not repeat[0]["keeper"] and again.read().count() == 3
+    other = exact_dedup.deduplicate(documents([(2, "four")]), again).collect()
+    assert not other[0]["keeper"] and again.read().count() == 3
+
+
+def whole(rows):
+    return sorted(map(repr, (tuple(r) for r in rows.collect())))
+
+
+def test_a_repeated_batch_gives_the_same_rows(spark, documents, odd, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, work_path(spark, "index"), 4)
+    before = documents([(10, "one two"), (11, "word")])
+    assert exact_dedup.survivors(spark, before, index, "first").count() == 2
+    batch = odd.unionByName(documents([(20, "one two"), (21, "new"), (22, "n ew")]))
+
+    class Broken(Exception):
+        pass
+
+    def append_and_break(rows, append=index.append):
+        append(rows)
+        raise Broken
+
+    with monkeypatch.context() as m:  # ends after the append, before any decision is written
+        m.setattr(index, "append", append_and_break)
+        try:
+            exact_dedup.survivors(spark, batch, index, "second")
+        except Broken:
+            pass
+    size = index.read().count()
+    again = exact_dedup.DigestIndex(spark, index.path, 4)
+    kept = exact_dedup.survivors(spark, batch, again, "second")
+    fresh = exact_dedup.DigestIndex(spark, work_path(spark, "index"), 4)
+    exact_dedup.deduplicate(before, fresh, "first")
+    assert whole(kept) == whole(exact_dedup.survivors(spark, batch, fresh, "second"))
+    assert again.read().count() == size == fresh.read().count()
+    assert whole(exact_dedup.survivors(spark, batch, again, "second")) == whole(kept) and again.read().count() == size
+    assert exact_dedup.survivors(spark, before, again, "first").count() == 2
+    assert exact_dedup.survivors(spark, batch, again, "third").count() == 0
+
+
+def test_merged_index_is_read_without_a_sort(spark, documents):
+    index = exact_dedup.DigestIndex(spark, work_path(spark, "index"), 4)
+    for i in range(3):
+        exact_dedup.deduplicate(documents([(100 * i + k, f"text {i} {k}") for k in range(40)]), index, f"b{i}", most_files=99)
+    assert index.files_a_bucket() == 3
+    rows = sorted(map(repr, index.read().collect()))
+    index.merge()
+    assert index.files_a_bucket() == 1 and sorted(map(repr, index.read().collect())) == rows
+    again = exact_dedup.DigestIndex(spark, index.path, 4)
+    assert again.generation == 1 and sorted(map(repr, again.read().collect())) == rows
+    other = again.read().select("digest")
+    plan = again.unseen(other)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan.replace("SortMergeJoin", "")
+    late = exact_dedup.deduplicate(documents([(1, "text 0 0"), (2, "late")]), again, "late", most_files=0.5).collect()
+    assert {r["doc_id"]: r["keeper"] for r in late} == {1: False, 2: True} and again.generation == 2
+
+
+def test_nothing_is_left_in_the_catalogue(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.survivors(spark, documents([(1, "a"), (2, "a")])).count()
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
+def test_few_dropped_rows_move_no_text(spark, documents):
+    kept = exact_dedup.survivors(spark, documents([(i, f"t{i % 9}") for i in range(20)]))
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 9
 
 
 def test_empty_table(spark, documents):
