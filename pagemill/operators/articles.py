@@ -15,6 +15,7 @@ from ..functions import words as W
 from ..functions.markup import article_key
 from ..functions.images import asset_checks
 from .fields import source_url
+from .skew import lookup
 
 
 def request_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -46,11 +47,12 @@ def admitted_assets(assets: DataFrame) -> DataFrame:
 def image_admissions(records: DataFrame, assets: DataFrame) -> DataFrame:
     """``(page_id, admitted)``: for each of a record's images whether its asset is admitted.
 
-    Only (page, position, url) rows move. A url without an asset row was never
-    downloaded and is not admitted.
+    Only (page, position, url) rows move, and a url that very many pages show
+    (a logo, a banner) is looked up by broadcast. A url without an asset row was
+    never downloaded and is not admitted.
     """
     each = records.select("page_id", F.posexplode("images").alias("pos", "url"))
-    met = each.join(admitted_assets(assets), "url", "left").select(
+    met = lookup(each, admitted_assets(assets), "url").select(
         "page_id", F.struct("pos", F.coalesce("admitted", F.lit(False)).alias("ok")).alias("x"))
     return met.groupBy("page_id").agg(
         F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ok"]).alias("admitted"))

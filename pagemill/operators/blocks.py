@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from ..functions.columns import prefix_scan
 from ..functions.markup import clean_html
 from ..functions.sqlexpr import lit as sql_lit
 from ..functions.text import contains_any, py_strip
@@ -71,6 +72,12 @@ def article_elements(art_dom: DataFrame) -> DataFrame:
     return with_elements(art_dom).select("page_id", F.inline("elements")).drop("admitted")
 
 
+def _starts(widths: Column) -> Column:
+    """Where each of a row of pieces starts in the document."""
+    ends = prefix_scan(widths, F.lit(W.DOC_START_INDEX), F.lit(0), lambda a, b: (a + b).cast("int"))
+    return F.slice(ends, 1, F.size(widths))
+
+
 def with_blocks(art_dom: DataFrame) -> DataFrame:
     """D4-D7 in the row: ``blocks``, an array of (seq, kind, tag, style, text, image_url, start_index, end_index).
 
@@ -103,11 +110,10 @@ def with_blocks(art_dom: DataFrame) -> DataFrame:
                                  F.lit(None).cast("string").alias("style"), clean_html(F.col("content")).alias("text"),
                                  F.lit(None).cast("string").alias("image_url")))
         rows = rows.withColumn("_made", F.when(F.col("parse_error").isNotNull(), plain).otherwise(F.col("_made")))
-    # The widths, then where each block starts; only integers are carried along the fold
-    starts = F.expr(
-        "aggregate(transform(_made, b -> CASE b.kind WHEN 'image' THEN 2 WHEN 'text' THEN length(b.text) "
-        f"ELSE length(b.text) + 2 END), named_struct('at', {W.DOC_START_INDEX}, 'starts', CAST(array() AS ARRAY<INT>)), "
-        "(acc, w) -> named_struct('at', acc.at + w, 'starts', array_append(acc.starts, acc.at)), acc -> acc.starts)")
+    # The widths, then where each block starts
+    widths = F.expr("transform(_made, b -> CASE b.kind WHEN 'image' THEN 2 WHEN 'text' THEN length(b.text) "
+                    "ELSE length(b.text) + 2 END)")
+    starts = _starts(widths)
     placed = F.zip_with("_made", "_starts", lambda b, s: F.struct(
         *[b[c].alias(c) for c in ("seq", "kind", "tag", "style", "text", "image_url")], s.alias("start_index"),
         F.when(b["kind"] != "image", s + F.length(b["text"])).alias("end_index")))
@@ -177,9 +183,7 @@ def list_blocks(art_dom: DataFrame) -> DataFrame:
         lines(e), lambda x: F.struct(e["node_id"].alias("seq"), x["text"].alias("text"), x["style"].alias("style")))))
     found = art_dom.select("page_id", F.coalesce(per, F.array()).alias("_lines"))
     # every line is appended at the document end; a style other than the normal one covers the line's text
-    starts = F.expr(f"aggregate(_lines, named_struct('at', {W.DOC_START_INDEX}, 'starts', CAST(array() AS ARRAY<INT>)), "
-                    "(acc, l) -> named_struct('at', acc.at + length(l.text), 'starts', array_append(acc.starts, acc.at)), "
-                    "acc -> acc.starts)")
+    starts = _starts(F.transform("_lines", lambda x: F.length(x["text"])))
     placed = F.zip_with("_lines", "_starts", lambda x, s: F.struct(
         x["seq"].alias("seq"), x["text"].alias("text"), x["style"].alias("style"), s.alias("start_index"),
         F.when(x["style"] != "NORMAL_TEXT", s + F.length(x["text"])).alias("end_index")))

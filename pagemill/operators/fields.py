@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlexpr as X
 from ..functions import words as W
-from ..functions.columns import built_once
+from ..functions.columns import BLOCK, built_once, let, prefix_scan
 from ..functions.images import base_url_sql, uri_parts_sql
 from ..functions.text import left, nullif_empty, py_strip, squeeze_ws
 from .dom import first_node, node_text, subtree
@@ -30,25 +30,30 @@ def alive_pred(removed: Column):
 def cut_text(page_text: Column, lo: Column, hi: Column, removed: Column) -> Column:
     """Text of ``[lo, hi)`` with the text intervals of ``removed`` cut out.
 
-    ``removed`` is in document order; nested intervals are skipped because the
-    running position has already passed them. The fold looks at each removed
-    element once and collects the kept ``(start, length)`` ranges; appending
-    copies the references to the ranges so far, never text. The substrings are
-    joined once at the end.
+    ``removed`` is in document order. Before each removed element the text is
+    kept from the furthest end of those before it, so an element inside another
+    cuts nothing more.
     """
-    gap_t = "array<struct<s:int,l:int>>"
-    init = F.struct(lo.cast("int").alias("pos"), F.array().cast(gap_t).alias("gaps"))
-
-    def step(acc, r):
-        gap = F.struct(acc["pos"].alias("s"),
-                       F.greatest(F.least(r["txt_start"], hi) - acc["pos"], F.lit(0)).cast("int").alias("l"))
-        return F.struct(F.greatest(acc["pos"], r["txt_end"]).cast("int").alias("pos"),
-                        F.array_append(acc["gaps"], gap).alias("gaps"))
-
-    acc = F.aggregate(F.coalesce(removed, F.array()), init, step)
-    kept = F.array_join(F.transform(acc["gaps"], lambda g: page_text.substr(g["s"] + 1, g["l"])), "")
-    rest = F.greatest(hi - acc["pos"], F.lit(0))
-    return F.concat(kept, page_text.substr(acc["pos"] + 1, rest))
+    gone = F.coalesce(removed, F.array())
+    ends = prefix_scan(F.transform(gone, lambda r: r["txt_end"]), lo.cast("int"), F.lit(0), F.greatest)
+
+    # a substring walks to its place from the text's beginning, so each block of elements has its own part of the text
+    def kept(past):
+        def block(b):
+            base = F.get(past, b * BLOCK)
+            end = F.get(past, F.least((b + 1) * BLOCK, F.size(gone)))
+            return let(page_text.substr(base + 1, end - base), lambda t: F.transform(
+                F.slice(gone, b * BLOCK + 1, F.lit(BLOCK)), lambda r, j: cut(t, r, F.get(past, b * BLOCK + j), base)))
+
+        def cut(t, r, at, base):
+            return t.substr(at - base + 1, F.greatest(F.least(r["txt_start"], hi) - at, F.lit(0)).cast("int"))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(gone) / BLOCK).cast("int") - 1, F.lit(0)))
+        last = F.element_at(past, -1)
+        return F.concat(F.array_join(F.flatten(F.transform(blocks, block)), ""),
+                        page_text.substr(last + 1, F.greatest(hi - last, F.lit(0))))
+
+    return let(ends, kept)
 
 
 def first_ids(nodes: Column, preds: dict) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import words as W
 from .tables import read_table
@@ -283,7 +284,7 @@ def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 JAPANESE = "<p>これは日本語のページです。カフェで新しいグッズを紹介します。</p>"
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _encoded(text: pa.Array, charset: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.encode(c) for t, c in zip(text.to_pylist(), charset.to_pylist())], pa.binary())
 
