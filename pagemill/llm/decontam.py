@@ -7,7 +7,9 @@ at position ``p`` of the term at offset ``o`` of an item proposes the
 *alignment* ``p - o``; intersecting the offset-adjusted lists of a window
 leaves the alignments that all its chosen terms propose, and only those are
 compared word by word with the document. All windows that share an alignment
-share one row. Lists that agree within a few positions give proximity matches.
+share one row. Lists that agree within a few positions give proximity matches;
+for these a window's terms are the rarest of those that the training text has,
+so that a changed word does not hide a copy.
 
 Everything runs as DataFrame and SQL functions. The passes over the text are:
 term frequencies (of test terms only), postings, and the documents that hold
@@ -17,7 +19,7 @@ of a checked size.
 Defined results: null or wordless texts and items have no words and never
 match; an item below ``window`` words is one window; items are told apart by
 item_id, a null one shown as empty text; repeated rows of a document each get
-their row. An empty benchmark contaminates nothing.
+their row. A window with fewer present terms than are looked up has no match. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -88,9 +90,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def plan_windows(items: DataFrame, counts: DataFrame, window: int, lists: int) -> DataFrame:
-    """``item, windows``: of each window its start and the positions of its rarest terms.
+    """``item, windows``: of each window its start, the positions of its rarest present terms, and ``whole``,
+    whether all its terms are present.
 
-    Windows with a term that no document has are left out.
+    Windows that have fewer present terms than ``lists`` (or than words, if they have fewer) are left out.
     """
     ranked = (items.select("item", F.posexplode("words").alias("pos", "term")).join(counts, "term")
               .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("at")))
@@ -98,18 +101,22 @@ def plan_windows(items: DataFrame, counts: DataFrame, window: int, lists: int) -
 
     def rarest(start: Column) -> Column:
         part = F.transform(F.slice("at", start + 1, window), lambda x: F.struct(x["n"], x["pos"]))
-        return F.struct(start.alias("start"), F.slice(F.array_sort(part), 1, lists).alias("rare"))
+        present = F.filter(part, lambda x: x["n"] > 0)
+        return F.struct(start.alias("start"), F.slice(F.array_sort(present), 1, lists).alias("rare"),
+                        (F.size(present) == F.size(part)).alias("whole"),
+                        F.least(F.lit(lists), F.size(part)).alias("wanted"))
 
     planned = ranked.select("item", F.transform(F.sequence(F.lit(0), last), rarest).alias("windows"))
-    possible = F.filter("windows", lambda w: w["rare"][0]["n"] > 0)
+    possible = F.filter("windows", lambda w: F.size(w["rare"]) == w["wanted"])
     return checkpoint(planned.select("item", F.transform(
-        possible, lambda w: F.struct(w["start"], F.transform(w["rare"], lambda x: x["pos"]).alias("anchors")))
+        possible, lambda w: F.struct(w["start"], F.transform(w["rare"], lambda x: x["pos"]).alias("anchors"), w["whole"]))
         .alias("windows")).filter(F.size("windows") > 0))
 
 
-def _complete(found: str) -> Column:
-    """The windows all of whose anchors are in the array column ``found``."""
-    return F.filter("windows", lambda w: F.size(F.array_except(w["anchors"], F.col(found))) == 0)
+def _complete(found: str, exact: bool = False) -> Column:
+    """The windows all of whose anchors are in the array column ``found``; with ``exact`` only those that can occur."""
+    return F.filter("windows", lambda w: (w["whole"] | F.lit(not exact))
+                    & (F.size(F.array_except(w["anchors"], F.col(found))) == 0))
 
 
 def _alignments(index: Index, items: DataFrame, windows: DataFrame) -> DataFrame:
@@ -137,15 +144,15 @@ def candidates(index: Index, items: DataFrame, windows: DataFrame, slop: int):
     """
     found = _alignments(index, items, windows)
 
-    def grouped(rows: DataFrame) -> DataFrame:
+    def grouped(rows: DataFrame, exact: bool) -> DataFrame:
         return (rows.groupBy("doc_id", "key", "item", "shift").agg(F.collect_set("anchor").alias("found"))
-                .join(small_side(windows), "item").withColumn("whole", _complete("found"))
+                .join(small_side(windows), "item").withColumn("whole", _complete("found", exact))
                 .filter(F.size("whole") > 0))
 
-    exact = grouped(found).select("doc_id", "key", "item", "shift",
+    exact = grouped(found, True).select("doc_id", "key", "item", "shift",
                                   F.transform("whole", lambda w: w["start"]).alias("starts"))
     moved = found.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop)))
-    near = grouped(moved).select("doc_id", "key", "item").distinct()
+    near = grouped(moved, False).select("doc_id", "key", "item").distinct()
     return checkpoint(exact), near
 
 
@@ -217,7 +224,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-                        "contaminated")
+                        "contaminated", "n_near")
 
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -236,9 +243,24 @@ hit AS (SELECT r, p, n, item_id FROM dw JOIN bw USING (n, g)),
 words_hit AS (SELECT r, count(DISTINCT q) AS n_hit
               FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
 items_hit AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-              FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+              FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r),
+tok AS (SELECT r, unnest(ws) AS term, unnest(range(len(ws))) AS p FROM d),
+cnt AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+bi AS (SELECT row_number() OVER () AS item, ws FROM (SELECT DISTINCT item_id, ws FROM b)),
+bt AS (SELECT item, pos, term, n
+       FROM (SELECT item, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM bi) JOIN cnt USING (term)),
+win AS (SELECT item, least(13, len(ws)) AS n_words, unnest(range(greatest(len(ws) - 13, 0) + 1)) AS j FROM bi),
+rare AS (SELECT win.item, j, pos, term, n_words,
+                row_number() OVER (PARTITION BY win.item, j ORDER BY n, pos) AS k
+         FROM win JOIN bt ON bt.item = win.item AND pos >= j AND pos < j + 13),
+pairs AS (SELECT DISTINCT x.item, x.pos AS a1, x.term AS t1, coalesce(y.pos, x.pos) AS a2, coalesce(y.term, x.term) AS t2
+          FROM (SELECT * FROM rare WHERE k = 1) x LEFT JOIN (SELECT * FROM rare WHERE k = 2) y USING (item, j)
+          WHERE y.pos IS NOT NULL OR x.n_words = 1),
+near AS (SELECT p.r, count(DISTINCT item) AS n_near
+         FROM pairs JOIN tok p ON p.term = t1 JOIN tok q ON q.term = t2 AND q.r = p.r
+          AND abs((p.p - a1) - (q.p - a2)) <= 6 GROUP BY p.r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r) LEFT JOIN near USING (r)
 """

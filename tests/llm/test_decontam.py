@@ -60,6 +60,57 @@ def test_proximity_counts_near_phrases(spark, documents, bench):
     assert near[1] >= 1 and near[2] == 0
 
 
+def near(docs, items, window=13, lists=2, slop=3):
+    """The number of items of which some window's rarest present terms stand near where the phrase has them."""
+    texts = [(doc_id, words(text)) for doc_id, text in docs]
+    count = {}
+    for _, ws in texts:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    out = []
+    for doc_id, ws in texts:
+        met = 0
+        for iw in {(str(i), tuple(words(t))) for i, t in items}:
+            iw, n = iw[1], min(window, len(iw[1]))
+            for j in range(len(iw) - n + 1 if n else 0):
+                rare = sorted((count[iw[a]], a) for a in range(j, j + n) if iw[a] in count)[:lists]
+                if len(rare) < min(lists, n):
+                    continue
+                shifts = [{s for p, w in enumerate(ws) if w == iw[a] for s in range(p - a - slop, p - a + slop + 1)}
+                          for _, a in rare]
+                if set.intersection(*shifts):
+                    met += 1
+                    break
+        out.append((doc_id, met))
+    return sorted(out, key=repr)
+
+
+def test_proximity_matches_brute_force(spark, documents, bench):
+    import random
+    r = random.Random(4)
+    w = [f"w{i}" for i in range(20)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:5] + ["new"] + w[6:])), (3, "short thing two"), (4, "item two short"),
+            (5, None), (6, "never x zero"), (7, "never " + "x " * 9 + "zero"), (8, "the the x the"), (None, "two item")]
+    for i in range(40):
+        piece = w[r.randrange(10):][:r.randrange(2, 14)]
+        for _ in range(r.randrange(3)):
+            piece.insert(r.randrange(len(piece)), r.choice(["gap", "the", "item"]))
+            piece.pop(r.randrange(len(piece)))
+        docs.append((100 + i, " ".join(piece)))
+    got = sorted([(x["doc_id"], x["n_near"]) for x in decontam.contamination(documents(docs), bench[1]).collect()], key=repr)
+    assert got == near(docs, bench[0])
+    # a changed word that no document has does not hide the copy
+    changed = spark.createDataFrame([(1, " ".join(w[:6] + ["absent"] + w[7:13]))], "item_id int, text string")
+    row = decontam.contamination(documents([(1, " ".join(w[:13]))]), changed).first()
+    assert (row["n_hit"], row["n_near"]) == (0, 1)
+
+
+def test_empty_benchmark_and_documents(spark, documents):
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert decontam.contamination(documents([]), none).count() == 0
+    assert decontam.survivors(documents([]), none).count() == 0
+
+
 def test_survivors_keep_clean_whole_rows(spark, odd, bench):
     docs = odd.unionByName(odd.limit(1).select(F.lit(99).cast("long").alias("doc_id"), F.lit("short item two").alias(
         "text"), "lang", "source", "n_chars"))
