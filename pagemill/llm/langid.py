@@ -8,9 +8,10 @@ bytes, which run through the network side by side as one numpy batch; together
 the segments cover the whole text.
 
 The network is trained in numpy by backpropagation through time on the driver,
-from a bounded sample: ``per_language`` documents of each language, of at most
-``longest`` characters, chosen by the hash of their doc_id. Prediction needs
-no shuffle; the weights are a few tens of kilobytes.
+from a bounded sample: ``per_language`` documents of each language, chosen by
+the hash of their doc_id, and of a longer text a passage of ``longest``
+characters at a place chosen by the same. Ids are chosen first, and only the
+chosen texts are fetched. Prediction needs no shuffle; the weights are a few tens of kilobytes.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters,
 or if there was nothing to learn from; ties go to the language that sorts
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import held_out, read_table
+from pagemill.llm.common import checkpoint, held_out, passage, read_table
 
 UNKNOWN = "und"
 #: Bytes of a segment, and segments that run side by side.
@@ -211,14 +212,37 @@ def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return total / lengths[:, None], marks
 
 
+def sample_ids(known: DataFrame, per_language: int) -> list[tuple[str, int]]:
+    """``(lang, doc_id)`` of ``known(lang, doc_id)``: of each language the ids with the lowest hashes.
+
+    A threshold on the hash that some twice as many ids pass is known from the
+    languages' counts; so no language, however common, goes through one task.
+    """
+    ids = checkpoint(known.select("lang", "doc_id").distinct())
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit(2.0 * per_language + 100) / F.col("n")
+    rank = (F.xxhash64("doc_id") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    near = ids.join(F.broadcast(counts), "lang").filter(rank < share).select("lang", "doc_id", rank.alias("rank"))
+    taken: dict[str, int] = {}
+    chosen = []
+    for r in sorted(near.collect(), key=lambda r: (r["lang"], r["rank"], r["doc_id"] is not None, r["doc_id"] or 0)):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= per_language:
+            chosen.append((r["lang"], r["doc_id"]))
+    return chosen
+
+
 def fit(docs: DataFrame, per_language: int = 600, longest: int = 10_000) -> Network | None:
     """Train on documents with a language that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.length("text").between(1, longest)
-                        & F.col("text").rlike("\\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = (known.select("doc_id", "text", "lang").withColumn("n", F.row_number().over(first))
-            .filter(F.col("n") <= per_language).orderBy("lang", "n").collect())
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}")).select(
+        "lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = docs.sparkSession.createDataFrame(sample_ids(known, per_language), "of_lang string, of_doc long")
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))
+    part = passage(F.col("text"), F.col("doc_id"), longest)
+    rows = (known.join(F.broadcast(chosen), on).groupBy("lang", "doc_id")
+            .agg(F.min(F.struct(F.xxhash64("text").alias("h"), part.alias("text"))).alias("t")).collect())
+    rows = sorted(((r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, r["t"]["text"]) for r in rows))
+    return train([r[3] for r in rows], [r[0] for r in rows])
 
 
 SCHEMA = "struct<lang:string,score:double,positions:map<string,bigint>>"

@@ -7,8 +7,9 @@ scaled features. Features whose ratio is not significant are left out, which
 keeps the model small and a very long text from gathering noise.
 
 The model is fitted on the driver from a bounded sample of labelled rows:
-``per_class`` rows of each class, of at most ``longest`` characters, chosen by
-the hash of their doc_id. Class sizes are counted over all labels. Scoring
+``per_class`` labelled documents of each class that have a text, chosen by the
+hash of their doc_id, and of a longer text a passage of ``longest`` characters
+at a place chosen by the same. Class sizes are counted over all labels. Scoring
 reads every whole text and needs no shuffle.
 
 Defined results: a null text counts as empty; an empty text has the score of
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import held_out, read_table, text_or_empty
+from pagemill.llm.common import checkpoint, held_out, passage, read_table, text_or_empty
 
 SIZES = (2, 3, 4, 5, 6)
 #: A word with its borders is an n-gram of its own up to this length.
@@ -145,14 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
     total = sum(counts.values())
     if not total:
         return Model({}, -30.0)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
+    there = checkpoint(known.join(whole.select(F.col("doc_id").alias("of_doc")).distinct(),
+                                  F.col("doc_id").cast("long") == F.col("of_doc")).select("of_doc", "label"))
+    part = passage(F.col("text"), F.col("doc_id"), longest)
     texts, marks = [], []
     for label in (0, 1):
-        # twice as many ids as rows wanted, as some documents are too long or missing
-        ids = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        rows = (docs.select("doc_id", "text").filter(F.length("text").between(1, longest))
-                .join(F.broadcast(ids.select("doc_id")), "doc_id")
-                .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).select("text").collect())
-        texts += [r["text"] for r in rows]
+        ids = there.filter(F.col("label") == label).orderBy(F.xxhash64("of_doc"), "of_doc").limit(per_class)
+        rows = (whole.join(F.broadcast(ids.select("of_doc")), F.col("doc_id") == F.col("of_doc")).groupBy("doc_id")
+                .agg(F.min(F.struct(F.xxhash64("text").alias("h"), part.alias("text"))).alias("t")).collect())
+        rows = sorted((r["doc_id"], r["t"]["text"]) for r in rows)
+        texts += [text for _, text in rows]
         marks += [label] * len(rows)
     return fit_texts(texts, marks, counts.get(1, 0) / total)
 

@@ -71,6 +71,26 @@ def test_odd_rows(spark, odd, documents, net):
     assert langid.fit(odd.filter("lang IS NULL")) is None
 
 
+def test_a_language_of_long_texts_only_is_learnt(documents):
+    rows = [(i, "the house and the garden of the king " * 600, "en") for i in range(30)]
+    rows += [(100 + i, "le chien et la maison du roi", "fr") for i in range(30)]
+    rows += [(None, "un deux", "fr"), (5, "other text of the same id", "en")]
+    net = langid.fit(documents(rows), per_language=20, longest=50)
+    assert net.languages == ["en", "fr"]
+    found = langid.identify(documents([(900, "the king of the house"), (901, "la maison et le chien")]), net).collect()
+    assert {r["doc_id"]: r["found"]["lang"] for r in found} == {900: "en", 901: "fr"}
+
+
+def test_samples_are_the_lowest_hashes_of_each_language(spark, documents):
+    docs = documents([(i, "x", "en" if i % 4 else "fr") for i in range(3000)] + [(1, "x", "en"), (None, "x", "de")])
+    got = langid.sample_ids(docs.select("lang", "doc_id"), 40)
+    rank = {r["id"]: r["h"] for r in spark.range(3000).select("id", F.xxhash64("id").alias("h")).collect()}
+    for lang, ids in (("en", [i for i in rank if i % 4]), ("fr", [i for i in rank if i % 4 == 0])):
+        assert [d for name, d in got if name == lang] == sorted(ids, key=rank.get)[:40]
+    assert [d for name, d in got if name == "de"] == [None] and len(got) == 81
+    assert "Window" not in docs.select("lang")._jdf.queryExecution().toString()
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = langid.fit(docs, per_language=150)

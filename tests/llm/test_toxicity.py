@@ -46,6 +46,15 @@ def test_labels_of_held_out_rows_are_not_read(spark, documents):
     assert a == b and a.weights
 
 
+def test_long_and_missing_texts_do_not_shrink_the_sample(spark, documents):
+    docs = documents([(i, ("bad word " if i % 2 else "good day ") * 300) for i in range(400)] + [(1, ""), (3, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id int, toxic int")
+    model = toxicity.fit(docs, labels, per_class=50, longest=40)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(
+        documents([(1, "bad word"), (2, "good day")]), model).collect()}
+    assert scores[1] > 0.3 > scores[2]
+
+
 def test_without_labels_or_one_class(spark, documents, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r["score"] < 1e-6 for r in toxicity.score_documents(odd, toxicity.fit(odd, none)).collect())
