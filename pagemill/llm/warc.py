@@ -41,6 +41,11 @@ VERSION = "WARC/1.1"
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Payloads below each of these sizes share files; a file's number of captures is what keeps it within ``FILE_BYTES``.
+SIZE_CLASSES = [1 << 16, 1 << 20, 1 << 24, 1 << 62]
+FILE_BYTES = 256 << 20
+#: Bytes of a gzip file without content.
+EMPTY_GZIP = 20
 #: Bytes inflated at a time.
 CHUNK = 1 << 20
 
@@ -77,17 +82,25 @@ def plan_captures(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
                         F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long"))
-    first = checkpoint(rows.groupBy("digest", "size").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    rows = rows.join(small_side(first), ["digest", "size"], "left")
-    again = ((F.col("size") >= least_revisit) & F.col("first").isNotNull()
-             & ~F.col("page_id").eqNullSafe(F.col("first")))
-    return rows.withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
+    # decided on what names a page alone; the payloads wait
+    named = checkpoint(rows.select("page_id", "digest", "size").filter(F.col("size") >= least_revisit))
+    first = checkpoint(named.groupBy("digest", "size").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n"))
+    again = checkpoint(named.join(first, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("first")))
+                       .select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"),
+                               F.col("first").alias("refers_to")).distinct())
+    # by the page: beyond a broadcast each payload moves once, and no digest is a hot key
+    on = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest"))
+    return rows.join(small_side(again), on, "left").drop("of_page", "of_digest")
 
 
 def write_archives(captures: DataFrame, path: str, date: str = "2025-01-01T00:00:00Z",
                    records_per_file: int = 4096) -> None:
-    """Write the records of each capture to gzip archives of at most ``records_per_file`` captures."""
+    """Write the records of each capture to gzip archives of at most ``records_per_file`` captures.
+
+    Captures are written by size class, with fewer to a file the larger they
+    are, so that an archive holds at most ``FILE_BYTES`` of payloads, or one.
+    """
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     own = F.concat_ws(":", page, "digest")
     main_id = _urn("capture", own)
@@ -115,9 +128,23 @@ def write_archives(captures: DataFrame, path: str, date: str = "2025-01-01T00:00
                        F.concat(F.lit("page-id: "), page, F.lit(CRLF)))
     main = F.when(F.col("refers_to").isNull(), response).otherwise(revisit)
     end = F.lit(CRLF + CRLF)
-    (captures.select(F.concat(request, end, main, end, metadata).alias("value"))
-     .write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    held = F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0)
+    size_class = F.lit(0)
+    for limit in SIZE_CLASSES[:-1]:
+        size_class = size_class + (held >= limit).cast("int")
+    there = {r["c"] for r in captures.select(size_class.alias("c")).distinct().collect()} | {0}
+    for c in sorted(there):
+        most = max(1, min(records_per_file, FILE_BYTES // SIZE_CLASSES[c]))
+        (captures.filter(size_class == c).select(F.concat(request, end, main, end, metadata).alias("value"))
+         .write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip")
+         .option("maxRecordsPerFile", most).text(path))
+    if len(there) > 1:  # Spark writes a file for the first partition even if it has no row of the class
+        spark = captures.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in store.listStatus(place):
+            if f.getPath().getName().startswith("part-") and f.getLen() <= EMPTY_GZIP:
+                store.delete(f.getPath(), False)
 
 
 def records(stream: Iterator[bytes]) -> Iterator[tuple[str, dict[str, str], bytes]]:

@@ -71,6 +71,37 @@ def test_files_are_plain_archives(spark):
     assert len(kinds) == 3 * len(ROWS)
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    import glob
+    monkeypatch.setattr(warc, "SIZE_CLASSES", [50, 400, 3000, 1 << 62])
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    rows = [(i, f"{i} " + "y" * size) for i, size in enumerate([5, 60, 60, 60, 500, 500, 5000, 5000, 7, 30000] * 3)]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").coalesce(1)
+    path = work_path(spark, "warc")
+    warc.write_archives(warc.plan_captures(pages), path)
+    assert flat(warc.assemble(warc.read_records(spark, path))) == brute(rows)
+    for name in glob.glob(path.removeprefix("file:") + "/part-*"):
+        sizes = [len(block) for kind, _, block in warc.records(iter([gzip.open(name).read()])) if kind == "response"]
+        assert len(sizes) == 1 or sum(s - 100 for s in sizes) <= 1000
+
+
+def test_decisions_move_no_payload(spark):
+    rows = [(i, f"page {i % 40}") for i in range(400)]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string")
+    plan = warc.plan_captures(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_decisions_beyond_a_broadcast_are_joined_by_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "small_side", lambda df: df.hint("merge"))
+    _, whole = through_archives(spark, ROWS)
+    assert flat(whole) == brute(ROWS)
+    pages = spark.createDataFrame([(p, "u", h) for p, h in ROWS], "page_id long, url string, html string")
+    plan = warc.plan_captures(pages)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("page_id" in line or "of_page" in line for line in moved)
+
+
 def test_broken_archives_raise():
     with pytest.raises(ValueError):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 10\r\nWARC-Type: x\r\n\r\nabc"])))
