@@ -48,4 +48,5 @@ def test_removed_elements_cost_in_proportion(spark):
         return time.time() - start
 
     seconds(10)
-    assert seconds(40_000) < 10 * max(2.0, seconds(4_000))
+    # a fold that copies what it has takes minutes for this; the bound leaves room for a busy machine
+    assert seconds(20_000) < 12 * max(5.0, seconds(2_000))
