@@ -11,6 +11,7 @@ from ..operators.records import page_records as records_of
 from ..session import shared_path
 from ..sources.fixtures import broken_pages, changed_pages, gallery_pages, stream_requests, timed
 from ..sources.sinks import write_articles, write_records
+from ..sources.tables import table_files
 from ..streaming.page_stream import CHANGE_SCHEMA, TIMED_SCHEMA, page_stream, start_page_stream
 from ..streaming.request_stream import answered_once, request_responses, request_stream
 from ..streaming.snapshot_stream import records_with_snapshots
@@ -40,7 +41,8 @@ def q_write_articles(spark, sf_dir):
 def q_page_stream(spark, sf_dir):
     run = uuid.uuid4().hex
     out = shared_path(spark, f"stream-out-{run}")
-    pages = page_stream(spark, sf_dir, file_glob="pages.parquet")
+    folder, names = table_files(spark, sf_dir, "pages")
+    pages = page_stream(spark, folder, file_glob=names)
     start_page_stream(records_of(pages), out, shared_path(spark, f"stream-ckpt-{run}")).awaitTermination()
     return _records_cols(spark.read.parquet(out))
 

@@ -88,6 +88,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, in whatever store it is, is a folder and not a file."""
+    place, store = _place(spark, path)
+    return store.getFileStatus(place).isDirectory()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote, in whatever store it is."""
     place, store = _place(spark, path)

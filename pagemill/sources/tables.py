@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..session import INPUT_PARTITIONS
+from ..session import INPUT_PARTITIONS, is_folder
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -21,6 +21,12 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def table_files(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
+    """The folder of a table's files and the pattern of their names: a table is one file, or a folder of files."""
+    path = table_path(sf_dir, name)
+    return (path, "*") if is_folder(spark, path) else (sf_dir, f"{name}.parquet")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
                where: Column | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))

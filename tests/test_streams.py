@@ -122,3 +122,18 @@ def test_documents_that_could_not_be_written(spark, outcomes, want):
 def test_carried_columns(spark):
     rows = spark.createDataFrame([page(1, 1, 0)], TIMED_SCHEMA)
     assert page_records(rows, carry=["at"]).first()["at"] == at(0)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_pages_in_one_file_or_in_a_folder_of_files(spark, tmp_path, folder):
+    from pagemill.plans.sink_queries import q_page_stream
+    from pagemill.streaming.page_stream import PAGE_SCHEMA
+    rows = [(i, f"https://h{i}.example/", f"<title>T{i}</title><p>x</p>") for i in range(6)]
+    target = tmp_path / "data" / "pages.parquet"
+    written = target if folder else tmp_path / "one"
+    spark.createDataFrame(rows, PAGE_SCHEMA).repartition(3 if folder else 1).write.parquet(str(written))
+    if not folder:
+        target.parent.mkdir()
+        next(written.glob("part-*.parquet")).rename(target)
+    got = q_page_stream(spark, str(tmp_path / "data")).select("page_id", "title").collect()
+    assert sorted(map(tuple, got)) == [(i, f"T{i}") for i in range(6)]
