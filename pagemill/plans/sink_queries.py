@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.records import page_records as records_of
-from ..session import shared_path
+from ..session import child_names, shared_path
 from ..sources.fixtures import broken_pages, changed_pages, gallery_pages, stream_requests, timed
 from ..sources.sinks import write_articles, write_records
 from ..sources.tables import table_files
@@ -47,11 +47,16 @@ def q_page_stream(spark, sf_dir):
     return _records_cols(spark.read.parquet(out))
 
 
-def _dealt(rows, path, part, parts):
-    """Write ``rows`` as one file for each of so many parts, in their order, so that triggers can take them one by one."""
+def _dealt(spark, rows, path, part, parts):
+    """Write the parts of ``rows`` in their order, each as the same number of files, so that triggers can take a part
+    each and read it with all cores; returns the path and that number."""
+    files = spark.sparkContext.defaultParallelism
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        rows.filter(part == i).repartition(files).write.mode("append").parquet(path)
+        # fewer rows than files: files without rows stand in for the others
+        for _ in range((i + 1) * files - len([n for n in child_names(spark, path) if n.endswith(".parquet")])):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, files
 
 
 def q_rendered_stream(spark, sf_dir):
@@ -64,8 +69,8 @@ def q_rendered_stream(spark, sf_dir):
     streams = []
     for name, rendered in (("pages", False), ("snapshots", True)):
         rows = timed(gallery_pages(spark, sf_dir, rendered), 60 * rendered).select("page_id", "url", "html", "at")
-        path = _dealt(rows.unionByName(end), shared_path(spark, f"rendered-{name}-{run}"), part, 3)
-        streams.append(page_stream(spark, path, max_files_per_trigger=1, schema=TIMED_SCHEMA))
+        path, files = _dealt(spark, rows.unionByName(end), shared_path(spark, f"rendered-{name}-{run}"), part, 3)
+        streams.append(page_stream(spark, path, max_files_per_trigger=files, schema=TIMED_SCHEMA))
     records = records_with_snapshots(*streams, late="30 days")
     start_page_stream(records, out, shared_path(spark, f"rendered-ckpt-{run}")).awaitTermination()
     back = spark.read.parquet(out).filter("page_id >= 0")
@@ -76,9 +81,9 @@ def q_rendered_stream(spark, sf_dir):
 def q_request_stream(spark, sf_dir):
     run = uuid.uuid4().hex
     out = shared_path(spark, f"responses-out-{run}")
-    path = _dealt(stream_requests(spark, sf_dir), shared_path(spark, f"requests-{run}"), F.col("part"), 3)
+    path, files = _dealt(spark, stream_requests(spark, sf_dir), shared_path(spark, f"requests-{run}"), F.col("part"), 3)
     records = records_of(broken_pages(spark, sf_dir)).select("page_id", "url", "error")
-    requests = answered_once(request_stream(spark, path, max_files_per_trigger=1))
+    requests = answered_once(request_stream(spark, path, max_files_per_trigger=files))
     responses = request_responses(requests, records, F.to_timestamp(F.lit("2025-01-01 00:00:00")))
     start_page_stream(responses, out, shared_path(spark, f"responses-ckpt-{run}")).awaitTermination()
     return spark.read.parquet(out).select("request_id", "page_id", "success", "docs_url", "message",
@@ -87,8 +92,8 @@ def q_request_stream(spark, sf_dir):
 
 def q_stats_stream(spark, sf_dir):
     run = uuid.uuid4().hex
-    path = _dealt(changed_pages(spark, sf_dir), shared_path(spark, f"changes-{run}"), F.col("part"), 3)
-    pages = page_stream(spark, path, max_files_per_trigger=1, schema=CHANGE_SCHEMA)
+    path, files = _dealt(spark, changed_pages(spark, sf_dir), shared_path(spark, f"changes-{run}"), F.col("part"), 3)
+    pages = page_stream(spark, path, max_files_per_trigger=files, schema=CHANGE_SCHEMA)
     out = shared_path(spark, f"totals-{run}")
     start_totals(page_changes(pages), out, shared_path(spark, f"totals-ckpt-{run}")).awaitTermination()
     return read_totals(spark, out).select("content_type", F.col("pages").alias("n_pages"),

@@ -137,3 +137,19 @@ def test_pages_in_one_file_or_in_a_folder_of_files(spark, tmp_path, folder):
         next(written.glob("part-*.parquet")).rename(target)
     got = q_page_stream(spark, str(tmp_path / "data")).select("page_id", "title").collect()
     assert sorted(map(tuple, got)) == [(i, f"T{i}") for i in range(6)]
+
+
+@pytest.mark.parametrize("rows, parts", [(90, 3), (4, 3)])
+def test_parts_are_dealt_to_files_and_taken_in_turn(spark, tmp_path, rows, parts):
+    from pagemill.plans.sink_queries import _dealt
+    table = spark.range(rows).select("id", (F.col("id") % parts).alias("part"))
+    path, files = _dealt(spark, table, str(tmp_path / "dealt"), F.col("part"), parts)
+    assert files > 1 and len([n for n in os.listdir(path) if n.endswith(".parquet")]) == files * parts
+    if rows > files * parts:
+        assert table.sparkSession.read.parquet(path).select(F.input_file_name()).distinct().count() > parts
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+    seen = []
+    query = (stream.writeStream.foreachBatch(lambda batch, n: seen.append(sorted(map(tuple, batch.collect()))))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert seen == [[(i, i % parts) for i in range(rows) if i % parts == part] for part in range(parts)]
