@@ -222,9 +222,11 @@ def parse_document(html: str):
 
 # An output Arrow batch is closed once it holds this many nodes, or characters
 # of html, so neither very large pages nor pages of many tiny elements build a
-# huge (2 GB-limited) column.
-OUT_BATCH_CHARS = 32 * 1024 * 1024
-OUT_BATCH_NODES = 500_000
+# huge (2 GB-limited) column. Until then the trees are Python objects, several
+# hundred bytes a node, so a worker's memory does not grow with the rows that
+# the session puts in an input batch.
+OUT_BATCH_CHARS = 2 * 1024 * 1024
+OUT_BATCH_NODES = 20_000
 
 # Attributes that some rule reads; the others stay behind in Python.
 KEPT_ATTRS = frozenset(["id", "class", "style", "property", "name", "content", "alt", "width", "height",

@@ -74,3 +74,13 @@ def test_end_tags_of_many_void_elements_take_linear_time():
     start = time.time()
     parse_document("<p><br></p>" * 40_000)
     assert time.time() - start < 20
+
+
+def test_output_batches_stay_small_however_many_rows_an_input_batch_has():
+    import pyarrow as pa
+    from pagemill.operators.dom import _parse_batches
+    n, nodes = 3000, 41  # the root and the elements of a page
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "html": ["<p>a</p>" * (nodes - 1)] * n})
+    out = list(_parse_batches(["page_id"], "html")([batch]))
+    assert [i for b in out for i in b.column("page_id").to_pylist()] == list(range(n))
+    assert max(len(b.column("nodes").flatten()) for b in out) < 25_000
