@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import read_table, slices
+from pagemill.llm.common import bound_batches, read_table, slices
 
 #: Bytes of pieces that a worker remembers in each of two generations, and the longest piece remembered in characters.
 MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
@@ -230,6 +230,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _adding(df: DataFrame, source: str, added: list[T.StructField], make, limit: int) -> DataFrame:
     """``df`` with the columns that ``make(column)`` gives from another, a bounded part of a batch at a time."""
+    bound_batches(df.sparkSession)
     at, names = df.columns.index(source), [*df.columns, *[f.name for f in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.session import ensure_checkpoint_dir, reliable_checkpoint, shared_path
+from pagemill.session import bound_batches, ensure_checkpoint_dir, reliable_checkpoint, shared_path
 
 __all__ = ["read_table", "checkpoint", "work_path", "fresh", "text_or_empty", "lower_ascii", "small_side",
-           "held_out", "keep_rows", "text_key", "slices", "remove_path", "passage"]
+           "held_out", "keep_rows", "text_key", "slices", "remove_path", "passage", "bound_batches"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only when its measured size is at most this.

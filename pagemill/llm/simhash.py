@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, keep_rows, read_table, text_key, text_or_empty
+from pagemill.llm.common import bound_batches, checkpoint, keep_rows, read_table, text_key, text_or_empty
 from pagemill.llm.components import components
 
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         values = np.array([fingerprint(t, size) for t in texts], np.uint64)
         return pd.Series(values.view(np.int64))
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
                        simhash(text_or_empty("text").cast("binary")).alias("fp"))
 

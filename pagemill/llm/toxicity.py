@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, held_out, passage, read_table, text_or_empty
+from pagemill.llm.common import bound_batches, checkpoint, held_out, passage, read_table, text_or_empty
 
 SIZES = (2, 3, 4, 5, 6)
 #: A word with its borders is an n-gram of its own up to this length.
@@ -174,6 +174,7 @@ def score_column(model: Model):
 
 def score_documents(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in a new column."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, score_column(model)(text_or_empty("text")))
 
 

@@ -49,6 +49,21 @@ def get_session(master: str | None = None, app: str = "pagemill",
     return spark
 
 
+#: Rows of a batch that a Python step takes.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Give a session that does not say how many rows a Python step takes at a time the library's default.
+
+    Spark's own default is 10,000. With rows that are whole documents the JVM and
+    the worker each hold several times that many texts, and a worker keeps the
+    memory for as long as it lives.
+    """
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, DEFAULT_CONF[BATCH_ROWS])
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 

@@ -1,8 +1,11 @@
 import hashlib
 import re
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from pagemill.llm import bpe, toxicity
+from pagemill.llm import bpe, simhash, toxicity
 from pagemill.llm.common import read_table
 from test_decontam import brute as contaminated
 from test_simhash import classes, plain_fingerprint
@@ -48,3 +51,25 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd, documents):
             assert out.columns == docs_in.columns, name
             assert out.count() <= docs_in.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs_in, SMALL).count() == docs_in.count()
+
+
+def rows_of_batches(df):
+    sizes = df.coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    return [r["n"] for r in sizes.collect()]
+
+
+@pytest.mark.parametrize("step", [
+    lambda docs: toxicity.score_documents(docs, toxicity.Model()),
+    lambda docs: simhash.fingerprints(docs),
+    lambda docs: bpe.encode(docs, *bpe.default_vocabulary()),
+], ids=["toxicity", "simhash", "bpe"])
+def test_python_steps_bound_the_rows_of_a_batch(spark, step):
+    """A session that says nothing gets the library's batches; one that does keeps its own."""
+    for given, most in ((None, 500), (700, 700)):
+        session = spark.newSession()
+        if given:
+            session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+        docs = session.range(1500).selectExpr("id AS doc_id", "'a text' AS text")
+        step(docs)
+        assert max(rows_of_batches(docs)) == most
