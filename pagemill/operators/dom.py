@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.charsets import charsets
+from ..session import bound_batches
 
 # Fixed values of the tree-builder behaviour being reproduced.
 VOID_TAGS = frozenset([
@@ -328,6 +329,7 @@ def parse_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
     were received: their charsets are found by expressions, and the same step
     decodes them.
     """
+    bound_batches(df.sparkSession)
     keep = [c for c in (keep if keep is not None else df.columns) if c != html_col]
     codecs = None
     if isinstance(df.schema[html_col].dataType, T.BinaryType):

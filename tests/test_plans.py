@@ -3,6 +3,7 @@
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -204,3 +205,13 @@ def test_page_records_has_no_shuffle(spark):
     from pagemill.operators.records import page_records
     plan = plan_of(page_records(read_pages(spark, SMALL)))
     assert "Exchange" not in plan, plan
+
+
+def test_parse_bounds_the_rows_of_a_batch(spark):
+    """A session that says nothing gets the library's batches for the parse."""
+    session = spark.newSession()
+    pages = session.range(1500).selectExpr("id AS page_id", "'<p>a</p>' AS html").coalesce(1)
+    parse_html(pages)
+    sizes = pages.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "page_id", pa.array([b.num_rows], pa.int64()))
+                                              for b in batches), pages.schema)
+    assert max(r["page_id"] for r in sizes.collect()) == 500
