@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import plain_files
+
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -34,5 +36,7 @@ def page_stream(spark: SparkSession, source_dir: str, file_glob: str = "*.parque
 
 def start_page_stream(records: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
     """Append a stream of records to Parquet; processes every file not seen before, then stops."""
-    return (records.writeStream.format("parquet").outputMode("append").option("path", out_dir)
-            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    writer = (records.writeStream.format("parquet").outputMode("append").option("path", out_dir)
+              .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True))
+    with plain_files(records.sparkSession, checkpoint_dir):
+        return writer.start()

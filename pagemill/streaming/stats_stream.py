@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.records import page_records
-from ..session import child_names, remove_path
+from ..session import child_names, plain_files, remove_path
 
 SIGNED = "content_type string, pages long, chars long, images long"
 HELD = "at timestamp, deleted boolean, content_type string, chars long, images long"
@@ -90,5 +90,7 @@ def start_totals(changes: DataFrame, path: str, checkpoint_dir: str) -> Streamin
         for old in [n for n in _complete(spark, path) if n < number - 1]:
             remove_path(spark, f"{path}/{_generation(old)}")
 
-    return (signed_changes(changes).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_dir)
-            .trigger(availableNow=True).start())
+    writer = (signed_changes(changes).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_dir)
+              .trigger(availableNow=True))
+    with plain_files(changes.sparkSession, checkpoint_dir):
+        return writer.start()

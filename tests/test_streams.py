@@ -153,3 +153,25 @@ def test_parts_are_dealt_to_files_and_taken_in_turn(spark, tmp_path, rows, parts
              .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert seen == [[(i, i % parts) for i in range(rows) if i % parts == part] for part in range(parts)]
+
+
+def test_streams_on_a_mounted_folder_write_plain_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    from pagemill.session import FILE_MANAGER, PLAIN_FILES, plain_files
+    from pagemill.streaming.page_stream import CHANGE_SCHEMA
+    from pagemill.streaming.stats_stream import page_changes, start_totals
+    seen, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self: seen.append(spark.conf.get(FILE_MANAGER, None)) or start(self))
+    add(spark, str(tmp_path / "pages"), [page(1, 1, 0)])
+    add(spark, str(tmp_path / "changes"), [(*page(1, 1, 0), False)], CHANGE_SCHEMA)
+    rows = page_stream(spark, str(tmp_path / "pages"), schema=TIMED_SCHEMA).select("page_id")
+    start_page_stream(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    changes = page_changes(page_stream(spark, str(tmp_path / "changes"), schema=CHANGE_SCHEMA))
+    start_totals(changes, str(tmp_path / "totals"), str(tmp_path / "state2")).awaitTermination()
+    assert seen == [PLAIN_FILES] * 2 and spark.conf.get(FILE_MANAGER, None) is None
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    with plain_files(spark, str(tmp_path)):
+        with plain_files(spark, str(tmp_path)):  # the session names a manager
+            pass
+        assert spark.conf.get(FILE_MANAGER) == PLAIN_FILES
