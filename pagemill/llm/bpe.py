@@ -40,6 +40,8 @@ from pagemill.llm.common import bound_batches, read_table, slices
 MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
 #: Bytes that a remembered piece takes beside its characters and ids: two objects and a place in a dictionary.
 MEMO_ROW = 190
+#: The same of a remembered piece whose ids are only counted: one object and a place in a dictionary.
+COUNT_ROW = 140
 #: Pairs of tokens that a worker remembers.
 PAIRS = 150_000
 NEVER = 1 << 60
@@ -59,6 +61,8 @@ class Encoder:
         for token, rank in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (rank, len(token)))
         self.trie.make_automaton()
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
@@ -66,6 +70,9 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.room = MEMO_BYTES
+        self.counts: dict[str, int] = {}
+        self.older_counts: dict[str, int] = {}
+        self.count_room = MEMO_BYTES
 
     def merge(self, data: bytes, left: int = 1) -> list[int]:
         """Ids by the plain rule: join the neighbours of lowest rank until none can be joined or ``left`` remain."""
@@ -89,7 +96,10 @@ class Encoder:
 
     def made(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
-        return len(self.tokens[token]) == 1 or self.split_of(token) is not None
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self.sizes[token] == 1 or self.split_of(token) is not None
+        return known
 
     def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens that stand at one edge (0 left, 1 right) while a token is made, from the
@@ -134,11 +144,12 @@ class Encoder:
 
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of a token, or -1."""
-        if token not in self.shorter:
+        known = self.shorter.get(token)
+        if known is None:
             data = self.tokens[token]
-            self.shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1)
-                                        if data[:n] in self.ranks), -1)
-        return self.shorter[token]
+            known = self.shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1)
+                                                if data[:n] in self.ranks), -1)
+        return known
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -148,23 +159,28 @@ class Encoder:
         for end, (rank, length) in self.trie.iter(data.decode("latin-1")):
             longest[end - length + 1] = rank  # ends come in rising order, so the last one is the longest
         open_ = bytearray(b"\x01") * (len(data) + 1)
-        ids: list[int] = []
+        sizes, made, pairs, fit, shorter = self.sizes, self.whole, self.pairs, self.fit, self.next_shorter
+        ids, before, end = [], -1, len(data)
         at, token = 0, longest[0]
-        while at < len(data):
+        while at < end:
             while token != -1:
-                size = len(self.tokens[token])
-                if open_[at + size] and self.made(token) and (not ids or self.fit(ids[-1], token)):
-                    break
-                token = self.next_shorter(token)
+                size = sizes[token]
+                if open_[at + size] and (made.get(token) or self.made(token)):
+                    known = True if before < 0 else pairs.get(before << 32 | token)
+                    if fit(before, token) if known is None else known:
+                        break
+                token = shorter(token)
             if token != -1:
                 ids.append(token)
+                before = token
                 at += size
-                token = longest[at] if at < len(data) else -1
+                token = longest[at] if at < end else -1
             else:  # nothing fits here: never come to this byte again, and shorten the token before it
                 open_[at] = 0
                 token = ids.pop()
-                at -= len(self.tokens[token])
-                token = self.next_shorter(token)
+                before = ids[-1] if ids else -1
+                at -= sizes[token]
+                token = shorter(token)
         return ids
 
     def encode_piece(self, piece: str) -> bytes:
@@ -181,6 +197,21 @@ class Encoder:
         get, make = self.pieces.get, self.encode_piece
         return np.frombuffer(b"".join([get(p) or make(p) for p in self.split(text)]), "<i4")
 
+    def count_piece(self, piece: str) -> int:
+        """The number of ids of one piece, remembered as the ids of ``encode_piece`` are."""
+        n = self.older_counts.get(piece) or len(self.encode_bytes(piece.encode()))
+        if len(piece) <= MEMO_LENGTH:
+            self.count_room -= COUNT_ROW + 2 * len(piece)
+            if self.count_room < 0:
+                self.older_counts, self.counts, self.count_room = self.counts, {}, MEMO_BYTES
+            self.counts[piece] = n
+        return n
+
+    def count(self, text: str) -> int:
+        """The number of ids of a text."""
+        get, make = self.counts.get, self.count_piece
+        return sum([get(p) or make(p) for p in self.split(text)])
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return joined(self.tokens, ids)
 

@@ -66,6 +66,26 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
         assert len(small.pieces) + len(small.older) <= 2 * 3000 // bpe.MEMO_ROW and len(small.pairs) <= 20
 
 
+def test_counts_equal_the_public_library_within_bounded_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3000)
+    small = bpe.Encoder(ENCODER.ranks, PATTERN)
+    texts = ["", "the  é", "x" * 300, *[f" word{i} zyxw{i * 7} the" for i in range(200)]]
+    for text in texts + texts[::-1]:
+        assert small.count(text) == len(REFERENCE.encode_ordinary(text))
+        assert len(small.counts) + len(small.older_counts) <= 2 * 3000 // bpe.COUNT_ROW
+    assert not small.pieces and not small.older
+
+
+def test_search_asks_once_about_a_token(monkeypatch):
+    asked, small = [], bpe.Encoder(ENCODER.ranks, PATTERN)
+    monkeypatch.setattr(small, "made", lambda t, made=small.made: asked.append(t) or made(t))
+    for text in (" thenining areerlyes", " denenkeitlichsch itrendwhor") * 3:
+        assert small.encode(text).tolist() == REFERENCE.encode_ordinary(text)
+        small.pieces.clear()
+    known = [t for t in asked if small.whole[t]]
+    assert known and len(known) == len(set(known))
+
+
 def test_digests(spark, documents):
     row = bpe.round_trip(documents([(1, "hello world"), (2, "")])).select(
         "doc_id", bpe.digest_ids(bpe.F.col("ids")).alias("h")).collect()
