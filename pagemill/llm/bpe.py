@@ -1,14 +1,17 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
 The vocabulary's byte strings are mapped to Latin-1, one character a byte, and
-put into an Aho-Corasick automaton. One pass over a piece yields the longest
-token that starts at each byte. Encoding then goes from left to right, always
+put into an Aho-Corasick automaton, which yields the longest token that starts
+at a byte: for short pieces at the bytes that the search comes to, for others
+at each byte in one pass. Encoding then goes from left to right, always
 trying the longest token, and steps back to the next shorter one when the
 token can't follow the one before it. Two tokens can stand side by side
 exactly if merging their joined bytes gives the two tokens again; that answer
-is found from the few tokens that meet at the border and memoised per pair. A sequence whose neighbours all agree in this way is the
-one that the merges produce, so the result is exact. A byte position that was
-given up is marked and never entered again, which keeps the work linear.
+is found from the few tokens that meet at the border. What is memoised per pair
+is the longest prefix of the second token that can follow the first. A sequence
+whose neighbours all agree in this way is the one that the merges produce, so
+the result is exact. A byte position that was given up is marked and never
+entered again, which keeps the work linear.
 
 Text is split by the tokenizer's pattern first and each match is encoded
 separately; results of short matches are memoised up to a fixed number of bytes.
@@ -24,11 +27,13 @@ from __future__ import annotations
 import base64
 import sys
 import types
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +42,7 @@ from pyspark.sql import types as T
 from pagemill.llm.common import bound_batches, read_table, slices
 
 #: Bytes of pieces that a worker remembers in each of two generations, and the longest piece remembered in characters.
-MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
+MEMO_BYTES, MEMO_LENGTH = 32 << 20, 48
 #: Bytes that a remembered piece takes beside its characters and ids: two objects and a place in a dictionary.
 MEMO_ROW = 190
 #: The same of a remembered piece whose ids are only counted: one object and a place in a dictionary.
@@ -45,6 +50,10 @@ COUNT_ROW = 140
 #: Pairs of tokens that a worker remembers.
 PAIRS = 150_000
 NEVER = 1 << 60
+#: Longest piece in bytes whose longest tokens are looked up only where the search comes to.
+SHORT = 64
+#: Marks a byte at which no token was looked up yet.
+UNKNOWN = -2
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -58,12 +67,13 @@ class Encoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.trie = ahocorasick.Automaton()
-        for token, rank in ranks.items():
+        # The automaton asks a node's bytes in the order of arrival: those of the first merges come first.
+        for token, rank in sorted(ranks.items(), key=lambda t: (len(t[0]) == 1, t[1])):
             self.trie.add_word(token.decode("latin-1"), (rank, len(token)))
         self.trie.make_automaton()
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, int] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.shorter: dict[int, int] = {}
@@ -119,28 +129,29 @@ class Encoder:
         border could merge before either is taken up by its own token. Of two
         merges of one rank the leftmost comes first.
         """
-        pair = left << 32 | right
-        known = self.pairs.get(pair)
-        if known is not None:
-            return known
         a, b = self.edge(left, 1), self.edge(right, 0)
         i = j = 0
-        known = True
-        while known:
+        while True:
             (x, x_ends), (y, y_ends) = a[i], b[j]
             across = self.ranks.get(x + y, NEVER)
             if across < x_ends and across <= y_ends and across != NEVER:
-                known = False
-            elif x_ends == y_ends == NEVER:
-                break
-            elif x_ends <= y_ends:
+                return False
+            if x_ends == y_ends == NEVER:
+                return True
+            if x_ends <= y_ends:
                 i += 1
             else:
                 j += 1
+
+    def first_fit(self, before: int, token: int) -> int:
+        """The longest token, from ``token`` on down its prefixes, that can follow ``before`` (-1: begin a piece), or -1."""
+        pair = before << 32 | token
+        while token >= 0 and not ((self.whole.get(token) or self.made(token)) and (before < 0 or self.fit(before, token))):
+            token = self.next_shorter(token)
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[pair] = known
-        return known
+        self.pairs[pair] = token
+        return token
 
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of a token, or -1."""
@@ -155,37 +166,46 @@ class Encoder:
         """Ids of one piece."""
         if data in self.ranks:
             return [self.ranks[data]]
-        longest = [-1] * len(data)
-        for end, (rank, length) in self.trie.iter(data.decode("latin-1")):
-            longest[end - length + 1] = rank  # ends come in rising order, so the last one is the longest
-        open_ = bytearray(b"\x01") * (len(data) + 1)
-        sizes, made, pairs, fit, shorter = self.sizes, self.whole, self.pairs, self.fit, self.next_shorter
-        ids, before, end = [], -1, len(data)
-        at, token = 0, longest[0]
+        text, end, trie = data.decode("latin-1"), len(data), self.trie
+        if end <= SHORT:
+            longest = [UNKNOWN] * end
+        else:
+            longest = [-1] * end
+            for last, (rank, length) in trie.iter(text):
+                longest[last - length + 1] = rank  # ends come in rising order, so the last one is the longest
+        sizes, pairs, shut = self.sizes, self.pairs, set()
+        ids, before, at, token = [], -1, 0, longest[0]
         while at < end:
-            while token != -1:
-                size = sizes[token]
-                if open_[at + size] and (made.get(token) or self.made(token)):
-                    known = True if before < 0 else pairs.get(before << 32 | token)
-                    if fit(before, token) if known is None else known:
+            if token == UNKNOWN:  # the longest token here, the one after it and so on, up to a byte that is known
+                start = at
+                for last, (rank, length) in trie.iter_long(text, at):
+                    if last - length + 1 != start or longest[start] != UNKNOWN:
                         break
-                token = shorter(token)
-            if token != -1:
+                    longest[start] = rank
+                    start = last + 1
+                token = longest[at]
+            while token >= 0:
+                known = pairs.get(before << 32 | token)
+                token = self.first_fit(before, token) if known is None else known
+                if not shut or token < 0 or at + sizes[token] not in shut:
+                    break
+                token = self.next_shorter(token)
+            if token >= 0:
                 ids.append(token)
                 before = token
-                at += size
+                at += sizes[token]
                 token = longest[at] if at < end else -1
             else:  # nothing fits here: never come to this byte again, and shorten the token before it
-                open_[at] = 0
+                shut.add(at)
                 token = ids.pop()
                 before = ids[-1] if ids else -1
                 at -= sizes[token]
-                token = shorter(token)
+                token = self.next_shorter(token)
         return ids
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece as 4-byte numbers. A full memory becomes the older one, whose pieces come back when met."""
-        ids = self.older.get(piece) or np.array(self.encode_bytes(piece.encode()), "<i4").tobytes()
+        ids = self.older.get(piece) or array("i", self.encode_bytes(piece.encode())).tobytes()
         if len(piece) <= MEMO_LENGTH:
             self.room -= MEMO_ROW + 2 * len(piece) + len(ids)
             if self.room < 0:
@@ -195,7 +215,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         get, make = self.pieces.get, self.encode_piece
-        return np.frombuffer(b"".join([get(p) or make(p) for p in self.split(text)]), "<i4")
+        return np.frombuffer(b"".join([get(p) or make(p) for p in self.split(text)]), "i4")
 
     def count_piece(self, piece: str) -> int:
         """The number of ids of one piece, remembered as the ids of ``encode_piece`` are."""
@@ -213,12 +233,24 @@ class Encoder:
         return sum([get(p) or make(p) for p in self.split(text)])
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return joined(self.tokens, ids)
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+
+def by_id(tokens: dict[int, bytes]) -> pa.Array:
+    """Tokens by id; null where there is none."""
+    return pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.binary())
 
 
-def joined(tokens: dict[int, bytes], ids: Iterable[int]) -> bytes:
-    """The bytes of token ids."""
-    return b"".join(map(tokens.__getitem__, ids))
+def joined(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of token ids; null for a null list."""
+    parts, ends = tokens.take(lists.flatten()), np.zeros(len(lists) + 1, np.int32)
+    if parts.null_count:
+        raise KeyError("ids without a token")
+    np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(), out=ends[1:])
+    starts = np.cumsum(np.append(0, pc.binary_length(parts).to_numpy()), dtype=np.int32)
+    data = parts.buffers()[2] if len(parts) else pa.py_buffer(b"")
+    out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(starts[ends]), data])
+    return pc.if_else(lists.is_valid(), out, None) if lists.null_count else out
 
 
 def _kept(name: str, key: tuple, make):
@@ -243,9 +275,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _kept("encoders", (path, pattern), lambda: Encoder(_ranks(path), pattern))
 
 
-def token_table(path: str) -> dict[int, bytes]:
+def token_table(path: str) -> pa.Array:
     """The tokens of a rank file by id, made once a worker process."""
-    return _kept("tokens", (path,), lambda: {rank: token for token, rank in _ranks(path).items()})
+    return _kept("tokens", (path,), lambda: by_id({rank: token for token, rank in _ranks(path).items()}))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -288,9 +320,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its token ids in a new column."""
     def make(lists: pa.Array) -> list[pa.Array]:
-        tokens = token_table(path)
-        return [pa.array([joined(tokens, x.values.to_numpy().tolist()) if x.is_valid else None for x in lists],
-                         pa.binary())]
+        return [joined(token_table(path), lists)]
 
     return _adding(encoded, ids, [T.StructField(out, T.BinaryType())], make, 1 << 20)
 
@@ -299,8 +329,8 @@ def both(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """``docs`` with the token ids of ``text`` and the bytes that the ids decode to, in one Python step."""
     def make(texts: pa.Array) -> list[pa.Array]:
         enc = encoder(path, pattern)
-        encoded = [enc.encode(t or "") for t in texts.to_pylist()]
-        return [_lists(encoded), pa.array([enc.decode(e.tolist()) for e in encoded], pa.binary())]
+        encoded = _lists([enc.encode(t or "") for t in texts.to_pylist()])
+        return [encoded, joined(token_table(path), encoded)]
 
     return _adding(docs, "text", [_ids_field(ids), T.StructField(out, T.BinaryType())], make, 1 << 20)
 

@@ -86,6 +86,67 @@ def test_search_asks_once_about_a_token(monkeypatch):
     assert known and len(known) == len(set(known))
 
 
+class Asked:
+    """An automaton that counts the matches taken from it."""
+
+    def __init__(self, trie):
+        self.trie, self.matches = trie, 0
+
+    def _counted(self, found):
+        for match in found:
+            self.matches += 1
+            yield match
+
+    def iter(self, text):
+        return self._counted(self.trie.iter(text))
+
+    def iter_long(self, text, at):
+        return self._counted(self.trie.iter_long(text, at))
+
+
+def test_search_takes_few_matches_of_short_pieces():
+    small, pieces = bpe.Encoder(ENCODER.ranks, PATTERN), [" thenining", " areerlyes", " denenkeitlichsch", " itrendwhor"]
+    possible = sum(len(list(small.trie.iter(p))) for p in pieces)
+    small.trie = Asked(small.trie)
+    for piece in pieces:
+        assert small.encode_bytes(piece.encode()) == REFERENCE.encode_ordinary(piece)
+    assert small.trie.matches < possible / 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ethaonis\u00e9\u4e00", min_size=1, max_size=90), st.sampled_from([0, 8, 64, 1000]))
+def test_short_and_long_pieces_are_searched_alike(piece, short):
+    given_short, bpe.SHORT = bpe.SHORT, short
+    try:
+        assert ENCODER.encode_bytes(piece.encode()) == REFERENCE.encode_ordinary(piece)
+    finally:
+        bpe.SHORT = given_short
+
+
+def test_search_without_some_single_bytes():
+    ranks = {bytes([i]): i for i in range(256) if i not in b"ax"} | {b"ab": 256, b"abc": 257, b"bc": 258, b"bcxd": 259}
+    small = bpe.Encoder(ranks, r"\w+|\W+")
+    assert small.encode_bytes(b"d" * 3 + b"c" * 70) == [ranks[b"d"]] * 3 + [ranks[b"c"]] * 70
+    assert small.encode_bytes(b"abce") == [ranks[b"abc"], ranks[b"e"]]
+    for piece in (b"dxd", b"x" * 80):
+        with pytest.raises(IndexError):
+            small.encode_bytes(piece)
+
+
+def test_batches_of_ids_decode_as_single_lists():
+    tokens = bpe.by_id(ENCODER.tokens)
+    lists = bpe.pa.array([[1, 2], None, [], [300, 4], None, [50_000] * 3, []], bpe.pa.list_(bpe.pa.int32()))
+    for at in range(len(lists) + 1):
+        part = lists.slice(at)
+        out = bpe.joined(tokens, part)
+        out.validate(full=True)
+        assert out.to_pylist() == [None if ids is None else ENCODER.decode(ids) for ids in part.to_pylist()]
+    with pytest.raises(LookupError):
+        bpe.joined(bpe.by_id({0: b"a", 2: b"b"}), lists.slice(0, 1))
+    with pytest.raises(LookupError):
+        bpe.joined(tokens, bpe.pa.array([[10 ** 6]], lists.type))
+
+
 def test_digests(spark, documents):
     row = bpe.round_trip(documents([(1, "hello world"), (2, "")])).select(
         "doc_id", bpe.digest_ids(bpe.F.col("ids")).alias("h")).collect()
